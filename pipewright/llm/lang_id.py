@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     return map_arrow(picked, run, schema)
 
 
-def filter_languages(docs: DataFrame, model: LanguageModel, text: str = "text", languages: tuple[str, ...] | None = None, min_score: float = 0.5, min_fit: float = -12.0, min_grams: int = 300) -> DataFrame:
+def filter_languages(docs: DataFrame, model: LanguageModel, text: str = "text", languages: tuple[str, ...] | None = None, min_score: float = 0.5, min_fit: float = -25.0, min_grams: int = 300) -> DataFrame:
     """Rows of ``docs``, columns unchanged, that have an identified language.
 
     Rejected are texts without letters (null and empty ones among them), texts whose best posterior is below
