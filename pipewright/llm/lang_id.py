@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipewright import ship
@@ -68,31 +68,29 @@ def _clean(texts: list[str | None]) -> list[str]:
     return [(t or "").replace("\n", " ") for t in texts]
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = 2000, bits: int = 15, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.05, seed: int = 7) -> LanguageModel:
-    """Fits on at most ``sample_rows`` labelled rows per language, those with the smallest salted row hashes.
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = 1000, sample_bytes: int = 6 << 20, bits: int = 15, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.05, seed: int = 7) -> LanguageModel:
+    """Fits on whole texts of a bounded sample: per language the rows with the smallest salted text hashes, at most
+    ``sample_rows`` of them and at most ``sample_bytes`` bytes (one row at least).
 
-    Rows whose text or label is null or empty are not used.  At most 4,000 characters of a sample row are used
-    for fitting (scoring always uses whole texts).  Without a labelled row the model has no languages and every
-    document is ``und``.
+    Rows whose text or label is null or empty are not used.  Without a labelled row the model has no languages and
+    every document is ``und``.  Two passes over the table: one counts the rows of each label, one takes the sample.
     """
-    rows = labelled.where(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("string").alias("l"))
-    key = F.xxhash64("t", F.lit(seed))
-    # A hash threshold first, then the exact smallest: the sort sees a small multiple of the sample.
-    share = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["l"]: r["n"] for r in share.collect()}
+    rows = labelled.where((F.octet_length(F.col(f"`{text}`")) > 0) & F.col(f"`{label}`").isNotNull()).select(F.col(f"`{label}`").cast("string").alias("l"), F.col(f"`{text}`").alias("t"))
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return LanguageModel((), np.zeros((1 << bits, 0), np.float32), np.zeros(0), np.zeros(0), np.zeros(0), bits, tuple(orders))
-    taken = []
-    for lang, n in sorted(counts.items()):
-        part = rows.where(F.col("l") == lang)
+    # A hash threshold for each label first, then the exact smallest: the sort sees a small multiple of the sample.
+    whole = 1 << 60
+    most = F.lit(whole)
+    for lang, n in counts.items():
         if n > 4 * sample_rows:
-            part = part.where(F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * 2 * sample_rows / n))
-        taken.append(part.select("l", F.substring("t", 1, 4000).alias("t"), key.alias("k")).orderBy("k", "t").limit(sample_rows))
-    sample = taken[0]
-    for part in taken[1:]:
-        sample = sample.unionAll(part)
-    found = sample.toPandas()
-    found = found.sort_values(["l", "k", "t"])
+            most = F.when(F.col("l") == lang, F.lit(whole * 2 * sample_rows // n)).otherwise(most)
+    few = rows.withColumn("k", F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(whole))).where(F.col("k") < most)
+    order = Window.partitionBy("l").orderBy("k", "t")
+    size = F.sum(F.octet_length("t")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.row_number().over(order)
+    taken = few.withColumn("rank", rank).withColumn("size", size).where((F.col("rank") <= sample_rows) & ((F.col("size") <= sample_bytes) | (F.col("rank") == 1)))
+    found = taken.select("l", "t", "k").toPandas().sort_values(["l", "k", "t"])
     return fit_local(found["t"].tolist(), found["l"].tolist(), bits, tuple(orders), smoothing)
 
 
