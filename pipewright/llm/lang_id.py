@@ -6,6 +6,7 @@ broadcast, and applied to whole texts by sparse batch scoring in numpy.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,6 +65,19 @@ def _grams(texts: list[str], bits: int, orders: tuple[int, ...]) -> list[tuple[n
     return found
 
 
+def _chunks(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive parts of about ``_SLICE`` characters: their n-gram arrays are some 60 times as large."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= _SLICE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _clean(texts: list[str | None]) -> list[str]:
     return [(t or "").replace("\n", " ") for t in texts]
 
@@ -103,12 +117,14 @@ def fit_local(texts: list[str], labels: list[str], bits: int = 15, orders: tuple
     texts = _clean(texts)
     for k in range(len(languages)):
         own = [t for t, a, h in zip(texts, y, held, strict=True) if a == k and not h] or [t for t, a in zip(texts, y, strict=True) if a == k]
-        for bucket, _ in _grams(own, bits, orders):
-            counts[:, k] += np.bincount(bucket, minlength=1 << bits)
+        for part in _chunks(own):
+            for bucket, _ in _grams(part, bits, orders):
+                counts[:, k] += np.bincount(bucket, minlength=1 << bits)
     matrix = np.log(counts / counts.sum(axis=0)).astype(np.float32)
     prior = np.log(np.bincount(y, minlength=len(languages)) / len(y))
     blank = LanguageModel(languages, matrix, prior, np.zeros(len(languages)), np.ones(len(languages)), bits, orders)
-    total, n = score_texts(blank, [t for t, h in zip(texts, held, strict=True) if h] or texts)
+    scored = [score_texts(blank, part) for part in _chunks([t for t, h in zip(texts, held, strict=True) if h] or texts)]
+    total, n = np.concatenate([t for t, _ in scored]), np.concatenate([c for _, c in scored])
     ys = y[held] if held.any() else y
     mean, spread = np.zeros(len(languages)), np.ones(len(languages))
     for k in range(len(languages)):
