@@ -13,3 +13,11 @@ def ship(spark) -> None:
     known = env.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
+def __getattr__(name: str):
+    if name in ("Engine", "Pipe"):
+        from pipewright import engine
+
+        return getattr(engine, name)
+    raise AttributeError(name)
