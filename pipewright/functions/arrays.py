@@ -112,12 +112,17 @@ def _array_avg(_, a):
     return F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda acc, e: acc + e) / F.size(x))
 
 
+def _member(other: Column, wanted: bool):
+    """A predicate of one argument: Spark takes a second one for the index."""
+    return lambda e: F.coalesce(F.array_contains(other, e), F.lit(False)) == F.lit(wanted)
+
+
 @function("set_difference", 2, None)
 def _set_difference(_, *xs):
     cols = _alike(xs)
     out = cols[0]
     for other in cols[1:]:
-        out = F.filter(out, lambda e, other=other: ~F.coalesce(F.array_contains(other, e), F.lit(False)))
+        out = F.filter(out, _member(other, False))
     return out
 
 
@@ -126,7 +131,7 @@ def _set_intersect(_, *xs):
     cols = _alike(xs)
     out = cols[0]
     for other in cols[1:]:
-        out = F.filter(out, lambda e, other=other: F.array_contains(other, e))
+        out = F.filter(out, _member(other, True))
     return out
 
 

@@ -181,7 +181,7 @@ def _unicode(_, s):
 @function("make_string", 1, None)
 def _make_string(_, *xs):
     # Code points as UTF-32 are decoded by the JVM: no Python worker.
-    one = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32BE")
+    one = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "utf-32")
     if len(xs) == 1 and xs[0].is_array:
         return F.array_join(F.transform(xs[0].arr, lambda c: one(c.cast("long"))), "")
     return F.concat(*[one(x.long) for x in xs])

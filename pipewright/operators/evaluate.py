@@ -41,7 +41,7 @@ def pivot(lowering, frame, call, schema, env):
     values = _values(frame.df, quoted(column.id), declared)
     agg_scope = Scope(lowering, scope.frame, env, aggregating=True)
     measure = agg_scope.lower(agg)
-    out = agg_scope.frame.df.groupBy(*[quoted(k) for k in keys]).pivot(quoted(column.id), values).agg(measure.col)
+    out = agg_scope.frame.df.groupBy(*[quoted(k) for k in keys]).pivot(column.id, values).agg(measure.col)
     cols = [quoted(k) for k in keys]
     count = agg.name in ("count", "countif", "sum", "dcount")
     for v, made in zip(values, out.columns[len(keys) :], strict=True):

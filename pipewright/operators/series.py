@@ -16,6 +16,16 @@ from pipewright.plans.expressions import Scope
 from pipewright.plans.frame import Frame, fresh, quoted
 
 
+def _cell(field: str, gap, kind: str | None):
+    """The value at a step, or the default."""
+
+    def at(i):
+        value = F.try_element_at(F.col("__pw_m"), i)[field]
+        return F.coalesce(value.cast(kind) if kind else value, gap)
+
+    return at
+
+
 @operator("make-series")
 def make_series(lowering, frame, op, env):
     """Rows are aggregated per key and axis step; a second grouping gathers each key's steps into a map that fills a
@@ -79,10 +89,8 @@ def make_series(lowering, frame, op, env):
         kind = cells.schema[values[k]].dataType
         d: Val | None = scope.lower(default) if default is not None else None
         gap = F.lit(0).cast(kind) if d is None and K.is_number(kind) else F.lit(None).cast(kind) if d is None else d.col.cast(T.DoubleType() if isinstance(d.type, (T.DoubleType, T.DecimalType)) and K.is_number(kind) else kind)
-        if d is not None and isinstance(d.type, T.DoubleType) and K.is_number(kind):
-            out.append(F.transform(steps, lambda i, k=k, gap=gap: F.coalesce(F.try_element_at(F.col("__pw_m"), i)[values[k]].cast("double"), gap)).alias(name))
-        else:
-            out.append(F.transform(steps, lambda i, k=k, gap=gap: F.coalesce(F.try_element_at(F.col("__pw_m"), i)[values[k]], gap)).alias(name))
+        wide = d is not None and isinstance(d.type, T.DoubleType) and K.is_number(kind)
+        out.append(F.transform(steps, _cell(values[k], gap, "double" if wide else None)).alias(name))
     point = lambda i: F.col(lo) + i.cast("long") * s if integral else F.col(lo) + i * s
     made = (lambda i: K.from_micros(point(i))) if time else (lambda i: K.micros_span(point(i))) if K.is_span(axis.type) else (lambda i: point(i).cast(axis.type if integral else "double"))
     out.append(F.transform(steps, made).alias(axis_name))
