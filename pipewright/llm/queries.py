@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipewright.llm import decontaminate, jaccard, lang_id, mixing, sharding, suffix, vectors
+from pipewright.llm import decontaminate, html, jaccard, lang_id, mixing, sharding, suffix, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +47,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op4_language_id, op5_decontamination, op7_embedding_dedup, op9_suffix_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op4_language_id, op5_decontamination, op6_html, op7_embedding_dedup, op9_suffix_dedup, op10_sharding)}
 
 
 def _mixing_sql(c: mixing.Curriculum = mixing.PRODUCTION) -> str:
