@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipewright.llm import decontaminate, html, jaccard, lang_id, mixing, sharding, suffix, vectors
+from pipewright.llm import decontaminate, html, jaccard, lang_id, mixing, sharding, suffix, vectors, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op4_language_id, op5_decontamination, op6_html, op7_embedding_dedup, op9_suffix_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op4_language_id, op5_decontamination, op6_html, op7_embedding_dedup, op8_warc_zip, op9_suffix_dedup, op10_sharding)}
 
 
 def _mixing_sql(c: mixing.Curriculum = mixing.PRODUCTION) -> str:
@@ -94,4 +98,4 @@ FROM d JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing_sql(), "op10_sharding": _sharding_sql()}
+    return {"op1_mixing": _mixing_sql(), "op8_warc_zip": "SELECT page_id, url, html FROM pages", "op10_sharding": _sharding_sql()}
