@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipewright.llm import decontaminate, html, jaccard, lang_id, mixing, sharding, suffix, vectors, warc_zip
+from pipewright.llm import decontaminate, html, jaccard, lang_id, mixing, pii, sharding, suffix, vectors, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redactions(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return lang_id.identify(docs, lang_id.fit(docs))
@@ -51,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op4_language_id, op5_decontamination, op6_html, op7_embedding_dedup, op8_warc_zip, op9_suffix_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op3_pii, op4_language_id, op5_decontamination, op6_html, op7_embedding_dedup, op8_warc_zip, op9_suffix_dedup, op10_sharding)}
 
 
 def _mixing_sql(c: mixing.Curriculum = mixing.PRODUCTION) -> str:
