@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pipewright.llm._shared import BROADCAST_BYTES, map_arrow, slices, written
 from pipewright.llm._text import hashes, mix, text_bytes, tokens, windows
 
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 UNITS = tuple(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ounce ounces ton tons ml l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros usd eur cent cents "

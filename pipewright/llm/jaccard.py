@@ -23,7 +23,7 @@ from pipewright.llm._text import WORDS, hashes, mix, text_bytes, tokens, windows
 from pipewright.llm.components import components
 
 SLOTS = 128
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _U = np.uint64
 #: Two sampled slots for each node: two sets of similarity 1/2 then share one child on average.
 PICKS = 2

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pipewright import ship
 from pipewright.llm._shared import map_arrow, slices
 
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 SCORED = "language string, language_score double, language_fit double, n_grams long"
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pipewright.llm import trees
 from pipewright.llm._shared import map_arrow, slices
 
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "secret")
 #: What proposes spans of each kind: wide nets, precision is the trees' part.  Group 1, if there is one, is the span.
 GENERATORS = {

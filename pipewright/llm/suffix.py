@@ -22,7 +22,7 @@ from pipewright import ship
 from pipewright.llm._shared import map_arrow, slices
 from pipewright.llm._text import SPACES, hashes, mix, text_bytes, tokens, windows
 
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _U = np.uint64
 SPACES_NOT = ~SPACES
 #: Suffixes in one batch of the family.
