@@ -45,6 +45,11 @@ def json_list(xs: list[Val]) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *[json_value(x) for x in xs]), F.lit("]"))
 
 
+@function("strcat_array", 2)
+def _strcat_array(_, a, d):
+    return F.array_join(F.transform(a.arr, lambda x: x.cast("string")), d.const("the delimiter"))
+
+
 @function("array_length", 1)
 def _array_length(_, a):
     if a.is_array:
