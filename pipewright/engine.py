@@ -41,6 +41,7 @@ class Engine:
         self.spark = spark
         self._folder = tables if isinstance(tables, str) else None
         self._tables: dict[str, DataFrame] = dict(tables) if isinstance(tables, dict) else {}
+        self._case = spark.conf.get("spark.sql.caseSensitive", "false")
         self.functions: dict[str, Function] = {}
         self.render: RenderInfo | None = None
 
@@ -58,7 +59,13 @@ class Engine:
             if df is not None:
                 self._tables[name] = df
                 return df
-        return self.spark.table(f"`{name}`") if self.spark.catalog.tableExists(name) else None
+        # The catalog stores names as the session's own setting has them.
+        now = self.spark.conf.get("spark.sql.caseSensitive")
+        self.spark.conf.set("spark.sql.caseSensitive", self._case)
+        try:
+            return self.spark.table(f"`{name}`") if self.spark.catalog.tableExists(name) else None
+        finally:
+            self.spark.conf.set("spark.sql.caseSensitive", now)
 
     def names(self) -> list[str]:
         return sorted({*self._tables, *(t.name for t in self.spark.catalog.listTables())})

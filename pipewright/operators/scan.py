@@ -209,33 +209,24 @@ class _Sequence:
         for source in rows:
             # Later steps first, so that one row does not pass several steps of a match.
             for k in reversed(range(n)):
-                name, _optional, output, predicate, assigns = self.steps[k]
-                came = k == 0 or states[k] is not None or self.reached(k, states)
-                if not came:
-                    continue
+                _, _, output, predicate, assigns = self.steps[k]
                 before = list(states)
-                if k > 0 and states[k] is None:
-                    prior = max(j for j in range(k) if states[j] is not None)
-                    row = {**source, **{c: states[prior].get(c) for c in self.declared}}
-                    number = ids[prior]
-                else:
-                    prior = None
-                    row = {**source, **self.declared}
-                    number = ids[k]
-                    if k > 0 or states[0] is not None:
-                        row |= {c: states[k].get(c) for c in self.declared} if states[k] else {}
-                if not self.value(predicate, row, before):
+                done = None
+                for prior, row, number in self.ways(k, source, states, ids):
+                    if self.value(predicate, row, before):
+                        done = dict(row)
+                        break
+                if done is None:
                     continue
                 if k == 0 and (states[0] is None or n > 1):
                     number = matches
                     matches += 1
-                done = dict(row)
                 for c, e in assigns:
                     done[c] = self.value(e, done, before)
                 states[k], ids[k] = done, number
                 if prior is not None:
                     # The match moved on.
-                    for j in range(prior + 1):
+                    for j in range(prior, k):
                         states[j], ids[j] = None, None
                 if output != "none":
                     out.append({**done, **({self.match_id: number} if self.match_id else {})})
@@ -243,6 +234,19 @@ class _Sequence:
                     break
         return out
 
+    def ways(self, k: int, source: dict, states: list, ids: list) -> list[tuple[int | None, dict, int | None]]:
+        """(step before or None, row with the state's declared columns, match) of the ways in which a row can match
+        step k: a match that waits before it comes first, then one that is in it already."""
+        out = []
+        if k and self.reached(k, states):
+            prior = max(j for j in range(k) if states[j] is not None)
+            out.append((prior, {**source, **{c: states[prior].get(c) for c in self.declared}}, ids[prior]))
+        if states[k] is not None:
+            out.append((None, {**source, **{c: states[k].get(c) for c in self.declared}}, ids[k]))
+        elif k == 0:
+            out.append((None, {**source, **self.declared}, None))
+        return out
+
     def reached(self, k: int, states: list) -> bool:
         """Is a match waiting before step k, with only optional steps between?"""
         for j in reversed(range(k)):
@@ -299,8 +303,9 @@ def _sequential(lowering, frame: Frame, env, op, declared) -> Frame:
                 out[f.name] = pd.Series(values, dtype="object")
         return pd.DataFrame(out, columns=names)
 
-    group = [quoted(k) for k in keys] or [F.lit(0)]
-    out = numbered.groupBy(*group).applyInPandas(run, schema)
+    if not keys:
+        numbered = numbered.withColumn("__pw_all", F.lit(0))
+    out = numbered.groupBy(*[quoted(k) for k in keys or ["__pw_all"]]).applyInPandas(run, schema)
     kept = [o for o in order if o[0] in names]
     result = frame.with_df(out, order=tuple(kept) if len(kept) == len(order) else ())
     visible = [c for c in columns if c not in declared] + list(declared) + ([match_id] if match_id else [])

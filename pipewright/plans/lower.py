@@ -24,7 +24,9 @@ class Lowering:
 
     def __init__(self, spark: SparkSession, tables: Resolver, names: Any, functions: dict[str, Function]):
         self.spark, self.tables, self.names = spark, tables, names
-        self.globals: dict[str, Any] = {n: ("function", f, {}) for n, f in functions.items()}
+        #: Stored functions; each sees all of them.
+        self.globals: dict[str, Any] = {}
+        self.globals |= {n: ("function", f, self.globals) for n, f in functions.items()}
         self.render: Any = None
         #: Names bound by ``as``.
         self.named: dict[str, Frame] = {}

@@ -210,7 +210,7 @@ def text(x: Column, t: T.DataType) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
-_FORMATS = ("M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d", "d MMM yyyy H:mm:ss", "d MMM yyyy", "MMM d, yyyy", "EEE, d MMM yyyy HH:mm:ss", "yyyyMMdd")
+_FORMATS = ("M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d", "d MMM yyyy H:mm:ss", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd")
 
 
 def cast(x: Column, t: T.DataType, kind: str) -> Column:
@@ -242,7 +242,8 @@ def cast(x: Column, t: T.DataType, kind: str) -> Column:
         if is_number(t):
             return from_micros(F.floor(x / F.lit(10)).cast("long") - F.lit(EPOCH))
         if string:
-            bare = F.regexp_replace(F.trim(x), r"(?i)z$", "")
+            # Without a zone or the name of the day.
+            bare = F.regexp_replace(F.trim(x), r"(?i)z$|^[a-z]{3}, | gmt$", "")
             return F.coalesce(
                 bare.try_cast("timestamp_ntz"),
                 *[F.try_to_timestamp(bare, F.lit(f)).cast("timestamp_ntz") for f in _FORMATS],
