@@ -38,9 +38,10 @@ class LanguageModel:
 
 def _grams(texts: list[str], bits: int, orders: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order: the bucket of every n-gram of letters, and the row it is in."""
-    joined = "\n".join(texts).lower()
+    # Each row opens with a separator, so that its n-grams do not depend on the rows around it.
+    joined = ("\n" + "\n".join(texts)).lower()
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    rows = np.cumsum(codes == 10)
+    rows = np.cumsum(codes == 10) - 1
     # A text's own line breaks are spaces; they were replaced before joining, so "\n" only separates rows.
     letter = (codes >= 97) & (codes <= 122) | (codes >= 0xC0) & (codes != 0xD7) & (codes != 0xF7) & ~((codes >= 0x2000) & (codes < 0x2C00)) & ~((codes >= 0x3000) & (codes < 0x3040))
     keep = letter.copy()
