@@ -85,14 +85,17 @@ class Templates:
         self.row = np.repeat(np.arange(len(column)), np.diff(self.first))
 
     def window(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """Token positions that start a window of ``n`` tokens of one row with enough literals, and its hash."""
+        """Token positions that start a window of ``n`` tokens of one row, and its hash: of the template if at least
+        ``literals`` of the tokens are literal, else of the tokens as they are, as too little of the template is left."""
         h = windows(self.template, n)
         if not len(h):
             return np.zeros(0, np.int64), h
         plain = np.zeros(len(self.kind) + 1, dtype=np.int32)
         np.cumsum(self.kind == 0, out=plain[1:])
-        ok = (self.row[: len(h)] == self.row[n - 1 :]) & (plain[n:] - plain[: len(h)] >= literals)
-        at = np.flatnonzero(ok)
+        bare = plain[n:] - plain[: len(h)] < literals
+        if bare.any():
+            h = np.where(bare, mix(windows(self.value, n) + np.uint64(1)), h)
+        at = np.flatnonzero(self.row[: len(h)] == self.row[n - 1 :])
         return at, h[at]
 
 
@@ -142,21 +145,22 @@ class _Items:
         self.ids = ids
         t = Templates(texts)
         self.kind, self.template, self.value, self.first = t.kind, t.template, t.value, t.first
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_size: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         sizes = np.diff(t.first)
         for size in sorted({min(n, int(s)) for s in sizes if s >= min(4, n)}):
-            at, h = t.window(size, -(-literals * size // n))
+            least = -(-literals * size // n)
+            at, h = t.window(size, least)
             own = (sizes[t.row[at]] == size) if size < n else np.ones(len(at), dtype=bool)
             at, h = at[own], h[own]
             order = np.argsort(h, kind="stable")
-            self.by_size[size] = (h[order], t.row[at][order], (at - t.first[t.row[at]])[order])
+            self.by_size[size, least] = (h[order], t.row[at][order], (at - t.first[t.row[at]])[order])
 
 
 def _match(items: _Items, t: Templates, coverage: float, min_run: int) -> Iterator[tuple[int, int, int, int, float]]:
     """(row, item, matched, longest run, coverage) of every contaminated row and item."""
     seeds: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for size, (h, item, pos) in items.by_size.items():
-        at, hd = t.window(size, 0)
+    for (size, least), (h, item, pos) in items.by_size.items():
+        at, hd = t.window(size, least)
         if not len(h) or not len(hd):
             continue
         lo = np.searchsorted(h, hd, side="left")
@@ -182,8 +186,8 @@ def _match(items: _Items, t: Templates, coverage: float, min_run: int) -> Iterat
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, literals: int = 4, coverage: float = 0.5, min_run: int = 25, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(key, item key, matched_tokens, longest_run, coverage) of each document and benchmark item found in it.
 
-    An item is found where windows of ``n`` template tokens (at least ``literals`` of them literal) agree and, on
-    one alignment, tokens with consistent slots make up ``coverage`` of the item, or ``min_run`` tokens in a row.
+    An item is found where windows of ``n`` template tokens agree (windows with fewer than ``literals`` literal tokens:
+    the tokens themselves) and, on one alignment, tokens with consistent slots make up ``coverage`` of the item, or ``min_run`` tokens in a row.
     Items of 4 to ``n`` - 1 tokens are one window each; shorter ones are not searched for.
 
     Null or empty documents and items match nothing; a repeated document row gives a repeated result, a repeated
