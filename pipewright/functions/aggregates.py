@@ -43,8 +43,8 @@ def _sum(x: Column, v: Val) -> Column:
 
 
 @aggregate("count")
-def _count(_):
-    return F.count(F.lit(1))
+def _count(_, x=None):
+    return F.count(F.lit(1) if x is None else x.col)
 
 
 @aggregate("countif")

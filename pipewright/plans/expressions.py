@@ -17,6 +17,8 @@ from pipewright.lang.tree import Bin, Call, DataTable, Function, Index, Items, L
 from pipewright.plans.frame import Frame, fresh, quoted
 
 _WINDOWS = {"row_number", "prev", "next", "row_cumsum", "row_rank_dense", "row_rank_min", "row_window_session"}
+#: Operators on text that may also be written as functions.
+_TEXT_CALLS = {w + cs for w in ("contains", "startswith", "endswith", "has", "hasprefix", "hassuffix") for cs in ("", "_cs")}
 _LETTER = r"[\p{L}\p{N}]"
 _BEFORE, _AFTER = rf"(?<!{_LETTER})", rf"(?!{_LETTER})"
 
@@ -330,6 +332,8 @@ class Scope:
             args = [scope.lower(a) for a in e.args]
             out = AGGREGATES[name](self, *args)
             return out if isinstance(out, Val) else self.val(out)
+        if name in _TEXT_CALLS and len(e.args) == 2:
+            return self._bin(Bin(name, *e.args))
         if name in FUNCTIONS:
             return build(name, self.frame, [self.lower(a) for a in e.args])
         if name in AGGREGATES:

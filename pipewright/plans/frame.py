@@ -64,7 +64,7 @@ class Frame:
 
     def is_json(self, name: str) -> bool:
         f = self.fields.get(name)
-        return bool(f and isinstance(f.dataType, T.StringType) and f.metadata.get("kql") == "dynamic")
+        return bool(f and isinstance(f.dataType, T.StringType) and f.metadata.get("pipewright") == "dynamic")
 
     def ordering(self) -> list[Column]:
         out = []

@@ -48,7 +48,8 @@ def python_value(value: Any, kind: str, literal_kind: str = "") -> Any:
             us = value if isinstance(value, int) and literal_kind == "timespan" else span_micros(str(value))
             return None if us is None else dt.timedelta(microseconds=us)
         if kind == "dynamic":
-            return value if isinstance(value, str) and literal_kind != "dynamic" else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+            # A string stands for itself, as it does where navigation yields one.
+            return value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
         if kind == "guid":
             return str(value).lower()
     except (ValueError, ArithmeticError):

@@ -1,7 +1,7 @@
 """The language's types on Spark's, casts and text forms.
 
 datetime is TIMESTAMP_NTZ, timespan a day-time interval, guid a lower-case string.  dynamic is a native array where
-the elements' type is known, else JSON text; columns of JSON text carry the metadata ``{"kql": "dynamic"}``.
+the elements' type is known, else JSON text; columns of JSON text carry the metadata ``{"pipewright": "dynamic"}``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ SPARK = {
     "guid": T.StringType(),
     "dynamic": T.StringType(),
 }
-DYNAMIC = {"kql": "dynamic"}
+DYNAMIC = {"pipewright": "dynamic"}
 #: Microseconds between 0001-01-01, where bins start, and 1970-01-01.
 EPOCH = 62_135_596_800_000_000
 _CLR = {"bool": "System.SByte", "int": "System.Int32", "long": "System.Int64", "real": "System.Double", "decimal": "System.Data.SqlTypes.SqlDecimal", "datetime": "System.DateTime", "timespan": "System.TimeSpan", "string": "System.String", "dynamic": "System.Object"}
