@@ -48,7 +48,8 @@ _UNIT_HASHES = np.sort(np.array([_literal(u) for u in UNITS], dtype=np.uint64))
 
 class Templates:
     """Tokens of a slice of texts: ``kind`` 0 is a literal; ``template`` is what windows are made of, ``value`` the
-    hash of the token itself (lower-cased)."""
+    hash of the token itself (lower-cased).  There are two of ``kind`` and ``template``: with names as placeholders,
+    and with names as literals, for texts whose capitals say nothing (all capitals, titles)."""
 
     def __init__(self, column: pa.Array):
         data, offsets = text_bytes(column)
@@ -80,18 +81,19 @@ class Templates:
         if n:
             at = np.minimum(np.searchsorted(_UNIT_HASHES, self.value), len(_UNIT_HASHES) - 1)
             unit[1:] = (_UNIT_HASHES[at] == self.value)[1:] & number[:-1]
-        self.kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(upper & ~opens, NAME, 0))).astype(np.int8)
-        self.template = np.where(self.kind > 0, mix(self.kind.astype(np.uint64)), self.value)
+        slots = np.where(number, NUMBER, np.where(unit, UNIT, 0)).astype(np.int8)
+        self.kind = [np.where((slots == 0) & upper & ~opens, np.int8(NAME), slots), slots]
+        self.template = [np.where(k > 0, mix(k.astype(np.uint64)), self.value) for k in self.kind]
         self.row = np.repeat(np.arange(len(column)), np.diff(self.first))
 
-    def window(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    def window(self, n: int, literals: int, form: int) -> tuple[np.ndarray, np.ndarray]:
         """Token positions that start a window of ``n`` tokens of one row, and its hash: of the template if at least
         ``literals`` of the tokens are literal, else of the tokens as they are, as too little of the template is left."""
-        h = windows(self.template, n)
+        h = windows(self.template[form], n)
         if not len(h):
             return np.zeros(0, np.int64), h
-        plain = np.zeros(len(self.kind) + 1, dtype=np.int32)
-        np.cumsum(self.kind == 0, out=plain[1:])
+        plain = np.zeros(len(self.value) + 1, dtype=np.int32)
+        np.cumsum(self.kind[form] == 0, out=plain[1:])
         bare = plain[n:] - plain[: len(h)] < literals
         if bare.any():
             h = np.where(bare, mix(windows(self.value, n) + np.uint64(1)), h)
@@ -145,22 +147,23 @@ class _Items:
         self.ids = ids
         t = Templates(texts)
         self.kind, self.template, self.value, self.first = t.kind, t.template, t.value, t.first
-        self.by_size: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_size: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         sizes = np.diff(t.first)
         for size in sorted({min(n, int(s)) for s in sizes if s >= min(4, n)}):
             least = -(-literals * size // n)
-            at, h = t.window(size, least)
-            own = (sizes[t.row[at]] == size) if size < n else np.ones(len(at), dtype=bool)
-            at, h = at[own], h[own]
-            order = np.argsort(h, kind="stable")
-            self.by_size[size, least] = (h[order], t.row[at][order], (at - t.first[t.row[at]])[order])
+            for form in (0, 1):
+                at, h = t.window(size, least, form)
+                own = (sizes[t.row[at]] == size) if size < n else np.ones(len(at), dtype=bool)
+                at, h = at[own], h[own]
+                order = np.argsort(h, kind="stable")
+                self.by_size[size, least, form] = (h[order], t.row[at][order], (at - t.first[t.row[at]])[order])
 
 
 def _match(items: _Items, t: Templates, coverage: float, min_run: int) -> Iterator[tuple[int, int, int, int, float]]:
     """(row, item, matched, longest run, coverage) of every contaminated row and item."""
-    seeds: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for (size, least), (h, item, pos) in items.by_size.items():
-        at, hd = t.window(size, least)
+    seeds: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
+    for (size, least, form), (h, item, pos) in items.by_size.items():
+        at, hd = t.window(size, least, form)
         if not len(h) or not len(hd):
             continue
         lo = np.searchsorted(h, hd, side="left")
@@ -169,15 +172,15 @@ def _match(items: _Items, t: Templates, coverage: float, min_run: int) -> Iterat
         for k, a, b in zip(hit.tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
             p = int(at[k])
             for j in range(a, b):
-                seeds[int(t.row[p]), int(item[j])].add(p - int(pos[j]))
+                seeds[int(t.row[p]), int(item[j])].add((p - int(pos[j]), form))
     for (row, item), diagonals in seeds.items():
         a, b = int(items.first[item]), int(items.first[item + 1])
         lo, hi = int(t.first[row]), int(t.first[row + 1])
         best = (0, 0)
-        for d in diagonals:
+        for d, form in diagonals:
             s, e = max(lo, d), min(hi, d + b - a)
             i = slice(a + s - d, a + e - d)
-            best = max(best, compare(items.kind[i], items.template[i], items.value[i], t.template[s:e], t.value[s:e]))
+            best = max(best, compare(items.kind[form][i], items.template[form][i], items.value[i], t.template[form][s:e], t.value[s:e]))
         share = best[0] / (b - a)
         if share >= coverage or best[1] >= min_run:
             yield row, item, best[0], best[1], share
@@ -186,8 +189,8 @@ def _match(items: _Items, t: Templates, coverage: float, min_run: int) -> Iterat
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, literals: int = 4, coverage: float = 0.5, min_run: int = 25, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(key, item key, matched_tokens, longest_run, coverage) of each document and benchmark item found in it.
 
-    An item is found where windows of ``n`` template tokens agree (windows with fewer than ``literals`` literal tokens:
-    the tokens themselves) and, on one alignment, tokens with consistent slots make up ``coverage`` of the item, or ``min_run`` tokens in a row.
+    An item is found where windows of ``n`` template tokens agree (with names as placeholders or as literals;
+    windows with fewer than ``literals`` literal tokens: the tokens themselves) and, on one alignment, tokens with consistent slots make up ``coverage`` of the item, or ``min_run`` tokens in a row.
     Items of 4 to ``n`` - 1 tokens are one window each; shorter ones are not searched for.
 
     Null or empty documents and items match nothing; a repeated document row gives a repeated result, a repeated

@@ -16,7 +16,7 @@ def found(spark, texts, **options):
 def test_exact_and_reparameterised(spark):
     other_numbers = ITEM.replace("60", "72").replace("45", "38").replace("210", "440").replace("Boston", "Lisbon")
     inside = words(200, 1) + " " + OTHER + " " + words(100, 2)
-    assert found(spark, [ITEM, other_numbers, inside, words(300, 3)]) == [(0, 1), (1, 1), (2, 2)]
+    assert found(spark, [ITEM, other_numbers, inside, words(300, 3), OTHER.upper(), ITEM.title()]) == [(0, 1), (1, 1), (2, 2), (4, 2), (5, 1)]
 
 
 def test_slots_must_be_consistent():
@@ -26,8 +26,8 @@ def test_slots_must_be_consistent():
     a = t(pa.array(["add 5 and 5 to get 10 then take 5"]))
     same = t(pa.array(["add 7 and 7 to get 14 then take 7"]))
     other = t(pa.array(["add 7 and 8 to get 14 then take 9"]))
-    assert decontaminate.compare(a.kind, a.template, a.value, same.template, same.value) == (10, 10)
-    assert decontaminate.compare(a.kind, a.template, a.value, other.template, other.value)[1] < 10
+    assert decontaminate.compare(a.kind[0], a.template[0], a.value, same.template[0], same.value) == (10, 10)
+    assert decontaminate.compare(a.kind[0], a.template[0], a.value, other.template[0], other.value)[1] < 10
 
 
 def test_parts_agree_with_one_broadcast(spark):
