@@ -48,6 +48,21 @@ class Engine:
     def register(self, name: str, df: DataFrame) -> None:
         self._tables[name] = df
 
+    def load(self, name: str, *paths: str, **options: Any) -> DataFrame:
+        """Registers files (Parquet, JSON lines, CSV, text, ORC; gzipped or not) as a table."""
+        from pipewright.sources import readers
+
+        df = readers.read(self.spark, list(paths), options.pop("format", None), None, options)
+        self.register(name, df)
+        return df
+
+    def frames(self, text: str, version: int = 2, progressive: bool = False) -> Any:
+        """A query's result as JSON-ready frames: a table object (1) or an iterator of frames (2)."""
+        from pipewright.sources import frames
+
+        df = self.query(text)
+        return frames.version_1(df) if version == 1 else frames.version_2(df, self.render, progressive)
+
     def table(self, name: str) -> DataFrame | None:
         if name in self._tables:
             return self._tables[name]

@@ -85,6 +85,7 @@ class RenderInfo:
     legend: str | None = None
     accumulate: bool = False
     variant: str | None = None
+    sorted: bool = False
     extra: dict[str, str] = field(default_factory=dict)
 
 
@@ -99,7 +100,7 @@ def render(lowering, frame, op, _env):
     known = {"title", "xcolumn", "ycolumns", "series", "anomalycolumns", "xtitle", "ytitle", "xaxis", "yaxis", "ysplit", "ymin", "ymax", "xmin", "xmax", "legend", "accumulate", "kind"}
     lowering.render = RenderInfo(
         op.chart, o.get("title"), o.get("xcolumn"), _names(o.get("ycolumns", "")), _names(o.get("series", "")), _names(o.get("anomalycolumns", "")), o.get("xtitle"), o.get("ytitle"), o.get("xaxis"), o.get("yaxis"), o.get("ysplit"),
-        number("ymin"), number("ymax"), o.get("xmin"), o.get("xmax"), o.get("legend"), o.get("accumulate", "").lower() == "true", o.get("kind"), {k: v for k, v in o.items() if k not in known},
+        number("ymin"), number("ymax"), o.get("xmin"), o.get("xmax"), o.get("legend"), o.get("accumulate", "").lower() == "true", o.get("kind"), bool(frame.order), {k: v for k, v in o.items() if k not in known},
     )
     return frame
 
