@@ -123,6 +123,18 @@ _add("parse_kv", "customer | extend line=strcat('id=', c_custkey, '; seg = ', c_
 _add("search_terms", "conversations | search 'from' and not('zzz') | project conv_id, turn", f"SELECT conv_id, turn FROM conversations WHERE (regexp_matches(lower(text), '{_B}from{_A}') OR regexp_matches(lower(role), '{_B}from{_A}'))")
 _add("hash_digest", "documents | project doc_id, m=hash_md5(text), s=hash_sha1(text), h=hash_sha256(text), b=base64_encode_tostring(source)", "SELECT doc_id, md5(text) AS m, sha1(text) AS s, sha256(text) AS h, base64(encode(source)) AS b FROM documents")
 _add("url_ipv4", "pages | extend u=parse_json(parse_url(url)) | project page_id, sch=tostring(u.Scheme), host=tostring(u.Host), q=tostring(parse_json(parse_urlquery(url)).Query), ip=parse_ipv4(strcat('10.', page_id % 256, '.3.4')), private=ipv4_is_private(strcat('10.', page_id % 256, '.3.4')), inside=ipv4_is_in_range(strcat('10.', page_id % 256, '.3.4'), '10.64.0.0/10'), f=format_ipv4(page_id * 70001)", r"SELECT page_id, regexp_extract(url, '^(\w+)://', 1) AS sch, regexp_extract(url, '://([^/?#:]+)', 1) AS host, regexp_extract(url, '\?(.+)', 1) AS q, 167772160 + (page_id % 256) * 65536 + 772 AS ip, true AS private, (page_id % 256) BETWEEN 64 AND 127 AS inside, concat_ws('.', CAST((page_id*70001) // 16777216 % 256 AS VARCHAR), CAST((page_id*70001) // 65536 % 256 AS VARCHAR), CAST((page_id*70001) // 256 % 256 AS VARCHAR), CAST((page_id*70001) % 256 AS VARCHAR)) AS f FROM pages")
+# More functions, one query for each family.
+_add("string_functions_2", "customer | project c_custkey, a=url_encode(strcat(c_name, ' &x')), b=url_decode('a%20b'), c=base64_encode_tostring(c_name), d=base64_decode_tostring(base64_encode_tostring(c_name)), e=replace_regex(c_name, '0+', '_'), f=strcat_array(extract_all('([0-9])[0-9]', c_name), ','), g=tohex(c_custkey), h=unicode(c_name), i=make_string(65 + c_nationkey), j=parse_path('/a/b/c.txt'), k=strcat_array(parse_csv('x,y,z'), '|'), l=strcat_array(parse_version('1.2.3'), '-'), m=trim_start('C', c_name), n=trim_end('[0-9]', c_name), o=has_any_index(c_name, dynamic(['zzz','customer'])), p=replace_strings(c_mktsegment, dynamic(['A','E']), dynamic(['4','3']))", "SELECT c_custkey, replace(c_name, '#', '%23') || '%20%26x' AS a, 'a b' AS b, base64(encode(c_name)) AS c, c_name AS d, regexp_replace(c_name, '0+', '_', 'g') AS e, array_to_string(regexp_extract_all(c_name, '([0-9])[0-9]', 1), ',') AS f, lower(to_hex(c_custkey)) AS g, CAST(unicode(c_name) AS BIGINT) AS h, chr(CAST(65 + c_nationkey AS INTEGER)) AS i, 'c.txt' AS j, 'x|y|z' AS k, '1-2-3' AS l, substr(c_name, 2) AS m, left(c_name, length(c_name) - 1) AS n, CAST(1 AS BIGINT) AS o, replace(replace(c_mktsegment, 'A', '4'), 'E', '3') AS p FROM customer")
+_add("math_functions_2", "events | extend x=value/100.0 | project event_id, a=round(cos(x), 6), b=round(tan(x), 6), c=round(atan(x), 6), d=round(atan2(x, 2.0), 6), e=round(exp2(x), 6), f=round(exp10(x), 5), g=round(log2(x+1.0), 6), h=round(log10(x+1.0), 6), i=round(degrees(x), 6), j=round(radians(x), 6), k=binary_or(event_id, 9), l=binary_not(event_id), m=binary_shift_right(event_id, 1), n=round(pi(), 6), o=isnan(log(0.0-1.0)), p=isinf(log(0.0)), q=isfinite(x), r=round(gamma(5.0), 6), s=round(loggamma(5.0), 6)", "SELECT event_id, round(cos(x), 6) AS a, round(tan(x), 6) AS b, round(atan(x), 6) AS c, round(atan2(x, 2.0), 6) AS d, round(pow(2, x), 6) AS e, round(pow(10, x), 5) AS f, round(log2(x+1.0), 6) AS g, round(log10(x+1.0), 6) AS h, round(degrees(x), 6) AS i, round(radians(x), 6) AS j, event_id | 9 AS k, ~event_id AS l, event_id >> 1 AS m, round(pi(), 6) AS n, true AS o, true AS p, true AS q, CAST(24.0 AS DOUBLE) AS r, round(lgamma(5.0::DOUBLE), 6) AS s FROM (SELECT event_id, value/100.0 AS x FROM events)")
+_add("time_functions_2", "events | project event_id, a=unixtime_seconds_todatetime(event_id * 1000), b=unixtime_milliseconds_todatetime(event_id * 1000), c=make_datetime(2024, 2, 1 + event_id % 28, 3, 4, 5.5), d=tolong(make_timespan(1, 30) / 1s), e=tolong(totimespan('1.02:03:04') / 1s), f=datetime_utc_to_local(ts, 'Asia/Tokyo'), g=datetime_local_to_utc(ts, 'Asia/Tokyo'), h=bin_at(ts, 1d, datetime(2024-01-01 12:00)), i=todatetime(format_datetime(ts, 'yyyy-MM-dd HH:mm')), j=tolong(ts), k=datetime_diff('tick', ts, datetime(2024-01-01))", "SELECT event_id, make_timestamp(event_id * 1000000000) AS a, make_timestamp(event_id * 1000000) AS b, make_timestamp(2024, 2, 1 + event_id % 28, 3, 4, 5.5) AS c, CAST(5400 AS BIGINT) AS d, CAST(93784 AS BIGINT) AS e, ts + INTERVAL 9 HOUR AS f, ts - INTERVAL 9 HOUR AS g, make_timestamp(CAST(epoch_us(TIMESTAMP '2024-01-01 12:00:00') + floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 12:00:00')) / 86400000000.0) * 86400000000 AS BIGINT)) AS h, date_trunc('minute', ts)::TIMESTAMP AS i, (epoch_us(ts) + 62135596800000000) * 10 AS j, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 10 AS k FROM events")
+_add("array_functions_2", "orders | summarize a=array_sort_asc(make_list(o_orderkey)) by o_custkey | project o_custkey, s=strcat_array(array_sort_desc(a), ','), c=strcat_array(array_concat(a, dynamic([0])), ','), r=strcat_array(array_rotate_left(a, 1), ','), q=strcat_array(array_shift_right(a, 1, -1), ','), t=array_sum(a), u=round(array_avg(a), 4), z=array_length(zip(a, a)), p=array_length(array_split(a, 2)), i=strcat_array(array_iff(dynamic([true,false]), a, -5), ','), h=array_length(range(1, 10, 3))", "SELECT o_custkey, array_to_string(list_reverse(a), ',') AS s, array_to_string(list_append(a, 0), ',') AS c, array_to_string(list_concat(a[2:], a[1:1]), ',') AS r, array_to_string(list_prepend(-1, a[1:len(a)-1]), ',') AS q, CAST(list_sum(a) AS DOUBLE) AS t, round(list_avg(a), 4) AS u, CAST(len(a) AS BIGINT) AS z, CAST(2 AS BIGINT) AS p, concat(a[1], ',-5') AS i, CAST(4 AS BIGINT) AS h FROM (SELECT o_custkey, list_sort(list(o_orderkey)) AS a FROM orders GROUP BY 1)")
+_add("bag_functions", "events | extend d=parse_json(props) | project event_id, m=bag_merge(d, dynamic({'k':0,'z':1})), r=bag_remove_keys(bag_set_key(d, 'x', 5), dynamic(['k'])), x=tolong(extract_json('$.k', props)), g=gettype(d), j=dynamic_to_json(d), u=tostring(parse_json(strcat('{\"a\":[', event_id, ']}')).a[0])", "SELECT event_id, '{\"k\":' || (props->>'$.k') || ',\"z\":1}' AS m, '{\"x\":5}' AS r, CAST(props->>'$.k' AS BIGINT) AS x, 'dictionary' AS g, '{\"k\":' || (props->>'$.k') || '}' AS j, CAST(event_id AS VARCHAR) AS u FROM events")
+_add("series_fill", "events | make-series v=max(value) default=real(null) on ts from datetime(2024-01-01) to datetime(2024-01-31) step 12h by event_type | project event_type, f=round(array_sum(series_fill_const(v, 7.0)), 4), n=array_length(series_fill_forward(v)), gaps=array_sum(series_equals(series_fill_const(v, -1.0), -1.0))", None)
+_add("parse_regex", "pages | parse kind=regex url with '^https?://' host:string '/' lang:string '/' id:long * | project page_id, lang, id", r"SELECT page_id, regexp_extract(url, '^https?://(.*)/(.*)/(-?\d+).*?', 2) AS lang, try_cast(regexp_extract(url, '^https?://(.*)/(.*)/(-?\d+).*?', 3) AS BIGINT) AS id FROM pages")
+_add("search_wildcards", "conversations | search kind=case_sensitive text:'Th*' and turn < 3 | project conv_id, turn", r"SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(^|[^\p{L}\p{N}])Th') AND turn < 3")
+_add("star_predicates", "nation | where * contains 'nation_1' | project n_nationkey", "SELECT n_nationkey FROM nation WHERE contains(lower(n_name), 'nation_1')")
+_add("percentiles_array", "lineitem | summarize a=strcat_array(percentiles_array(l_partkey, 10, 50, 90), ','), m=minif(l_partkey, l_quantity > 10), v=round(varianceif(l_quantity, l_tax > 0.01), 4), s=round(stdevif(l_quantity, l_tax > 0.01), 4), t=take_anyif(l_returnflag, l_returnflag == 'R') by l_linenumber", "SELECT l_linenumber, concat_ws(',', quantile_disc(l_partkey, 0.1), quantile_disc(l_partkey, 0.5), quantile_disc(l_partkey, 0.9)) AS a, min(l_partkey) FILTER (l_quantity > 10) AS m, round(var_samp(l_quantity) FILTER (l_tax > 0.01), 4) AS v, round(stddev_samp(l_quantity) FILTER (l_tax > 0.01), 4) AS s, any_value(l_returnflag) FILTER (l_returnflag = 'R') AS t FROM lineitem GROUP BY 1")
+_add("serialize_consume", "orders | sort by o_orderkey asc | serialize n=row_number(), gap=o_orderkey - prev(o_orderkey, 1, 0) | where o_custkey < 20 | consume", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n, o_orderkey - coalesce(lag(o_orderkey) OVER (ORDER BY o_orderkey), 0) AS gap FROM orders) WHERE o_custkey < 20")
 # Bindings.
 _add("let_function", "let low = 1000.0; let big = (x:real, y:real=2.0) { x > low * y }; let rich = view() { customer | where big(c_acctbal) }; rich | where not(big(c_acctbal, 5.0)) | project c_custkey, c_acctbal", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 2000 AND NOT c_acctbal > 5000")
 _add("toscalar", "let top_bal = toscalar(customer | summarize max(c_acctbal)); let m = materialize(customer | where c_acctbal > top_bal * 0.9); m | project c_custkey, gap=round(top_bal - c_acctbal, 4)", "SELECT c_custkey, round((SELECT max(c_acctbal) FROM customer) - c_acctbal, 4) AS gap FROM customer WHERE c_acctbal > (SELECT max(c_acctbal) FROM customer) * 0.9")

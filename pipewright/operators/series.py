@@ -12,7 +12,7 @@ from pipewright.operators.base import operator
 from pipewright.operators.summarize import aggregates
 from pipewright.operators.tabular import _named
 from pipewright.plans import naming
-from pipewright.plans.expressions import Scope
+from pipewright.plans.expressions import Scope, compare
 from pipewright.plans.frame import Frame, fresh, quoted
 
 
@@ -43,9 +43,17 @@ def make_series(lowering, frame, op, env):
     s = K.span_micros(step.span) if time or K.is_span(axis.type) else step.num
     integral = time or K.is_span(axis.type) or K.is_integral(axis.type) and K.is_integral(step.type)
     x = fresh("x")
-    df = scope.frame.df.withColumn(x, number(axis)).where(F.col(x).isNotNull())
-    low = number(scope.lower(op.start)) if op.start is not None else None
-    high = number(scope.lower(op.stop)) if op.stop is not None else None
+    start = scope.lower(op.start) if op.start is not None else None
+    stop = scope.lower(op.stop) if op.stop is not None else None
+    df = scope.frame.df
+    # The limits on the axis itself, where the scan can use them.
+    if start is not None:
+        df = df.where(compare(">=", axis, start))
+    if stop is not None:
+        df = df.where(compare("<=" if op.inclusive else "<", axis, stop))
+    df = df.withColumn(x, number(axis)).where(F.col(x).isNotNull())
+    low = number(start) if start is not None else None
+    high = number(stop) if stop is not None else None
     lo, hi = fresh("lo"), fresh("hi")
     if low is None or high is None:
         # The missing limit is the data's; one row, joined in.
