@@ -25,18 +25,22 @@ def conjuncts(e):
 
 @operator("where", "filter")
 def where(lowering, frame, op, env):
-    """Conjuncts with ``in (table)`` become semi and anti joins; the others one filter, so that they are pushed down."""
+    """Conjuncts with ``in (table)`` become semi and anti joins; each other one is a filter, so that it is pushed down.
+    Window functions see all rows that come in, whatever the other conjuncts say."""
+    scope = Scope(lowering, frame, env)
+    conditions, members = [], []
     for part in conjuncts(op.predicate):
         if isinstance(part, Bin) and part.op in ("in", "!in", "in~", "!in~") and len(part.right.items) == 1 and lowering.is_table(part.right.items[0], env):
-            frame = _membership(lowering, frame, part, env)
+            members.append(part)
             continue
-        scope = Scope(lowering, frame, env)
+        scope.windowed = False
         c = scope.lower(part).bool
-        if scope.windowed:
-            name = scope.hoist(c)
-            frame = scope.frame.with_df(scope.frame.df.where(quoted(name)))
-        else:
-            frame = scope.frame.with_df(scope.frame.df.where(c))
+        conditions.append(quoted(scope.hoist(c)) if scope.windowed else c)
+    frame = scope.frame
+    for c in conditions:
+        frame = frame.with_df(frame.df.where(c))
+    for part in members:
+        frame = _membership(lowering, frame, part, env)
     return frame
 
 

@@ -116,6 +116,8 @@ def test_windows_and_restarts(engine):
     got = values(engine, DUPS + "D | sort by k asc, v asc | extend n=row_number(), p=prev(v), q=next(v, 1, -1), c=row_cumsum(v, k != prev(k)), d=row_rank_dense(k), m=row_rank_min(k)")
     assert got == [(1, 10, 1, None, 20, 10, 1, 1), (1, 20, 2, 10, 30, 30, 1, 1), (2, 30, 3, 20, 30, 30, 2, 3), (2, 30, 4, 30, 5, 60, 2, 3), (3, 5, 5, 30, -1, 5, 3, 5)]
     assert values(engine, DUPS + "D | sort by k asc, v asc | where v > prev(v) | project v") == [(20,), (30,)]
+    assert values(engine, DUPS + "D | sort by k asc, v asc | where v != 20 and v > prev(v) | project v") == [(30,)]
+    assert values(engine, DUPS + "D | sort by k asc, v asc | where v == 30 and prev(v) == 20 and k in (D | where v > 20 | project k) | project k") == [(2,)]
     assert values(engine, DUPS + "D | sort by k asc, v asc | project v | extend n=row_number() | where n == 5") == [(5, 5)]
 
 
