@@ -56,7 +56,9 @@ def _membership(lowering, frame, part, env):
     right = other.df.select(b.alias(name)).distinct()
     df = scope.frame.df.withColumn(key, a)
     how = "left_anti" if part.op.startswith("!") else "left_semi"
-    return scope.frame.with_df(df.join(right, F.col(key) == F.col(name), how).drop(key))
+    out = scope.frame.with_df(df.join(right, F.col(key) == F.col(name), how).drop(key))
+    # A join may shuffle: rows that were sorted are sorted again.
+    return out.with_df(out.df.orderBy(*out.ordering())) if out.order and not out.keys else out
 
 
 def _named(scope, exprs, namer, name_of=of_expression):
