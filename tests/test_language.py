@@ -197,3 +197,17 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters" in plan and "GreaterThan(l_quantity,45" in plan
     schema = next(x for x in plan.splitlines() if "ReadSchema" in x)
     assert "l_comment" not in schema and "l_partkey" not in schema
+
+
+def test_one_step_scans_agree_with_the_state_machine():
+    from pipewright.lang import parse_query
+    from pipewright.operators.scan import _Sequence, _Single
+
+    text = "T | scan declare (a:real=1.0, n:long=0) with (step s: v != 4 and (s.n < 3 or v > 5) => a = iff(isnull(v), s.a, s.a*0.5 + coalesce(v, 0)), n = case(v > 6, 0, v in (2, 3), s.n + 2, n + 1);)"
+    step = parse_query(text).ops[0].steps[0]
+    values = [1, 4, None, 2, 9, 3, 7, 5, 6, 2, 2, 8]
+    start = {"a": 1.0, "n": 0}
+    slow = _Sequence([step], start, None).run([{"v": v} for v in values])
+    hit, out = _Single(step, start).run({"v": values}, len(values))
+    assert [values[k] for k in hit] == [r["v"] for r in slow]
+    assert out == {c: [r[c] for r in slow] for c in start}
