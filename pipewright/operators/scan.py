@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -264,13 +265,16 @@ class _Single:
         self.step, self.declared = step, declared
         self.row: dict[str, Any] = {}
         self.state: dict[str, Any] = declared
-        self.at, self.last = 0, -1
+        self.at = 0
+        #: The row that matched last, as far as the expressions read it.
+        self.paths: set[str] = set()
+        self.prior: dict[str, Any] = {}
         self.columns: dict[str, list] = {}
         self.predicate = self.compiled(step[3])
         self.assigns = [(c, self.compiled(e)) for c, e in step[4]]
 
     def needs(self) -> set[str]:
-        return (_names(self.step[3]) | _names([e for _, e in self.step[4]])) - set(self.declared) - {self.step[0]}
+        return ((_names(self.step[3]) | _names([e for _, e in self.step[4]])) - set(self.declared) - {self.step[0]}) | self.paths
 
     def compiled(self, e: Any):
         if isinstance(e, Lit):
@@ -281,7 +285,10 @@ class _Single:
             return (lambda: self.row[name]) if name in self.declared else lambda: self.columns[name][self.at]
         if isinstance(e, Path):
             key = e.key
-            return (lambda: self.state[key]) if key in self.declared else lambda: self.columns[key][self.last] if self.last >= 0 else None
+            if key in self.declared:
+                return lambda: self.state[key]
+            self.paths.add(key)
+            return lambda: self.prior.get(key)
         if isinstance(e, Un):
             f = self.compiled(e.x)
             return (lambda: None if (x := f()) is None else -x) if e.op == "-" else f
@@ -312,23 +319,28 @@ class _Single:
             return lambda: f(*[a() for a in args])
         raise QueryError(f"scan: {type(e).__name__} is not supported with state")
 
-    def run(self, columns: dict[str, list], n: int) -> tuple[list[int], dict[str, list]]:
-        """The numbers of the rows that match, and their declared columns."""
-        self.columns, self.state, self.last = columns, dict(self.declared), -1
+    def reset(self) -> None:
+        self.state, self.prior = dict(self.declared), {}
+
+    def run(self, columns: dict[str, list], first: int, last: int, out: dict[str, list]) -> list[int]:
+        """Goes on over the rows from ``first`` to before ``last``: the numbers of those that match; their declared
+        columns are appended to ``out``."""
+        self.columns = columns
         hit: list[int] = []
-        out: dict[str, list] = {c: [] for c in self.declared}
-        for k in range(n):
+        for k in range(first, last):
             self.at = k
             self.row = dict(self.state)
             if not self.predicate():
                 continue
             for c, f in self.assigns:
                 self.row[c] = f()
-            self.state, self.last = self.row, k
+            self.state = self.row
+            if self.paths:
+                self.prior = {c: columns[c][k] for c in self.paths}
             hit.append(k)
             for c, values in out.items():
                 values.append(self.row[c])
-        return hit, out
+        return hit
 
 
 def _plain(v: Any) -> Any:
@@ -373,15 +385,30 @@ def _sequential(lowering, frame: Frame, env, op, declared) -> Frame:
     if simple:
         _Single(op.steps[0], start)  # errors before the job runs
 
-    def run_single(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(position, kind="stable")
+    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows as they come, batch by batch: a new key starts anew, however long its rows are."""
         one = _Single(op.steps[0], start)
-        given = {c: [_plain(v) for v in part[c].tolist()] for c in one.needs() if c in part.columns}
-        hit, made = one.run(given, len(part))
-        out = part.iloc[hit].reset_index(drop=True)
-        for n, (kind, _) in declared.items():
-            out[n] = series(made[n], K.SPARK[kind])
-        return out[names]
+        one.reset()
+        key: Any = None
+        for part in parts:
+            given = {c: [_plain(v) for v in part[c].tolist()] for c in one.needs() if c in part.columns}
+            own = list(zip(*[[_plain(v) for v in part[c].tolist()] for c in keys], strict=True)) if keys else [()] * len(part)
+            made: dict[str, list] = {c: [] for c in declared}
+            hit: list[int] = []
+            at = 0
+            while at < len(part):
+                if own[at] != key:
+                    one.reset()
+                    key = own[at]
+                stop = at + 1
+                while stop < len(part) and own[stop] == key:
+                    stop += 1
+                hit += one.run(given, at, stop, made)
+                at = stop
+            out = part.iloc[hit].reset_index(drop=True)
+            for n, (kind, _) in declared.items():
+                out[n] = series(made[n], K.SPARK[kind])
+            yield out[names]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(position, kind="stable")
@@ -393,9 +420,18 @@ def _sequential(lowering, frame: Frame, env, op, declared) -> Frame:
             out[f.name] = series(values, f.dataType)
         return pd.DataFrame(out, columns=names)
 
-    if not keys:
-        numbered = numbered.withColumn("__pw_all", F.lit(0))
-    out = numbered.groupBy(*[quoted(k) for k in keys or ["__pw_all"]]).applyInPandas(run_single if simple else run, schema)
+    if simple:
+        sequence = frame.ordering()
+        placed = df.repartition(*[quoted(k) for k in keys]) if keys else df.repartition(1)
+        if not order:
+            placed = df.withColumn(position, F.monotonically_increasing_id())
+            placed = placed.repartition(*[quoted(k) for k in keys]) if keys else placed.repartition(1)
+            sequence = [quoted(position)]
+        out = placed.sortWithinPartitions(*[quoted(k) for k in keys], *sequence).mapInPandas(stream, schema)
+    else:
+        if not keys:
+            numbered = numbered.withColumn("__pw_all", F.lit(0))
+        out = numbered.groupBy(*[quoted(k) for k in keys or ["__pw_all"]]).applyInPandas(run, schema)
     kept = [o for o in order if o[0] in names]
     result = frame.with_df(out, order=tuple(kept) if len(kept) == len(order) else ())
     visible = [c for c in columns if c not in declared] + list(declared) + ([match_id] if match_id else [])

@@ -124,6 +124,8 @@ def test_windows_and_restarts(engine):
 def test_scan(engine):
     assert values(engine, DUPS + "D | sort by k asc, v asc | scan declare (c:long=100) with (step s: true => c = s.c + v;) | project c") == [(110,), (130,), (160,), (190,), (195,)]
     assert values(engine, DUPS + "D | sort by k asc, v asc | scan declare (c:long=0) with (step s: true => c = iff(s.c >= 30, v, s.c + v);) | project c | sort by c asc") == [(5,), (10,), (30,), (30,), (30,)]
+    halves = "D | scan order by v asc partition by k declare (c:real=0.0) with (step s: true => c = s.c*0.5 + v;) | project k, v, c"
+    assert sorted(values(engine, DUPS + halves)) == [(1, 10, 10.0), (1, 20, 25.0), (2, 30, 30.0), (2, 30, 45.0), (3, 5, 5.0)]
     steps = "datatable(t:long, e:string)[1,'a',2,'x',3,'b',4,'a',5,'b'] | sort by t asc | scan with_match_id=m declare (at:long) with (step s1: e == 'a' => at = t; step s2: e == 'b' => at = s1.at;) | sort by t asc"
     assert values(engine, steps) == [(1, "a", 1, 0), (3, "b", 1, 0), (4, "a", 4, 1), (5, "b", 4, 1)]
 
@@ -208,6 +210,8 @@ def test_one_step_scans_agree_with_the_state_machine():
     values = [1, 4, None, 2, 9, 3, 7, 5, 6, 2, 2, 8]
     start = {"a": 1.0, "n": 0}
     slow = _Sequence([step], start, None).run([{"v": v} for v in values])
-    hit, out = _Single(step, start).run({"v": values}, len(values))
+    one, out = _Single(step, start), {"a": [], "n": []}
+    one.reset()
+    hit = one.run({"v": values}, 0, 5, out) + one.run({"v": values}, 5, len(values), out)
     assert [values[k] for k in hit] == [r["v"] for r in slow]
     assert out == {c: [r[c] for r in slow] for c in start}
