@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="pipewright-")
+    folder = tempfile.mkdtemp(prefix="pipewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
