@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pipewright import ship
 from pipewright import types as K
@@ -385,30 +387,34 @@ def _sequential(lowering, frame: Frame, env, op, declared) -> Frame:
     if simple:
         _Single(op.steps[0], start)  # errors before the job runs
 
-    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made_array(values: list, t: T.DataType) -> pa.Array:
+        convert = int if isinstance(t, (T.LongType, T.IntegerType)) else float if isinstance(t, T.DoubleType) else None
+        return pa.array([v if v is None or convert is None else convert(v) for v in values], to_arrow_type(t))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows as they come, batch by batch: a new key starts anew, however long its rows are."""
         one = _Single(op.steps[0], start)
         one.reset()
         key: Any = None
-        for part in parts:
-            given = {c: [_plain(v) for v in part[c].tolist()] for c in one.needs() if c in part.columns}
-            own = list(zip(*[[_plain(v) for v in part[c].tolist()] for c in keys], strict=True)) if keys else [()] * len(part)
+        for batch in batches:
+            n = batch.num_rows
+            column = lambda c, batch=batch: [_plain(v) for v in batch.column(c).to_pylist()]
+            given = {c: column(c) for c in one.needs() if c in batch.schema.names}
+            own = list(zip(*[column(c) for c in keys], strict=True)) if keys else [()] * n
             made: dict[str, list] = {c: [] for c in declared}
             hit: list[int] = []
             at = 0
-            while at < len(part):
+            while at < n:
                 if own[at] != key:
                     one.reset()
                     key = own[at]
                 stop = at + 1
-                while stop < len(part) and own[stop] == key:
+                while stop < n and own[stop] == key:
                     stop += 1
                 hit += one.run(given, at, stop, made)
                 at = stop
-            out = part.iloc[hit].reset_index(drop=True)
-            for n, (kind, _) in declared.items():
-                out[n] = series(made[n], K.SPARK[kind])
-            yield out[names]
+            index = pa.array(hit, pa.int64())
+            yield pa.RecordBatch.from_arrays([made_array(made[f.name], f.dataType) if f.name in declared else batch.column(f.name).take(index) for f in fields], names=names)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(position, kind="stable")
@@ -427,7 +433,7 @@ def _sequential(lowering, frame: Frame, env, op, declared) -> Frame:
             placed = df.withColumn(position, F.monotonically_increasing_id())
             placed = placed.repartition(*[quoted(k) for k in keys]) if keys else placed.repartition(1)
             sequence = [quoted(position)]
-        out = placed.sortWithinPartitions(*[quoted(k) for k in keys], *sequence).mapInPandas(stream, schema)
+        out = placed.sortWithinPartitions(*[quoted(k) for k in keys], *sequence).mapInArrow(stream, schema)
     else:
         if not keys:
             numbered = numbered.withColumn("__pw_all", F.lit(0))

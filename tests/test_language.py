@@ -126,6 +126,9 @@ def test_scan(engine):
     assert values(engine, DUPS + "D | sort by k asc, v asc | scan declare (c:long=0) with (step s: true => c = iff(s.c >= 30, v, s.c + v);) | project c | sort by c asc") == [(5,), (10,), (30,), (30,), (30,)]
     halves = "D | scan order by v asc partition by k declare (c:real=0.0) with (step s: true => c = s.c*0.5 + v;) | project k, v, c"
     assert sorted(values(engine, DUPS + halves)) == [(1, 10, 10.0), (1, 20, 25.0), (2, 30, 30.0), (2, 30, 45.0), (3, 5, 5.0)]
+    wide = "datatable(t:long, x:long, d:datetime, s:timespan)[1, 9007199254740993, datetime(2024-01-01), 1d, 2, long(null), datetime(null), 2d] | sort by t asc | scan declare (c:real=0.0, m:datetime, n:string='') with (step s: true => c = s.c*0.5 + t, m = coalesce(d, s.m), n = strcat(s.n, 'x');)"
+    day = dt.datetime(2024, 1, 1)
+    assert values(engine, wide + " | sort by t asc") == [(1, 9007199254740993, day, dt.timedelta(days=1), 1.0, day, "x"), (2, None, None, dt.timedelta(days=2), 2.5, day, "xx")]
     steps = "datatable(t:long, e:string)[1,'a',2,'x',3,'b',4,'a',5,'b'] | sort by t asc | scan with_match_id=m declare (at:long) with (step s1: e == 'a' => at = t; step s2: e == 'b' => at = s1.at;) | sort by t asc"
     assert values(engine, steps) == [(1, "a", 1, 0), (3, "b", 1, 0), (4, "a", 4, 1), (5, "b", 4, 1)]
 
