@@ -19,6 +19,8 @@ from pipewright.llm._shared import BROADCAST_BYTES, map_arrow, slices, written
 from pipewright.llm._text import hashes, mix, text_bytes, tokens, windows
 
 _SLICE = 1 << 20
+#: Fewest tokens in a row that add to what other alignments match.
+_PIECE = 4
 UNITS = tuple(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ounce ounces ton tons ml l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros usd eur cent cents "
@@ -34,6 +36,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WITHIN = np.zeros(256, dtype=bool)  # what may stand between the words of one name
+_WITHIN[[9, 32, 39, 45]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[33, 46, 58, 59, 63, 10, 13, 34, 40, 124]] = True  # ! . : ; ? line breaks " ( |
 
@@ -48,22 +52,31 @@ _UNIT_HASHES = np.sort(np.array([_literal(u) for u in UNITS], dtype=np.uint64))
 
 class Templates:
     """Tokens of a slice of texts: ``kind`` 0 is a literal; ``template`` is what windows are made of, ``value`` the
-    hash of the token itself (lower-cased).  There are two of ``kind`` and ``template``: with names as placeholders,
-    and with names as literals, for texts whose capitals say nothing (all capitals, titles)."""
+    hash of the token itself (lower-cased).  A number is one token with its separators and decimals.  There are two
+    forms of all: with names as placeholders, a run of names being one, and with names as literals, for texts whose
+    capitals say nothing (all capitals, titles); ``value`` and ``row`` without a form are the second's."""
 
     def __init__(self, column: pa.Array):
         data, offsets = text_bytes(column)
-        self.starts, ends, self.first = tokens(data, offsets, _CORE)
-        starts = self.starts
+        starts, ends, first = tokens(data, offsets, _CORE)
+        digits = np.zeros(len(data) + 1, dtype=np.int32)
+        np.cumsum(_DIGIT[data], out=digits[1:])
+        first_of_row = np.zeros(len(starts) + 1, dtype=bool)
+        first_of_row[first] = True
+        # '62.5' and '1,210' are one number: digits, one point or comma, digits (after a comma three of them).
+        if len(starts) > 1:
+            pure = digits[ends] - digits[starts] == ends - starts
+            mark = data[np.minimum(ends[:-1], len(data) - 1)]
+            joint = pure[:-1] & pure[1:] & (starts[1:] == ends[:-1] + 1) & ((mark == 46) | (mark == 44) & ((ends - starts)[1:] == 3)) & ~first_of_row[1:-1]
+            head = np.r_[True, ~joint]
+            starts, ends, first = starts[head], ends[np.r_[head[1:], True]], np.r_[0, np.cumsum(head)][first]
         n = len(starts)
         # Lower case: ASCII, and the Latin-1 capitals (C3 80..9E).
         low = _LOWER[data]
         if len(low) > 1:
             latin = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
             low[1:][latin] += 0x20
-        self.value = hashes(low, starts, ends)
-        digits = np.zeros(len(data) + 1, dtype=np.int32)
-        np.cumsum(_DIGIT[data], out=digits[1:])
+        value = hashes(low, starts, ends)
         number = digits[ends] > digits[starts]
         head = data[starts] if n else np.zeros(0, np.uint8)
         upper = (head >= 65) & (head <= 90)
@@ -76,15 +89,33 @@ class Templates:
         opens = np.zeros(n, dtype=bool)
         if n:
             opens[1:] = stops[starts[1:]] > stops[ends[:-1]]
-            opens[self.first[:-1][self.first[:-1] < n]] = True
+            opens[first[:-1][first[:-1] < n]] = True
         unit = np.zeros(n, dtype=bool)
         if n:
-            at = np.minimum(np.searchsorted(_UNIT_HASHES, self.value), len(_UNIT_HASHES) - 1)
-            unit[1:] = (_UNIT_HASHES[at] == self.value)[1:] & number[:-1]
+            at = np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)
+            unit[1:] = (_UNIT_HASHES[at] == value)[1:] & number[:-1]
         slots = np.where(number, NUMBER, np.where(unit, UNIT, 0)).astype(np.int8)
-        self.kind = [np.where((slots == 0) & upper & ~opens, np.int8(NAME), slots), slots]
-        self.template = [np.where(k > 0, mix(k.astype(np.uint64)), self.value) for k in self.kind]
-        self.row = np.repeat(np.arange(len(column)), np.diff(self.first))
+        names = np.where((slots == 0) & upper & ~opens, np.int8(NAME), slots)
+        # Names that only blanks, hyphens or apostrophes separate are one name.
+        joint = np.zeros(n, dtype=bool)
+        if n > 1:
+            apart = np.zeros(len(data) + 1, dtype=np.int32)
+            np.cumsum(~_WITHIN[data], out=apart[1:])
+            joint[1:] = (names[1:] == NAME) & (names[:-1] == NAME) & (apart[starts[1:]] == apart[ends[:-1]])
+            joint[first[:-1][first[:-1] < n]] = False
+        head_of = np.flatnonzero(~joint)
+        if len(head_of) < n:
+            place = np.arange(n) - head_of[np.cumsum(~joint) - 1]
+            run = np.add.reduceat(mix(value + place.astype(np.uint64)), head_of)
+            folded = np.where(np.diff(np.r_[head_of, n]) > 1, run, value[head_of])
+        else:
+            folded = value
+        self.kind = [names[head_of], slots]
+        self.values = [folded, value]
+        self.template = [np.where(k > 0, mix(k.astype(np.uint64)), v) for k, v in zip(self.kind, self.values, strict=True)]
+        self.firsts = [np.r_[0, np.cumsum(~joint)][first], first]
+        self.rows = [np.repeat(np.arange(len(column)), np.diff(f)) for f in self.firsts]
+        self.value, self.first, self.row = value, first, self.rows[1]
 
     def window(self, n: int, literals: int, form: int) -> tuple[np.ndarray, np.ndarray]:
         """Token positions that start a window of ``n`` tokens of one row, and its hash: of the template if at least
@@ -92,12 +123,12 @@ class Templates:
         h = windows(self.template[form], n)
         if not len(h):
             return np.zeros(0, np.int64), h
-        plain = np.zeros(len(self.value) + 1, dtype=np.int32)
+        plain = np.zeros(len(self.values[form]) + 1, dtype=np.int32)
         np.cumsum(self.kind[form] == 0, out=plain[1:])
         bare = plain[n:] - plain[: len(h)] < literals
         if bare.any():
-            h = np.where(bare, mix(windows(self.value, n) + np.uint64(1)), h)
-        at = np.flatnonzero(self.row[: len(h)] == self.row[n - 1 :])
+            h = np.where(bare, mix(windows(self.values[form], n) + np.uint64(1)), h)
+        at = np.flatnonzero(self.rows[form][: len(h)] == self.rows[form][n - 1 :])
         return at, h[at]
 
 
@@ -112,19 +143,18 @@ def consistent(item_kind, item_value, doc_value) -> bool:
     return True
 
 
-def compare(item_kind: np.ndarray, item_template: np.ndarray, item_value: np.ndarray, doc_template: np.ndarray, doc_value: np.ndarray) -> tuple[int, int]:
-    """(matched tokens, longest run of matched tokens with consistent slots) of an aligned item and stretch.
+def runs(item_kind: np.ndarray, item_template: np.ndarray, item_value: np.ndarray, doc_template: np.ndarray, doc_value: np.ndarray) -> list[tuple[int, int]]:
+    """(start, length) of the matched runs with consistent slots of an aligned item and stretch.
 
     A run whose slots are inconsistent is shortened to its longest consistent beginning or end.
     """
     same = item_template == doc_template
     edges = np.flatnonzero(np.diff(np.r_[False, same, False]))
-    total = longest = 0
-    for a, b in zip(edges[::2], edges[1::2], strict=True):
-        best = 0
-        if consistent(item_kind[a:b], item_value[a:b], doc_value[a:b]):
-            best = b - a
-        else:
+    out = []
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        start, best = a, b - a
+        if not consistent(item_kind[a:b], item_value[a:b], doc_value[a:b]):
+            best = 0
             for step in (1, -1):
                 there: dict = {}
                 back: dict = {}
@@ -134,10 +164,29 @@ def compare(item_kind: np.ndarray, item_template: np.ndarray, item_value: np.nda
                     if k and (there.setdefault((k, x), y) != y or back.setdefault((k, y), x) != x):
                         break
                     n += 1
-                best = max(best, n)
-        total += best
-        longest = max(longest, best)
-    return int(total), int(longest)
+                if n > best:
+                    start, best = a if step > 0 else b - n, n
+        out.append((start, best))
+    return out
+
+
+def compare(item_kind: np.ndarray, item_template: np.ndarray, item_value: np.ndarray, doc_template: np.ndarray, doc_value: np.ndarray) -> tuple[int, int]:
+    """(matched tokens, longest run of matched tokens with consistent slots) of an aligned item and stretch."""
+    sizes = [n for _, n in runs(item_kind, item_template, item_value, doc_template, doc_value)]
+    return sum(sizes), max(sizes, default=0)
+
+
+def chain(pieces: list[tuple[int, int, int]]) -> int:
+    """The most tokens of an item that pieces (place in the item, place in the document, length) match together,
+    in the order of both; where two overlap, the tokens count once."""
+    p = np.array(sorted(pieces), dtype=np.int64)
+    x, y, n = p.T
+    total = n.copy()
+    for j in range(1, len(p)):
+        overlap = np.maximum(np.maximum(x[:j] + n[:j] - x[j], y[:j] + n[:j] - y[j]), 0)
+        gain = np.where((y[:j] <= y[j]) & (overlap < n[j]), total[:j] + n[j] - overlap, 0)
+        total[j] = max(int(n[j]), int(gain.max()))
+    return int(total.max())
 
 
 class _Items:
@@ -146,17 +195,18 @@ class _Items:
     def __init__(self, ids: list, texts: pa.Array, n: int, literals: int):
         self.ids = ids
         t = Templates(texts)
-        self.kind, self.template, self.value, self.first = t.kind, t.template, t.value, t.first
+        self.kind, self.template, self.values, self.firsts = t.kind, t.template, t.values, t.firsts
         self.by_size: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        sizes = np.diff(t.first)
-        for size in sorted({min(n, int(s)) for s in sizes if s >= min(4, n)}):
-            least = -(-literals * size // n)
-            for form in (0, 1):
+        for form in (0, 1):
+            first, row = t.firsts[form], t.rows[form]
+            sizes = np.diff(first)
+            for size in sorted({min(n, int(s)) for s in sizes if s >= min(4, n)}):
+                least = -(-literals * size // n)
                 at, h = t.window(size, least, form)
-                own = (sizes[t.row[at]] == size) if size < n else np.ones(len(at), dtype=bool)
+                own = (sizes[row[at]] == size) if size < n else np.ones(len(at), dtype=bool)
                 at, h = at[own], h[own]
                 order = np.argsort(h, kind="stable")
-                self.by_size[size, least, form] = (h[order], t.row[at][order], (at - t.first[t.row[at]])[order])
+                self.by_size[size, least, form] = (h[order], row[at][order], (at - first[row[at]])[order])
 
 
 def _match(items: _Items, t: Templates, coverage: float, min_run: int) -> Iterator[tuple[int, int, int, int, float]]:
@@ -172,25 +222,34 @@ def _match(items: _Items, t: Templates, coverage: float, min_run: int) -> Iterat
         for k, a, b in zip(hit.tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
             p = int(at[k])
             for j in range(a, b):
-                seeds[int(t.row[p]), int(item[j])].add((p - int(pos[j]), form))
+                seeds[int(t.rows[form][p]), int(item[j])].add((p - int(pos[j]), form))
     for (row, item), diagonals in seeds.items():
-        a, b = int(items.first[item]), int(items.first[item + 1])
-        lo, hi = int(t.first[row]), int(t.first[row + 1])
-        best = (0, 0)
-        for d, form in diagonals:
-            s, e = max(lo, d), min(hi, d + b - a)
-            i = slice(a + s - d, a + e - d)
-            best = max(best, compare(items.kind[form][i], items.template[form][i], items.value[i], t.template[form][s:e], t.value[s:e]))
-        share = best[0] / (b - a)
-        if share >= coverage or best[1] >= min_run:
-            yield row, item, best[0], best[1], share
+        share, matched, longest = 0.0, 0, 0
+        for form in (0, 1):
+            a, b = items.firsts[form][item : item + 2].tolist()
+            lo, hi = t.firsts[form][row : row + 2].tolist()
+            total, pieces = 0, []
+            for d in {d for d, f in diagonals if f == form}:
+                s, e = max(lo, d), min(hi, d + b - a)
+                i = slice(a + s - d, a + e - d)
+                found = runs(items.kind[form][i], items.template[form][i], items.values[form][i], t.template[form][s:e], t.values[form][s:e])
+                total = max(total, sum(k for _, k in found))
+                longest = max(longest, *(k for _, k in found))
+                pieces += [(s - d + x, s + x, k) for x, k in found if k >= _PIECE]
+            if pieces and total < b - a:
+                total = max(total, chain(pieces))
+            if total and total / (b - a) > share:
+                share, matched = total / (b - a), total
+        if share >= coverage or longest >= min_run:
+            yield row, item, matched, longest, share
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, literals: int = 4, coverage: float = 0.5, min_run: int = 25, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(key, item key, matched_tokens, longest_run, coverage) of each document and benchmark item found in it.
 
     An item is found where windows of ``n`` template tokens agree (with names as placeholders or as literals;
-    windows with fewer than ``literals`` literal tokens: the tokens themselves) and, on one alignment, tokens with consistent slots make up ``coverage`` of the item, or ``min_run`` tokens in a row.
+    windows with fewer than ``literals`` literal tokens: the tokens themselves) and tokens with consistent slots make up ``coverage`` of the item, on one alignment or, in
+    the item's order, on all of them together (runs of 4 tokens and more), or ``min_run`` tokens in a row.
     Items of 4 to ``n`` - 1 tokens are one window each; shorter ones are not searched for.
 
     Null or empty documents and items match nothing; a repeated document row gives a repeated result, a repeated

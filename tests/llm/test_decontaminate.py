@@ -57,3 +57,31 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert decontaminate.contamination(empty, bench(spark)).count() == 0
     assert decontaminate.contamination(table, bench(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def test_changed_token_counts(spark):
+    """Decimals, separators, names of several words and inserted words change the number of tokens."""
+    decimals = ITEM.replace("60", "62.5").replace("45", "47.5").replace("210", "1,210.5").replace("Boston", "New York")
+    w = ITEM.split()
+    inserted = " ".join([*w[:12], "indeed", *w[12:24], "really", *w[24:]])
+    scattered = " ".join([*w[24:], *w[12:24], *w[:12]])
+    assert found(spark, [decimals, inserted, words(50, 1) + " " + inserted + " " + words(50, 2), words(100, 3)], min_run=99) == [(0, 1), (1, 1), (2, 1)]
+    assert found(spark, [scattered], min_run=99) == []
+    import pyarrow as pa
+
+    t = decontaminate.Templates(pa.array(["it costs 1,210.50 or 3 in New York, Old Town", "7"]))
+    assert [len(v) for v in t.values] == [9, 11] and [f.tolist() for f in t.firsts] == [[0, 8, 9], [0, 10, 11]]
+
+
+def test_longest_run_is_kept_beside_the_best_total(spark):
+    item = words(60, 9).split()
+    longer = item[34:]
+    more = [*item[:10], "x", *item[11:20], "y", *item[21:29]]
+    got = decontaminate.contamination(documents(spark, [" ".join([*longer, *words(40, 8).split(), *more])]), bench(spark, [(1, " ".join(item))])).collect()
+    assert [(r["matched_tokens"], r["longest_run"]) for r in got] == [(27, 26)]
+
+
+def test_chain():
+    assert decontaminate.chain([(0, 0, 12), (12, 13, 12), (24, 26, 12)]) == 36
+    assert decontaminate.chain([(0, 50, 12), (12, 13, 10)]) == 12
+    assert decontaminate.chain([(0, 0, 10), (8, 9, 10)]) == 18
