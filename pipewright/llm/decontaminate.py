@@ -117,17 +117,12 @@ class Templates:
         self.rows = [np.repeat(np.arange(len(column)), np.diff(f)) for f in self.firsts]
         self.value, self.first, self.row = value, first, self.rows[1]
 
-    def window(self, n: int, literals: int, form: int) -> tuple[np.ndarray, np.ndarray]:
-        """Token positions that start a window of ``n`` tokens of one row, and its hash: of the template if at least
-        ``literals`` of the tokens are literal, else of the tokens as they are, as too little of the template is left."""
-        h = windows(self.template[form], n)
+    def window(self, n: int, form: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Token positions that start a window of ``n`` tokens of one row, and its hash: of the template, or of the
+        tokens as they are."""
+        h = windows((self.values if exact else self.template)[form], n)
         if not len(h):
             return np.zeros(0, np.int64), h
-        plain = np.zeros(len(self.values[form]) + 1, dtype=np.int32)
-        np.cumsum(self.kind[form] == 0, out=plain[1:])
-        bare = plain[n:] - plain[: len(h)] < literals
-        if bare.any():
-            h = np.where(bare, mix(windows(self.values[form], n) + np.uint64(1)), h)
         at = np.flatnonzero(self.rows[form][: len(h)] == self.rows[form][n - 1 :])
         return at, h[at]
 
@@ -190,30 +185,40 @@ def chain(pieces: list[tuple[int, int, int]]) -> int:
 
 
 class _Items:
-    """The benchmark's templates, in memory."""
+    """The benchmark's templates, in memory.  ``by_size``: (size, form, exact) -> window hashes, their items, places
+    and whether ``literals`` of ``n`` tokens, in proportion, are literal."""
 
     def __init__(self, ids: list, texts: pa.Array, n: int, literals: int):
         self.ids = ids
         t = Templates(texts)
         self.kind, self.template, self.values, self.firsts = t.kind, t.template, t.values, t.firsts
-        self.by_size: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_size: dict[tuple[int, int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for form in (0, 1):
             first, row = t.firsts[form], t.rows[form]
             sizes = np.diff(first)
-            for size in sorted({min(n, int(s)) for s in sizes if s >= min(4, n)}):
-                least = -(-literals * size // n)
-                at, h = t.window(size, least, form)
-                own = (sizes[row[at]] == size) if size < n else np.ones(len(at), dtype=bool)
-                at, h = at[own], h[own]
-                order = np.argsort(h, kind="stable")
-                self.by_size[size, least, form] = (h[order], row[at][order], (at - first[row[at]])[order])
+            plain = np.r_[0, np.cumsum(t.kind[form] == 0)]
+            for size in sorted({min(n, int(s)) for s in sizes if s}):
+                for exact in (False, True):
+                    if not exact and size < min(4, n):
+                        continue  # so short an item is matched exactly
+                    at, h = t.window(size, form, exact)
+                    rich = (plain[at + size] - plain[at] >= -(-literals * size // n)) & (not exact)
+                    own = (sizes[row[at]] == size) if size < n else np.ones(len(at), dtype=bool)
+                    if exact and size >= min(4, n):
+                        own = own & (plain[at + size] - plain[at] < -(-literals * size // n))
+                    at, h, rich = at[own], h[own], rich[own]
+                    order = np.argsort(h, kind="stable")
+                    self.by_size[size, form, exact] = (h[order], row[at][order], (at - first[row[at]])[order], (rich | exact)[order])
 
 
 def _match(items: _Items, t: Templates, coverage: float, min_run: int) -> Iterator[tuple[int, int, int, int, float]]:
     """(row, item, matched, longest run, coverage) of every contaminated row and item."""
     seeds: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
-    for (size, least, form), (h, item, pos) in items.by_size.items():
-        at, hd = t.window(size, least, form)
+    certain: set[tuple[int, int]] = set()
+    # Windows that are mostly slots: row, item, form -> diagonals.
+    poor: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+    for (size, form, exact), (h, item, pos, sure) in items.by_size.items():
+        at, hd = t.window(size, form, exact)
         if not len(h) or not len(hd):
             continue
         lo = np.searchsorted(h, hd, side="left")
@@ -221,24 +226,54 @@ def _match(items: _Items, t: Templates, coverage: float, min_run: int) -> Iterat
         hi = np.searchsorted(h, hd[hit], side="right")
         for k, a, b in zip(hit.tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
             p = int(at[k])
+            row = int(t.rows[form][p])
             for j in range(a, b):
-                seeds[int(t.rows[form][p]), int(item[j])].add((p - int(pos[j]), form))
+                pair, d = (row, int(item[j])), p - int(pos[j])
+                if sure[j]:
+                    certain.add(pair)
+                    seeds[pair].add((d, form))
+                else:
+                    poor[*pair, form].add(d)
+    more: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
+    for (row, item, form), diagonals in poor.items():
+        pair = row, item
+        # Without the words that the coverage of literals needs, the row cannot have the item.
+        if pair not in certain:
+            a, b = items.firsts[form][item : item + 2]
+            words = items.values[form][a:b][items.kind[form][a:b] == 0]
+            lo, hi = t.firsts[form][row : row + 2]
+            if not len(words) or np.isin(words, t.values[form][lo:hi]).sum() < coverage * len(words):
+                continue
+        more[pair] |= {(d, form) for d in diagonals}
+    for pair in more:
+        seeds[pair]  # may have no others
     for (row, item), diagonals in seeds.items():
-        share, matched, longest = 0.0, 0, 0
+        share, matched, longest, sure = 0.0, 0, 0, (row, item) in certain
+        weak = more.get((row, item), set()) - diagonals
         for form in (0, 1):
             a, b = items.firsts[form][item : item + 2].tolist()
             lo, hi = t.firsts[form][row : row + 2].tolist()
-            total, pieces = 0, []
-            for d in {d for d, f in diagonals if f == form}:
+            total, run, pieces, seen = 0, 0, [], np.zeros(b - a, dtype=bool)
+            literal = items.kind[form][a:b] == 0
+            for d in {d for d, f in diagonals | weak if f == form}:
                 s, e = max(lo, d), min(hi, d + b - a)
                 i = slice(a + s - d, a + e - d)
                 found = runs(items.kind[form][i], items.template[form][i], items.values[form][i], t.template[form][s:e], t.values[form][s:e])
+                if (d, form) in weak:  # slots alone say nothing
+                    found = [(x, k) for x, k in found if literal[s - d + x : s - d + x + k].any()]
+                for x, k in found:
+                    if k >= _PIECE:
+                        pieces.append((s - d + x, s + x, k))
+                        seen[s - d + x : s - d + x + k] = True
+                    run = max(run, k)
                 total = max(total, sum(k for _, k in found))
-                longest = max(longest, *(k for _, k in found))
-                pieces += [(s - d + x, s + x, k) for x, k in found if k >= _PIECE]
+            # Where no window has enough words, as large a part of the item's words must be there.
+            if not sure and (not literal.any() or seen[literal].sum() < coverage * literal.sum()):
+                continue
             if pieces and total < b - a:
                 total = max(total, chain(pieces))
-            if total and total / (b - a) > share:
+            longest = max(longest, run)
+            if total / (b - a) > share:
                 share, matched = total / (b - a), total
         if share >= coverage or longest >= min_run:
             yield row, item, matched, longest, share
@@ -247,10 +282,11 @@ def _match(items: _Items, t: Templates, coverage: float, min_run: int) -> Iterat
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, literals: int = 4, coverage: float = 0.5, min_run: int = 25, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(key, item key, matched_tokens, longest_run, coverage) of each document and benchmark item found in it.
 
-    An item is found where windows of ``n`` template tokens agree (with names as placeholders or as literals;
-    windows with fewer than ``literals`` literal tokens: the tokens themselves) and tokens with consistent slots make up ``coverage`` of the item, on one alignment or, in
-    the item's order, on all of them together (runs of 4 tokens and more), or ``min_run`` tokens in a row.
-    Items of 4 to ``n`` - 1 tokens are one window each; shorter ones are not searched for.
+    An item is found where windows of ``n`` template tokens agree (with names as placeholders or as literals) and
+    tokens with consistent slots make up ``coverage`` of the item, on one alignment or, in the item's order, on all of
+    them together (runs of 4 tokens and more), or ``min_run`` tokens in a row.  If no agreeing window has
+    ``literals`` literal tokens or the item's very tokens, ``coverage`` of the item's literal tokens is needed too,
+    in runs of 4 and more.  Items of 4 to ``n`` - 1 tokens are one window each; shorter ones are matched exactly.
 
     Null or empty documents and items match nothing; a repeated document row gives a repeated result, a repeated
     item counts once for each of its rows; empty tables give an empty result; further columns are ignored.

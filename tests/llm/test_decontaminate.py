@@ -85,3 +85,10 @@ def test_chain():
     assert decontaminate.chain([(0, 0, 12), (12, 13, 12), (24, 26, 12)]) == 36
     assert decontaminate.chain([(0, 50, 12), (12, 13, 10)]) == 12
     assert decontaminate.chain([(0, 0, 10), (8, 9, 10)]) == 18
+
+
+def test_number_dense_and_short_items(spark):
+    items = bench(spark, [(1, "Compute 12 + 7 * 5 - 3 / 2"), (2, "What follows 2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22?"), (3, "blue whale"), (4, "3 5 8 13 21")])
+    texts = ["so Compute 31 + 4 * 9 - 8 / 6 now", "What follows 3, 5, 7, 9, 11, 13, 15, 17, 19, 21, 23?", "a blue whale", "blue or whale", " ".join(map(str, range(100, 400))), "3 5 8 13 21", "Compute 31 + 31 * 9 - 8 / 6"]
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contamination(documents(spark, texts), items).collect())
+    assert got == [(0, 1), (1, 2), (2, 3), (5, 4)]
