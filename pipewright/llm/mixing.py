@@ -47,7 +47,7 @@ def _weights(source: Column, c: Curriculum) -> Column:
     return out
 
 
-def mix(docs: DataFrame, curriculum: Curriculum = PRODUCTION, budget: int | None = None, source: str = "source", key: str = "doc_id", text: str = "text", salt: str = "mix", rows_per_bucket: int = 20_000, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, curriculum: Curriculum = PRODUCTION, budget: int | None = None, source: str = "source", key: str = "doc_id", text: str = "text", salt: str = "mix", rows_per_bucket: int = 20_000, carry: list[str] | None = None, whole: bool = False) -> DataFrame:
     """Documents with ``n_tokens`` and ``position`` in [0, 1], range-sorted by position.
 
     ``budget`` is the number of training tokens; by default the largest one that no source falls short of, so
@@ -55,6 +55,10 @@ def mix(docs: DataFrame, curriculum: Curriculum = PRODUCTION, budget: int | None
     in the order of a salted hash of their key.  A document is used while its source's earlier tokens are below
     the demand; those beyond it (and all of a source without weight) are left out.
 
+    ``whole`` (without a budget) takes every document of the sources with any weight: the budget is the largest that
+    any of them can fill, max of supply / share, and a scarcer source runs out before the end.  A source without a
+    single token has no position in either case.
+
     ``carry`` names the columns of ``docs`` to return with ``n_tokens`` and ``position`` (default: key and
     source); columns of those two names are replaced.  Tokens are whitespace-separated; a null or empty text has
     0 tokens and takes the position of its turn; null keys and sources are values like others; repeated rows
@@ -85,7 +89,7 @@ def mix(docs: DataFrame, curriculum: Curriculum = PRODUCTION, budget: int | None
         share = share.withColumn(f"c{i}", F.lit(0.0) if i == 0 else F.col(f"c{i - 1}") + (F.lit(float(k[i] - k[i - 1])) * (F.col(f"w{i - 1}") + F.col(f"w{i}"))) / F.lit(2.0))
     share = share.select("__s", "__supply", *[f"w{i}" for i in range(n)], *[f"c{i}" for i in range(n)])
     if budget is None:
-        total = share.where(f"c{n - 1} > 0").agg(F.min(F.col("__supply") / F.col(f"c{n - 1}")).alias("__T"))
+        total = share.where(f"c{n - 1} > 0").agg((F.max if whole else F.min)(F.col("__supply") / F.col(f"c{n - 1}")).alias("__T"))
     else:
         total = spark.range(1).select(F.lit(float(budget)).alias("__T"))
     plan = before.join(share.crossJoin(F.broadcast(total)), "__s")
@@ -96,7 +100,11 @@ def mix(docs: DataFrame, curriculum: Curriculum = PRODUCTION, budget: int | None
     placed = base.withColumn("__tie", tie).withColumn("__in", F.coalesce(F.sum("__n").over(run), F.lit(0)))
     joined = placed.join(plan.drop("__supply"), ["__s", "__b"])
     x = (F.col("__before") + F.col("__in")) / F.col("__T")
-    joined = joined.withColumn("__x", x).where(F.col("__x") < F.col(f"c{n - 1}"))
+    if whole and budget is None:
+        # The last texts may be empty: they are at the very end of the demand.
+        joined = joined.where(f"c{n - 1} > 0").withColumn("__x", F.least(x, F.col(f"c{n - 1}")))
+    else:
+        joined = joined.withColumn("__x", x).where(F.col("__x") < F.col(f"c{n - 1}"))
     position = None
     for i in reversed(range(n - 1)):
         width = float(k[i + 1] - k[i])

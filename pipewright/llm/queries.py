@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op1_mixing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), whole=True)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op3_pii, op4_language_id, op5_decontamination, op6_html, op7_embedding_dedup, op8_warc_zip, op9_suffix_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op1_mixing_all, op2_ngram_jaccard, op3_pii, op4_language_id, op5_decontamination, op6_html, op7_embedding_dedup, op8_warc_zip, op9_suffix_dedup, op10_sharding)}
 
 
 def _mixing_sql(c: mixing.Curriculum = mixing.PRODUCTION) -> str:
@@ -90,6 +94,16 @@ SELECT doc_id, source, n_tokens, round(CASE {position} END, 9) AS position FROM
 """
 
 
+def _mixing_all_sql() -> str:
+    """The same for the largest budget that any source can fill: nothing with a weight is left out."""
+    c = f"c{len(mixing.PRODUCTION.knots) - 1}"
+    sql = _mixing_sql()
+    for one, other in ((f"min(supply / {c})", f"max(supply / {c})"), ("/ t AS x, c.*", f"/ t AS x0, c.*, least(x0, {c}) AS x"), (f"FROM p WHERE x < {c}", f"FROM p WHERE {c} > 0")):
+        assert sql.count(one) == 1
+        sql = sql.replace(one, other)
+    return sql
+
+
 def _sharding_sql(n: int = 64) -> str:
     return f"""
 WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents),
@@ -102,4 +116,4 @@ FROM d JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing_sql(), "op8_warc_zip": "SELECT page_id, url, html FROM pages", "op10_sharding": _sharding_sql()}
+    return {"op1_mixing": _mixing_sql(), "op1_mixing_all": _mixing_all_sql(), "op8_warc_zip": "SELECT page_id, url, html FROM pages", "op10_sharding": _sharding_sql()}

@@ -81,3 +81,17 @@ def test_budget_and_bad_schedules(spark):
         mixing.Curriculum(knots=(0.0, 0.0, 1.0))
     with pytest.raises(ValueError):
         mixing.Curriculum(default=(1, -1, 1))
+
+
+def test_whole_leaves_nothing_out(spark):
+    rare = documents(spark, ["a b c d"] * 10).union(documents(spark, [(100, "x y"), (101, "")], source="rare"))
+    assert mixing.mix(rare).count() < 12
+    got = mixing.mix(rare, whole=True).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(10), 100, 101] and all(0 <= r["position"] <= 1 for r in got)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = sorted((r["doc_id"], r["source"], r["n_tokens"], r["position"]) for r in queries.op1_mixing_all(spark, DATA).collect())
+    assert len(got) == docs.count()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = sorted(con.sql(queries.oracle_sql()["op1_mixing_all"]).fetchall())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(math.isclose(g[3], w[3], abs_tol=2e-9) for g, w in zip(got, want))
