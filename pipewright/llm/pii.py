@@ -34,6 +34,15 @@ GENERATORS = {
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"),
     "secret": re.compile(r"(?<![\w/+=-])(?=[\w/+=.-]{0,80}?\d)[A-Za-z0-9_/+=.-]{16,}(?![\w/+=-])|(?i:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|credentials?)\s*[:=]\s*[\"']?([^\s\"',;]{6,})"),
 }
+#: Kinds that may run on into what follows: the longest stretch at every start, of which each admissible end is proposed.
+_STRETCHES = {
+    "phone": re.compile(r"(?<![\w+])(?=((?:\+|\(|\d)[\d() ./-]{5,22}\d))"),
+    "card": re.compile(r"(?<![\w-])(?=(\d(?:[ -]?\d){11,18}))"),
+    "iban": re.compile(r"(?<!\w)(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}))"),
+}
+_NUMBER_AFTER = re.compile(r"[ ./()-]{1,2}\d")
+_NUMBER_BEFORE = re.compile(r"[\d+(][ ./()-]{1,2}\Z")
+_WORD_END = re.compile(r"\w\b")
 #: A candidate needs a digit or an @ somewhere, so a text without either has only the named secrets.
 _WORTH = re.compile(r"[\d@]|(?i:pass|pwd|token|secret|key|credential)")
 #: Words before (and after) a span that say what it is.
@@ -70,7 +79,7 @@ def iban_ok(text: str) -> bool:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every proposed span."""
+    """(kind, start, end) of every proposed span; where a number, code or word may follow, all its ends are proposed."""
     if not _WORTH.search(text):
         return []
     out = []
@@ -84,6 +93,15 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 b -= 1
             if b - a >= 5:
                 out.append((kind, a, b))
+    known = set(out)
+    for kind, stretch in _STRETCHES.items():
+        for m in stretch.finditer(text):
+            a, last = m.span(1)
+            for e in _WORD_END.finditer(text, a, min(last + 1, len(text))):
+                b = e.end()
+                if b <= last and text[b : b + 1] != "_" and (kind, a, b) not in known and GENERATORS[kind].fullmatch(text, a, b):
+                    known.add((kind, a, b))
+                    out.append((kind, a, b))
     return out
 
 
@@ -114,6 +132,7 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
         n, nd, nd / n, letters / n, upper / n, len(groups), max(shape, default=0), min(shape, default=0),
         float(nd >= 12 and luhn(digits)), float(octets), float(kind == "iban" and iban_ok(s)), float(ssn), float(date),
         float(s[:1] == "+"), float("(" in s and ")" in s), float(s.count("-")), float(s.count(" ")), float(s.count(".")), float("@" in s), float(len(s.rsplit(".", 1)[-1]) if "@" in s and "." in s.split("@")[-1] else 0),
+        float(bool(_NUMBER_AFTER.match(text, b))), float(bool(_NUMBER_BEFORE.search(text[max(0, a - 3) : a]))), float(s.count(":")), float("::" in s),
         _entropy(s), hexes / n, float(low.startswith(_PREFIXES)), float(n in (32, 40, 64)), float(prev in ("\"", "'", "=", ":")) + 2 * float(prev.isalnum()), float(following in ("\"", "'", ";")) + 2 * float(following.isalnum()),
     ]
     # The nearer the word, the larger the value; 0 without it.
@@ -163,6 +182,22 @@ class Generator:
         s = f"{country}{check:02d}{body}"
         return s if self.r.random() < 0.5 else " ".join(s[k : k + 4] for k in range(0, len(s), 4))
 
+    def ipv6(self) -> str:
+        groups = [f"{self.r.randrange(1 << self.r.choice((4, 16, 16, 16))):x}" for _ in range(8)]
+        if self.r.random() < 0.5:
+            return ":".join(groups)
+        n = self.r.randint(1, 4)
+        return f"{self.r.choice(('fe80', '2001:db8', 'fd00'))}::{':'.join(groups[:n])}"
+
+    def following(self, kind: str) -> str:
+        """What often comes right after data of a kind."""
+        r, d = self.r, self.digits
+        if kind == "card":
+            return r.choice((f" {r.randint(1, 12):02d}/{r.randint(24, 35)}", f" {d(3)}", f" {d(4)}", f" exp {r.randint(1, 12):02d}/{r.randint(24, 35)}"))
+        if kind == "iban":
+            return r.choice((f" BIC {self.base64(8).upper()}", f" {r.randint(1, 99)}", " EUR"))
+        return r.choice((f" {r.randint(1, 9)} {self.word()}", f" {r.randint(2, 60)} {self.word()}", f" ext {d(3)}"))
+
     def positive(self, kind: str) -> tuple[str, str, str]:
         """(words before, the data, words after)"""
         r, bare = self.r, self.r.random() < 0.7
@@ -175,6 +210,8 @@ class Generator:
             s = r.choice((f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"+{r.randint(20, 99)} {d(2)} {d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{r.randint(1, 99)}{d(10)}", f"+49 {d(3)} {d(7)}", f"{d(3)}.{d(3)}.{d(4)}"))
             return ("" if bare else r.choice(("phone: ", "tel. ", "call ", "mobile "))), s, ""
         if kind == "ip":
+            if r.random() < 0.4:
+                return ("" if bare else r.choice(("ip ", "host: ", "server ", "login from "))), self.ipv6(), ""
             return ("" if bare else r.choice(("ip ", "host: ", "server ", "login from "))), ".".join(str(r.randint(0, 255)) for _ in range(4)), ""
         if kind == "card":
             return ("" if bare else r.choice(("card ", "visa: ", "payment "))), self.card(True), ""
@@ -210,6 +247,8 @@ class Generator:
                 before, data, after = self.positive(kind)
                 truth.append((kind, len(text) + len(before), len(text) + len(before) + len(data)))
                 text += before + data + after
+                if kind in _STRETCHES and self.r.random() < 0.3:
+                    text += self.following(kind)
             else:
                 text += self.negative()
             text += self.r.choice((" ", " ", ". ", ", ", " | "))

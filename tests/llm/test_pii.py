@@ -64,3 +64,24 @@ def test_odd_rows(spark, model):
     last = next(r for r in got if r["doc_id"] == 5)
     assert last["redactions"][0]["start"] == 3 and last["redacted"] == "é😀 [EMAIL]"
     assert pii.redactions(spark.createDataFrame([], SCHEMA), model).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("my card 4111 1111 1111 1111 12/27 please", "card", "4111 1111 1111 1111"),
+        ("my card 4111111111111111 123 please", "card", "4111111111111111"),
+        ("pay to iban DE89 3704 0044 0532 0130 00 BIC COBADEFF soon", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("phone: 415-555-0199 2 times", "phone", "415-555-0199"),
+        ("login from 2001:db8::8a2e:370:7334 today", "ip", "2001:db8::8a2e:370:7334"),
+        ("host: fe80:12:ab34:9c1:77f0:2d:1a2b:c3d4 today", "ip", "fe80:12:ab34:9c1:77f0:2d:1a2b:c3d4"),
+    ],
+)
+def test_data_before_numbers_and_ipv6(model, text, kind, span):
+    a = text.index(span)
+    assert (kind, a, a + len(span)) in pii.candidates(text)
+    assert [(k, text[s:e]) for s, e, k, _ in pii.find_all([text], model)[0]] == [(kind, span)]
+
+
+def test_times_are_no_addresses(model):
+    assert pii.find_all(["it rang at 12:34:56 and at 7:08:09"], model) == [[]]
