@@ -77,22 +77,21 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
 
 
 def grouped_arrow(batches: Iterator[pa.RecordBatch], key: str, most_rows: int = 1 << 16) -> Iterator[pa.Table]:
-    """Tables that hold whole groups of a stream sorted by ``key``: a group is never split between two tables."""
+    """Tables that hold whole groups of a stream sorted by ``key``: a group is never split between two tables.  Every
+    row is copied once, however many batches a group runs through."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
+        keys = batch.column(key).to_numpy()
+        if rows >= most_rows:
+            cut = int(np.searchsorted(keys, last, side="right")) if keys[0] == last else 0
+            if cut < len(keys):
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+                batch, held, rows = batch.slice(cut), [], 0
         held.append(batch)
         rows += batch.num_rows
-        if rows < most_rows:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        keys = table.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], side="left"))
-        if cut:
-            yield table.slice(0, cut)
-            held = table.slice(cut).to_batches()
-            rows = len(keys) - cut
+        last = keys[-1]
     if held:
         yield pa.Table.from_batches(held).combine_chunks()

@@ -3,8 +3,9 @@
 Each text is the set of its word n-grams, embedded in ``SLOTS`` MinHash values.  A node of the recursion samples
 slots; a set goes on to the child named by the sampled slot and its value there, so that two sets share a child
 with the probability of their similarity.  Small nodes are searched by brute force (on 256-bit sketches); larger
-ones split further; whole runs are repeated until a pair at the threshold is found with the target recall.
-Candidates are grouped into components, whose sets are compared exactly.
+ones split further; whole runs are repeated until a pair at the threshold is found with the target recall at the
+depth that the recursion really reached.  Candidates are grouped into components, whose sets are compared exactly,
+a large component in tiles that are tasks of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipewright import ship
-from pipewright.llm._shared import grouped_arrow, map_arrow, slices, small_or_plain, written
+from pipewright.llm._shared import BROADCAST_BYTES, grouped_arrow, map_arrow, slices, small_or_plain, written
 from pipewright.llm._text import WORDS, hashes, mix, text_bytes, tokens, windows
 from pipewright.llm.components import components
 
@@ -27,6 +28,10 @@ _SLICE = 1 << 20
 _U = np.uint64
 #: Two sampled slots for each node: two sets of similarity 1/2 then share one child on average.
 PICKS = 2
+#: Levels after which a node that is still large is searched as it is, in tiles: its sets are nearly all alike.
+DEPTH = 4
+#: Sets and n-grams in one block of a component that is compared exactly.
+_TILE_SETS, _TILE_GRAMS = 1000, 1 << 21
 
 
 def survival(similarity: float, depth: int) -> float:
@@ -37,7 +42,8 @@ def survival(similarity: float, depth: int) -> float:
     return p
 
 
-def runs_for(threshold: float, recall: float, depth: int = 2) -> int:
+def runs_for(threshold: float, recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold, searched ``depth`` levels down, has met with this probability."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth))))
 
 
@@ -91,24 +97,25 @@ def bit_sketch(slots: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(d, h1, h2, slots) of every document with a key and at least one word."""
+    """(d, h1, h2, grams, slots) of every document with a key and at least one word."""
 
     def run(batch: pa.RecordBatch):
         for piece in slices(batch, "t", _SLICE):
-            keep, one, two, slots = [], [], [], []
+            keep, one, two, size, slots = [], [], [], [], []
             for k, grams in enumerate(gram_sets(piece.column("t"), n)):
                 if len(grams):
                     keep.append(k)
                     one.append(np.bitwise_xor.reduce(mix(grams)))
                     two.append(np.add.reduce(mix(grams ^ _U(0xD1B54A32D192ED03))))
+                    size.append(len(grams))
                     slots.append(min_hashes(grams).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [piece.column("d").take(pa.array(keep, pa.int64())), pa.array(np.array(one, dtype=np.uint64).view(np.int64)), pa.array(np.array(two, dtype=np.uint64).view(np.int64)), pa.array(slots, pa.binary())],
-                names=["d", "h1", "h2", "slots"],
+                [piece.column("d").take(pa.array(keep, pa.int64())), pa.array(np.array(one, dtype=np.uint64).view(np.int64)), pa.array(np.array(two, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(slots, pa.binary())],
+                names=["d", "h1", "h2", "grams", "slots"],
             )
 
     picked = docs.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("d"), F.lower(F.col(f"`{text}`")).alias("t"))
-    return map_arrow(picked, run, "d long, h1 long, h2 long, slots binary")
+    return map_arrow(picked, run, "d long, h1 long, h2 long, grams long, slots binary")
 
 
 def _slot_array(column: pa.Array) -> np.ndarray:
@@ -174,13 +181,12 @@ def _spanning(i: np.ndarray, j: np.ndarray, m: int) -> tuple[np.ndarray, np.ndar
     return label[touched], touched
 
 
-def _search(rows: DataFrame, parts: int, node_limit: int, least_equal: int) -> DataFrame:
-    """(more, a, b): candidate edges (more = false, a and b are sets) of nodes of at most ``node_limit`` sets, and
-    the rows of larger nodes, to be split (more = true, a is the path, b the set)."""
+def _search(rows: DataFrame, parts: int, least_equal: int) -> DataFrame:
+    """(a, b): candidate edges between the sets of each node.  No node is large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(more: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), more)), pa.array(a), pa.array(b)], names=["more", "a", "b"])
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for table in grouped_arrow(batches, "path"):
             path, sets = table.column("path").to_numpy(), table.column("set").to_numpy()
@@ -189,10 +195,6 @@ def _search(rows: DataFrame, parts: int, node_limit: int, least_equal: int) -> D
             bits = np.frombuffer(packed.buffers()[2], dtype=np.uint64)[np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset] // 8 :][: 4 * len(path)].reshape(-1, 4)
             first = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
             size = np.diff(np.r_[first, len(path)])
-            large = size > node_limit
-            if large.any():
-                mask = np.repeat(large, size)
-                yield out(True, path[mask], sets[mask])
             # Nodes of up to 16 sets: all of them at once, by the distance of two rows in the sorted order.
             small = (size > 1) & (size <= 16)
             if small.any():
@@ -205,8 +207,8 @@ def _search(rows: DataFrame, parts: int, node_limit: int, least_equal: int) -> D
                     differ = np.bitwise_count(b[same] ^ b[same + shift]).sum(axis=1, dtype=np.int32)
                     hit = same[differ <= 256 - least_equal]
                     if len(hit):
-                        yield out(False, s[hit], s[hit + shift])
-            for k in np.flatnonzero((size > 16) & ~large).tolist():
+                        yield out(s[hit], s[hit + shift])
+            for k in np.flatnonzero(size > 16).tolist():
                 own = slice(first[k], first[k] + size[k])
                 ii, jj = [], []
                 for i, j in _near(bits[own], least_equal):
@@ -215,10 +217,21 @@ def _search(rows: DataFrame, parts: int, node_limit: int, least_equal: int) -> D
                 i, j = np.concatenate(ii), np.concatenate(jj)
                 if len(i):
                     a, b = _spanning(i, j, int(size[k]))
-                    yield out(False, sets[own][a], sets[own][b])
+                    yield out(sets[own][a], sets[own][b])
 
     ship(rows.sparkSession)
-    return rows.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(run, "more boolean, a long, b long")
+    return rows.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+
+
+def _tiles(rows: DataFrame, name: str, member: str, blocks: str) -> DataFrame:
+    """``rows`` dealt to ``blocks`` blocks each, once for every other block: ``tile`` names the pair of blocks, ``side``
+    the row's own one in it, and ``own`` holds in one tile of each block, in which its inner pairs count.  A single
+    block is one tile."""
+    block = F.pmod(F.xxhash64(F.lit("tile"), F.col(member)), F.col(blocks))
+    one = rows.withColumn("__p", block).withColumn("__q", F.explode(F.when(F.col(blocks) > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), lambda q: q != F.col("__p"))).otherwise(F.array(F.lit(0).cast("long")))))
+    low, high = F.least("__p", "__q"), F.greatest("__p", "__q")
+    own = F.when(F.col(blocks) <= 1, True).otherwise((F.col("__p") == low) & (high == low + 1) | (F.col("__p") == high) & (low == 0) & (high == F.col(blocks) - 1))
+    return one.withColumn("tile", F.xxhash64(F.col(name), low, high)).withColumn("side", F.col("__p") == low).withColumn("own", own).drop("__p", "__q")
 
 
 def _pair_counts(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
@@ -242,146 +255,163 @@ def _pair_counts(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
     return out
 
 
-def _verify_small(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _verify(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of ``sets`` of at least this Jaccard similarity, exactly."""
     size = np.array([len(s) for s in sets], dtype=np.float64)
     if len(sets) == 2:
         both = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [0, 0]], dtype=np.float64)
     else:
         both = _pair_counts(sets).astype(np.float64)
-    jaccard = both / (size[:, None] + size[None, :] - both)
-    i, j = np.nonzero(np.triu(jaccard >= threshold, 1))
-    return i, j, jaccard[i, j]
-
-
-def _verify(sets: list[np.ndarray], threshold: float, tile: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs of ``sets`` of at least this Jaccard similarity, exactly, tile by tile."""
-    if len(sets) <= tile:
-        return _verify_small(sets, threshold)
-    half = tile // 2
-    found = []
-    for a in range(0, len(sets), half):
-        for b in range(a, len(sets), half):
-            left, right = list(range(a, min(a + half, len(sets)))), list(range(b, min(b + half, len(sets)))) if b > a else []
-            index = np.array(left + right)
-            i, j, s = _verify_small([sets[x] for x in index], threshold)
-            cross = (i < len(left)) & (j >= len(left)) if right else np.ones(len(i), dtype=bool)
-            found.append((index[i[cross]], index[j[cross]], s[cross]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return np.nonzero(np.triu(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9, 1))
 
 
 class _Join:
-    """The steps that the pair result and the deduplication share."""
+    """The steps that the join and the deduplication share."""
 
     def __init__(self, docs: DataFrame, n: int, threshold: float, recall: float, node_limit: int, key: str, text: str):
-        self.docs, self.n, self.threshold, self.key, self.text = docs, n, threshold, key, text
-        spark = docs.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = written(_sketches(docs, n, key, text), "sketches")
-        # Equal sets are one node of the join: any two of them have similarity 1.
-        self.sets = written(rows.groupBy("h1", "h2").agg(F.min("d").alias("rep"), F.sort_array(F.collect_set("d")).alias("ids"), F.count(F.lit(1)).alias("rows"), F.first("slots").alias("slots")), "sets")
+        self.docs, self.n, self.threshold, self.key, self.text, self.node_limit = docs, n, threshold, key, text, node_limit
+        self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.rows = written(_sketches(docs, n, key, text), "sketches")
+        # Equal sets are one node of the join: any two of them have similarity 1.  Nothing of a set's documents is
+        # gathered but the smallest and the largest key.
+        self.sets = written(self.rows.groupBy("h1", "h2").agg(F.min("d").alias("rep"), F.max("d").alias("last"), F.first("grams").alias("grams"), F.first("slots").alias("slots")), "sets")
         # A pair at the threshold has three standard deviations of the sketch to be recognised.
         self.least_equal = math.floor(256 * (1 + threshold) / 2 - 3 * 256 * math.sqrt((1 - threshold * threshold) / 4 / 256 * 1.5))
-        roots = F.explode(F.array(*[F.lit(int(mix(np.array([r + 1], dtype=np.uint64)).view(np.int64)[0])) for r in range(runs_for(threshold, recall))]))
-        frame = self.sets.select(roots.alias("path"), F.col("h1").alias("set"), "slots")
-        edges = None
-        depth = 0
-        while True:
-            found = written(_search(_expand(frame), parts, node_limit, self.least_equal), "paths")
-            own = found.where(~F.col("more")).select("a", "b")
+        # Half of the pairs that may be missed are left to the sketches.
+        target = 1 - (1 - recall) / 2
+        runs = runs_for(threshold, target, 1)
+        edges, depth, large = self._runs(self.sets, 0, runs)
+        if large is not None:
+            # Only sets that were in a large node have pairs that are found further down.
+            more = runs_for(threshold, target, depth) - runs
+            if more > 0:
+                edges = edges.unionAll(self._runs(self.sets.join(large, self.sets["h1"] == large["set"], "left_semi"), runs, more)[0])
+        self.groups = written(components(edges), "groups")
+
+    def _runs(self, sets: DataFrame, first: int, runs: int) -> tuple[DataFrame, int, DataFrame | None]:
+        """Candidate edges of so many runs, the depth reached, and the sets that were in large nodes, if any."""
+        roots = F.explode(F.array(*[F.lit(int(mix(np.array([r + 1], dtype=np.uint64)).view(np.int64)[0])) for r in range(first, first + runs)]))
+        frame = sets.select(roots.alias("path"), F.col("h1").alias("set"), "slots")
+        edges = large = None
+        for depth in range(1, DEPTH + 1):
+            rows = written(_expand(frame), "paths")
+            # Large nodes are known by counts before anything is shuffled by node: their rows go on as they are.
+            hot = written(rows.groupBy("path").count().where(F.col("count") > self.node_limit), "large-nodes")
+            n_hot = hot.count()
+            more = None
+            if n_hot:
+                hot = F.broadcast(hot) if n_hot * 16 <= BROADCAST_BYTES else hot
+                more = rows.join(hot, "path")
+                rows = rows.join(hot, "path", "left_anti")
+            own = _search(rows, self.parts, self.least_equal)
+            if n_hot and depth == DEPTH:
+                # Pairs of blocks of a large node: as many tasks as it needs.
+                tiles = _tiles(more.withColumn("blocks", F.ceil(F.col("count") / F.lit(self.node_limit))), "path", "set", "blocks")
+                own = own.unionAll(_search(tiles.select(F.col("tile").alias("path"), "set", "bits"), self.parts, self.least_equal))
+            own = written(own, "candidates")
             edges = own if edges is None else edges.unionAll(own)
-            more = found.where("more").select(F.col("a").alias("path"), F.col("b").alias("set"))
-            left = more.count()
-            depth += 1
-            if not left:
-                break
-            if depth >= 6:
-                # Sets that stay together this long are nearly all alike: whatever their number, brute force.
-                node_limit = 1 << 62
+            if not n_hot or depth == DEPTH:
+                return edges, depth, large
+            more = written(more.select("path", "set"), "more")
+            if large is None:
+                large = written(more.select("set").distinct(), "large-sets")
             frame = more.join(self.sets.select(F.col("h1").alias("set"), "slots"), "set")
-        self.groups = written(components(edges), "groups")
 
-    def verified(self, as_groups: bool) -> DataFrame:
-        """Pairs (a, b, jaccard) of sets, or (a: representative set, b: other set of its group)."""
+    def verified(self) -> DataFrame:
+        """(a, b, links, whole): of each set that is similar to another one a row (set, itself, number of such sets),
+        to be summed up, and edges (set, set, 0) that connect what is similar; ``whole``: the edge leads to the name
+        of its group."""
         n, threshold = self.n, self.threshold
-        member = self.sets.join(self.groups, self.sets["h1"] == self.groups["node"]).select("rep", "h1", "component")
+        named = self.sets.join(self.groups, self.sets["h1"] == self.groups["node"]).select("rep", "h1", "grams", "component")
+        sizes = named.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(_TILE_SETS)), F.least(F.count(F.lit(1)), F.ceil(F.sum("grams") / F.lit(_TILE_GRAMS)))).alias("blocks"))
+        member = _tiles(named.join(sizes, "component"), "component", "h1", "blocks").select("rep", "h1", "tile", "side", "own", (F.col("blocks") <= 1).alias("whole"))
         member = small_or_plain(written(member, "members"), 40)
         docs = self.docs.select(F.col(f"`{self.key}`").cast("long").alias("rep"), F.col(f"`{self.text}`").alias("t")).where(F.col("t").isNotNull())
-        texts = docs.join(member, "rep").select("component", "h1", F.lower("t").alias("t"))
+        texts = docs.join(member, "rep").select("tile", "h1", "side", "own", "whole", F.lower("t").alias("t"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in grouped_arrow(batches, "component", 256):
-                name, h1 = table.column("component").to_numpy(), table.column("h1").to_numpy()
+            for table in grouped_arrow(batches, "tile", 256):
+                name, h1, side, own, whole = (table.column(c).to_numpy() for c in ("tile", "h1", "side", "own", "whole"))
                 sets: list[np.ndarray] = []
                 for batch in table.select(["t"]).to_batches():
                     for piece in slices(batch, "t", _SLICE):
                         sets += gram_sets(piece.column("t"), n)
-                aa, bb, ss = [], [], []
                 first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
                 for lo, hi in zip(first.tolist(), np.r_[first[1:], len(name)].tolist(), strict=True):
                     # The text must be the one that was sketched, once for each set: keys can repeat.
-                    own = {}
+                    there = {}
                     for k in range(lo, hi):
                         if len(sets[k]) and np.bitwise_xor.reduce(mix(sets[k])).view(np.int64) == h1[k]:
-                            own.setdefault(int(h1[k]), k)
-                    if len(own) < 2:
+                            there.setdefault(int(h1[k]), k)
+                    if len(there) < 2:
                         continue
-                    index = np.array(sorted(own.values()))
-                    i, j, s = _verify([sets[k] for k in index], threshold)
+                    index = np.array([there[x] for x in sorted(there)])
+                    i, j = _verify([sets[k] for k in index], threshold)
+                    ok = (side[index[i]] != side[index[j]]) | own[index[i]]
+                    i, j = i[ok], j[ok]
                     if not len(i):
                         continue
-                    if as_groups:
-                        i, j = _spanning(i, j, len(index))
-                        s = np.ones(len(i))
-                    aa.append(h1[index[i]])
-                    bb.append(h1[index[j]])
-                    ss.append(s)
-                if aa:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(aa)), pa.array(np.concatenate(bb)), pa.array(np.concatenate(ss))], names=["a", "b", "jaccard"])
-
-        return texts.repartition("component").sortWithinPartitions("component").mapInArrow(run, "a long, b long, jaccard double")
+                    links = np.bincount(i, minlength=len(index)) + np.bincount(j, minlength=len(index))
+                    some = np.flatnonzero(links)
+                    a, b = _spanning(i, j, len(index))
+                    aa, bb = np.r_[some, a], np.r_[some, b]
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[index[aa]]), pa.array(h1[index[bb]]), pa.array(np.r_[links[some], np.zeros(len(a), np.int64)]), pa.array(np.full(len(aa), bool(whole[lo])))], names=["a", "b", "links", "whole"])
+
+        return texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, links long, whole boolean")
+
+    def classes(self) -> DataFrame:
+        """(h1, text_id, class_id, n_links) of each set with more than one document or with a similar set."""
+        found = written(self.verified(), "verified")
+        links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
+        edges = found.where("a <> b")
+        # The stars of a component that was one tile are final; those of several tiles are connected first.
+        stars = edges.where("whole").select(F.col("b").alias("node"), F.col("a").alias("component"))
+        stars = stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
+        split = edges.where("not whole").select("a", "b")
+        if not split.isEmpty():
+            stars = stars.unionAll(written(components(split), "groups"))
+        of = self.sets.select("h1", "rep", "last").join(stars.join(links, "node"), F.col("h1") == F.col("node"), "left").where("node is not null or rep <> last")
+        of = written(of.select("h1", F.col("rep").alias("text_id"), F.coalesce("component", "h1").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "linked")
+        return of.join(of.groupBy("c").agg(F.min("text_id").alias("class_id")), "c").select("h1", "text_id", "class_id", "n_links")
+
+    def members(self) -> DataFrame:
+        """(d, text_id, class_id, n_links) of the documents of those sets."""
+        classes = small_or_plain(written(self.classes(), "classes"), 48)
+        return self.rows.select("h1", "d").join(classes, "h1").drop("h1").distinct()
 
 
 def similar(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.98, node_limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_ids, jaccard): the similar documents, factorised.
+    """(key, class_id, text_id, n_links): one row for each document that has a similar one.
+
+    ``text_id`` is the smallest document with the same n-gram set, ``n_links`` the number of other n-gram sets (of
+    different texts) whose similarity is at least ``threshold``, and ``class_id`` the smallest document that can be
+    reached over such links and equal sets.  Similarities are exact; links at the threshold are found with probability
+    ``recall``, closer ones with more; equal sets always.
 
-    ``doc_ids`` with ``jaccard`` 1 and more than one entry are all documents with one and the same n-gram set; a
-    list of two with ``jaccard`` below 1 is a pair of different sets, each named by its smallest document.  The
-    pairs of the join are those inside each list, and for a pair of sets every document of one with every
-    document of the other.  Similarities are exact; pairs at the threshold are found with probability ``recall``,
-    more similar ones with more; equal sets always.
+    Null keys, null and wordless texts match nothing; repeated rows count as one document; a key with several different
+    texts has a row for each that has a similar one; an empty table gives an empty result; other columns are ignored.
+    ``key`` must be an integer.
 
-    Null keys, null and wordless texts match nothing; repeated rows count as one document; an empty table
-    gives an empty result; other columns are ignored.  ``key`` must be an integer.
+    Nodes of more than ``node_limit`` sets split; what is still larger after ``DEPTH`` levels is searched in tiles of
+    that size, and so is any large component in the exact comparison: no node, component or set is one task's alone.
     """
     join = _Join(docs, n, threshold, recall, node_limit, key, text)
-    pairs = written(join.verified(False), "pairs")
-    names = join.sets.select("h1", "rep")
-    a, b = names.toDF("a", "ra"), names.toDF("b", "rb")
-    near = pairs.join(a, "a").join(b, "b").where("ra <> rb").select(F.array(F.least("ra", "rb"), F.greatest("ra", "rb")).alias("doc_ids"), F.round("jaccard", 9).alias("jaccard"))
-    same = join.sets.where(F.size("ids") > 1).select(F.col("ids").alias("doc_ids"), F.lit(1.0).alias("jaccard"))
-    return same.unionAll(near)
+    return join.members().select(F.col("d").alias(key), "class_id", "text_id", "n_links")
 
 
 def deduplicate(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.98, node_limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs``, columns unchanged, with one document of each group of similar ones: that with the smallest
-    key.  Groups are the connected components of :func:`similar`.
+    """Rows of ``docs``, columns unchanged, with one document of each class of :func:`similar`: that with the smallest
+    key.
 
-    Rows with a null key or a null or wordless text are in no group and stay; of repeated rows one stays; if rows
+    Rows with a null key or a null or wordless text are in no class and stay; of repeated rows one stays; if rows
     share a key but not a text, all of that key go when one of them must.
     """
     join = _Join(docs, n, threshold, recall, node_limit, key, text)
-    # Every set is in one candidate component, so the stars found there are the final groups.
-    stars = written(join.verified(True).select("a", "b"), "stars")
-    links = stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-    sets = join.sets.select("h1", "rep", "ids", "rows")
-    named = sets.join(links, sets["h1"] == links["node"], "left").select("rep", "ids", F.coalesce("component", "h1").alias("c"))
-    best = named.groupBy("c").agg(F.min("rep").alias("best"))
-    gone = named.join(best, "c").select(F.explode("ids").alias("__gone"), "best").where("__gone <> best").select("__gone").distinct()
-    gone = written(gone, "near-duplicates")
+    gone = written(join.members().where("d <> class_id").select(F.col("d").alias("__gone")).distinct(), "near-duplicates")
     gone = small_or_plain(gone, 16)
     kept = docs.join(gone, docs[f"`{key}`"].cast("long") == gone["__gone"], "left_anti")
     # Rows that repeat one key and one set: few keys, so only their rows are shuffled.
-    twice = written(sets.where(F.col("rows") > F.size("ids")).select(F.explode("ids").alias("__twice")).distinct(), "repeated")
+    twice = written(join.rows.groupBy("h1", "d").count().where("count > 1").select(F.col("d").alias("__twice")).distinct(), "repeated")
     if twice.isEmpty():
         return kept
     twice = small_or_plain(twice, 16)

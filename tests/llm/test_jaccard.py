@@ -1,7 +1,14 @@
 import itertools
+import random
 import re
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from pipewright.llm import jaccard
+from pipewright.llm._shared import grouped_arrow
 from tests.llm.helpers import DATA, SCHEMA, documents, odd, words
 
 
@@ -18,17 +25,39 @@ def brute(rows, threshold=0.5):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
 
 
-def expanded(df):
-    """All pairs of documents that a factorised result stands for."""
-    lists = [(r["doc_ids"], r["jaccard"]) for r in df.collect()]
-    same = {ids[0]: ids for ids, j in lists if j == 1.0}
-    out = set()
-    for ids, j in lists:
-        if j == 1.0:
-            out |= set(itertools.combinations(sorted(ids), 2))
-        else:
-            out |= {tuple(sorted(p)) for p in itertools.product(same.get(ids[0], [ids[0]]), same.get(ids[1], [ids[1]]))}
-    return out
+def links(pairs, rows):
+    """{(doc, class, text, links)} of the documents with a similar one, from all similar pairs."""
+    sets = {k: grams(t) for k, t in rows if k is not None and t and grams(t)}
+    parent = {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = {k: set() for k in sets}
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+        if sets[a] != sets[b]:
+            near[a].add(sets[b])
+            near[b].add(sets[a])
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(sets[k], k)
+    linked = {k for p in pairs for k in p}
+    return {(k, root(k), first[sets[k]], len(near[k])) for k in linked}
+
+
+def found(df):
+    return {tuple(r) for r in df.select("doc_id", "class_id", "text_id", "n_links").collect()}
+
+
+def recall(got, want):
+    """Share of the links that were found; nothing may be found that is not there."""
+    most = {(k, t): n for k, _, t, n in want}
+    assert all(n <= most[k, t] for k, _, t, n in got)
+    return sum(n for *_, n in got) / sum(n for *_, n in want)
 
 
 def family(seed, n=60):
@@ -43,23 +72,59 @@ def family(seed, n=60):
 def test_recall_and_precision(spark):
     texts = [t for s in range(25) for t in family(s)]
     rows = list(enumerate(texts))
-    got, want = expanded(jaccard.similar(documents(spark, texts))), brute(rows)
-    assert want and got <= want
-    assert len(got) >= 0.97 * len(want)
+    got, want = found(jaccard.similar(documents(spark, texts))), links(brute(rows), rows)
+    assert want and recall(got, want) >= 0.97
 
 
 def test_real_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = brute(rows)
-    got = expanded(jaccard.similar(docs))
-    assert got <= want and len(got) >= 0.9 * len(want)
+    got, want = found(jaccard.similar(docs)), links(brute(rows), rows)
+    assert recall(got, want) >= 0.97 and len(got & want) >= 0.97 * len(want)
+
+
+def test_large_nodes_split_and_end_in_tiles(spark):
+    """Groups of alike texts far above the limit of a node reach the last level and are searched in tiles."""
+    texts = [t for s in range(12) for t in family(s)] + [words(50, 99)] * 40 + [f"{words(60, 98)} tail{k}" for k in range(60)]
+    rows = list(enumerate(texts))
+    got, want = found(jaccard.similar(documents(spark, texts), node_limit=4)), links(brute(rows), rows)
+    assert recall(got, want) >= 0.97
+    tails = {r for r in got if r[0] >= 148}
+    assert tails == {r for r in want if r[0] >= 148} and all(r[3] == 59 for r in tails)
+
+
+def test_large_components_are_compared_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_TILE_SETS", 7)
+    texts = [f"{words(60, 98)} tail{k}" for k in range(50)] + [t for s in range(4) for t in family(s)]
+    rows = list(enumerate(texts))
+    got, want = found(jaccard.similar(documents(spark, texts))), links(brute(rows), rows)
+    assert recall(got, want) >= 0.97
+    assert {r for r in got if r[0] < 50} == {r for r in want if r[0] < 50}
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 5])
+def test_tiles_hold_every_pair_once(spark, blocks):
+    rows = jaccard._tiles(spark.range(40).withColumn("name", F.lit(7)).withColumn("blocks", F.lit(blocks).cast("long")), "name", "id", "blocks").collect()
+    seen = Counter()
+    for tile in {r["tile"] for r in rows}:
+        for a, b in itertools.combinations(sorted((r for r in rows if r["tile"] == tile), key=lambda r: r["id"]), 2):
+            if a["side"] != b["side"] or a["own"]:
+                seen[a["id"], b["id"]] += 1
+    assert seen == Counter(itertools.combinations(range(40), 2))
+
+
+def test_runs_reach_the_recall_at_any_depth():
+    for depth in range(1, jaccard.DEPTH + 1):
+        p = jaccard.survival(0.5, depth)
+        assert 1 - (1 - p) ** jaccard.runs_for(0.5, 0.99, depth) >= 0.99
 
 
-def test_large_nodes_split(spark):
-    texts = [t for s in range(12) for t in family(s)] + [words(50, 99)] * 40
-    got, want = expanded(jaccard.similar(documents(spark, texts), node_limit=4)), brute(list(enumerate(texts)))
-    assert got <= want and len(got) >= 0.95 * len(want)
+def test_groups_stay_whole_over_batches():
+    keys = sorted(random.Random(1).choices(range(30), k=500)) + [99] * 700 + [100, 101]
+    for size in (1, 7, 64, 2000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size])], names=["k"]) for k in range(0, len(keys), size)]
+        tables = [t.column("k").to_pylist() for t in grouped_arrow(iter(batches), "k", 20)]
+        assert sum(tables, []) == keys and all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
 
 
 def test_one_stays(spark):
@@ -70,8 +135,7 @@ def test_one_stays(spark):
 
 def test_odd_rows(spark):
     table = odd(spark)
-    pairs = jaccard.similar(table).collect()
-    assert [sorted(r["doc_ids"]) for r in pairs] == [[5, 6]]
+    assert found(jaccard.similar(table)) == {(5, 5, 5, 0), (6, 5, 5, 0)}
     kept = jaccard.deduplicate(table)
     assert kept.columns == table.columns
     ids = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept.collect())
