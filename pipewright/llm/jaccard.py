@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pipewright import ship
 from pipewright.llm._shared import BROADCAST_BYTES, grouped_arrow, map_arrow, slices, small_or_plain, written
 from pipewright.llm._text import WORDS, hashes, mix, text_bytes, tokens, windows
-from pipewright.llm.components import components
+from pipewright.llm.components import components, settled, spanning, tiles
 
 SLOTS = 128
 _SLICE = 1 << 20
@@ -164,23 +164,6 @@ def _near(bits: np.ndarray, least_equal: int, block: int = 1 << 20) -> Iterator[
         yield i[ok] + a, j[ok]
 
 
-def _spanning(i: np.ndarray, j: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star forest with the same components as the pairs."""
-    label = np.arange(m)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        new = np.minimum(new, new[label])
-        if (new == label).all():
-            break
-        label = new
-    touched = np.flatnonzero(label != np.arange(m))
-    return label[touched], touched
-
-
 def _search(rows: DataFrame, parts: int, least_equal: int) -> DataFrame:
     """(a, b): candidate edges between the sets of each node.  No node is large."""
 
@@ -216,24 +199,13 @@ def _search(rows: DataFrame, parts: int, least_equal: int) -> DataFrame:
                     jj.append(j)
                 i, j = np.concatenate(ii), np.concatenate(jj)
                 if len(i):
-                    a, b = _spanning(i, j, int(size[k]))
+                    a, b = spanning(i, j, int(size[k]))
                     yield out(sets[own][a], sets[own][b])
 
     ship(rows.sparkSession)
     return rows.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
 
 
-def _tiles(rows: DataFrame, name: str, member: str, blocks: str) -> DataFrame:
-    """``rows`` dealt to ``blocks`` blocks each, once for every other block: ``tile`` names the pair of blocks, ``side``
-    the row's own one in it, and ``own`` holds in one tile of each block, in which its inner pairs count.  A single
-    block is one tile."""
-    block = F.pmod(F.xxhash64(F.lit("tile"), F.col(member)), F.col(blocks))
-    one = rows.withColumn("__p", block).withColumn("__q", F.explode(F.when(F.col(blocks) > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), lambda q: q != F.col("__p"))).otherwise(F.array(F.lit(0).cast("long")))))
-    low, high = F.least("__p", "__q"), F.greatest("__p", "__q")
-    own = F.when(F.col(blocks) <= 1, True).otherwise((F.col("__p") == low) & (high == low + 1) | (F.col("__p") == high) & (low == 0) & (high == F.col(blocks) - 1))
-    return one.withColumn("tile", F.xxhash64(F.col(name), low, high)).withColumn("side", F.col("__p") == low).withColumn("own", own).drop("__p", "__q")
-
-
 def _pair_counts(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
     """Sizes of all pairwise intersections, by products of the 0/1 matrix of sets and grams."""
     m = len(sets)
@@ -306,8 +278,8 @@ class _Join:
             own = _search(rows, self.parts, self.least_equal)
             if n_hot and depth == DEPTH:
                 # Pairs of blocks of a large node: as many tasks as it needs.
-                tiles = _tiles(more.withColumn("blocks", F.ceil(F.col("count") / F.lit(self.node_limit))), "path", "set", "blocks")
-                own = own.unionAll(_search(tiles.select(F.col("tile").alias("path"), "set", "bits"), self.parts, self.least_equal))
+                pairs = tiles(more.withColumn("blocks", F.ceil(F.col("count") / F.lit(self.node_limit))), "path", "set", "blocks")
+                own = own.unionAll(_search(pairs.select(F.col("tile").alias("path"), "set", "bits"), self.parts, self.least_equal))
             own = written(own, "candidates")
             edges = own if edges is None else edges.unionAll(own)
             if not n_hot or depth == DEPTH:
@@ -324,7 +296,7 @@ class _Join:
         n, threshold = self.n, self.threshold
         named = self.sets.join(self.groups, self.sets["h1"] == self.groups["node"]).select("rep", "h1", "grams", "component")
         sizes = named.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(_TILE_SETS)), F.least(F.count(F.lit(1)), F.ceil(F.sum("grams") / F.lit(_TILE_GRAMS)))).alias("blocks"))
-        member = _tiles(named.join(sizes, "component"), "component", "h1", "blocks").select("rep", "h1", "tile", "side", "own", (F.col("blocks") <= 1).alias("whole"))
+        member = tiles(named.join(sizes, "component"), "component", "h1", "blocks").select("rep", "h1", "tile", "side", "own", (F.col("blocks") <= 1).alias("whole"))
         member = small_or_plain(written(member, "members"), 40)
         docs = self.docs.select(F.col(f"`{self.key}`").cast("long").alias("rep"), F.col(f"`{self.text}`").alias("t")).where(F.col("t").isNotNull())
         texts = docs.join(member, "rep").select("tile", "h1", "side", "own", "whole", F.lower("t").alias("t"))
@@ -353,7 +325,7 @@ class _Join:
                         continue
                     links = np.bincount(i, minlength=len(index)) + np.bincount(j, minlength=len(index))
                     some = np.flatnonzero(links)
-                    a, b = _spanning(i, j, len(index))
+                    a, b = spanning(i, j, len(index))
                     aa, bb = np.r_[some, a], np.r_[some, b]
                     yield pa.RecordBatch.from_arrays([pa.array(h1[index[aa]]), pa.array(h1[index[bb]]), pa.array(np.r_[links[some], np.zeros(len(a), np.int64)]), pa.array(np.full(len(aa), bool(whole[lo])))], names=["a", "b", "links", "whole"])
 
@@ -361,16 +333,8 @@ class _Join:
 
     def classes(self) -> DataFrame:
         """(h1, text_id, class_id, n_links) of each set with more than one document or with a similar set."""
-        found = written(self.verified(), "verified")
-        links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-        edges = found.where("a <> b")
-        # The stars of a component that was one tile are final; those of several tiles are connected first.
-        stars = edges.where("whole").select(F.col("b").alias("node"), F.col("a").alias("component"))
-        stars = stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
-        split = edges.where("not whole").select("a", "b")
-        if not split.isEmpty():
-            stars = stars.unionAll(written(components(split), "groups"))
-        of = self.sets.select("h1", "rep", "last").join(stars.join(links, "node"), F.col("h1") == F.col("node"), "left").where("node is not null or rep <> last")
+        stars = settled(self.verified())
+        of = self.sets.select("h1", "rep", "last").join(stars, F.col("h1") == F.col("node"), "left").where("node is not null or rep <> last")
         of = written(of.select("h1", F.col("rep").alias("text_id"), F.coalesce("component", "h1").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "linked")
         return of.join(of.groupBy("c").agg(F.min("text_id").alias("class_id")), "c").select("h1", "text_id", "class_id", "n_links")
 

@@ -115,5 +115,20 @@ FROM d JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
 
+def _vectors_sql(threshold: float = 0.97) -> str:
+    return f"""
+WITH RECURSIVE e AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT v, min(vec_id) AS copy_id FROM e GROUP BY v),
+near AS (SELECT a.copy_id AS a, b.copy_id AS b FROM s a JOIN s b ON len(a.v) = len(b.v) AND a.copy_id <> b.copy_id WHERE list_cosine_similarity(a.v, b.v) >= {threshold}),
+reach AS (SELECT copy_id AS a, copy_id AS b FROM s UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+c AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+l AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT DISTINCT e.vec_id, c.class_id, s.copy_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM e JOIN s ON e.v = s.v JOIN c ON c.a = s.copy_id LEFT JOIN l ON l.a = s.copy_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing_sql(), "op1_mixing_all": _mixing_all_sql(), "op8_warc_zip": "SELECT page_id, url, html FROM pages", "op10_sharding": _sharding_sql()}
+    return {"op1_mixing": _mixing_sql(), "op1_mixing_all": _mixing_all_sql(), "op7_embedding_dedup": _vectors_sql(), "op8_warc_zip": "SELECT page_id, url, html FROM pages", "op10_sharding": _sharding_sql()}

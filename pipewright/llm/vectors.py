@@ -2,7 +2,8 @@
 
 Unit vectors at squared distance r2 have, in any split of a rotated space into blocks, at least one block in
 which their squared distance is at most the block's proportional share of r2.  Each block is a low-dimensional
-range join on a grid; the union of the candidates is verified exactly.  Nothing within the threshold is missed.
+range join on a grid; a cell compares its vectors in one byte a coordinate, within the error that this can have.  The
+union of the candidates is verified exactly, component by component.  Nothing within the threshold is missed.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipewright import ship
-from pipewright.llm._shared import grouped_arrow, map_arrow, small_or_plain, written
+from pipewright.llm._shared import BROADCAST_BYTES, grouped_arrow, map_arrow, small_or_plain, written
 from pipewright.llm._text import mix
-from pipewright.llm.components import components
+from pipewright.llm.components import components, settled, spanning, tiles
 
 _U = np.uint64
-#: Half precision rounds a coordinate below 1 by at most this much.
-_HALF = 2.0**-12
+#: Side of a grid cell, in radii of the range join: the wider, the fewer cells a ball meets.
+_SIDE = 4.0
+#: Vectors in one cell, and in one block of a component, above which they are compared in tiles.
+CELL_ROWS, _TILE_ROWS = 4096, 2000
 
 
 def rotation(dim: int, seed: int = 20) -> np.ndarray:
@@ -39,7 +42,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def block_cells(x: np.ndarray, radius: float, dims: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, home) of each grid cell, over the first ``dims`` coordinates, that a ball around a row meets:
     its own cell (home), and those of the others that come after it in the order of cell numbers."""
-    side = 2 * radius
+    side = _SIDE * radius
     at = np.floor(x[:, :dims] / side)
     low = x[:, :dims] - at * side  # distance to the lower neighbour
     index = np.arange(len(x))
@@ -61,8 +64,9 @@ def block_cells(x: np.ndarray, radius: float, dims: int, salt: int) -> tuple[np.
     return index[keep], cell[keep], ~moved[keep]
 
 
-def _cells(sets: DataFrame, r2: float, block: int, grid: int) -> DataFrame:
-    """(cell, id, home, coordinates) of every vector, block and cell."""
+def _cells(sets: DataFrame, r2: float, block: int, grid: int, only_cells: bool = False) -> DataFrame:
+    """(cell, id, home, scale, q) of every vector, block and cell: ``q`` is the rotated unit vector in signed bytes, to
+    be multiplied by ``scale``.  With ``only_cells`` the first column alone."""
 
     def run(batch: pa.RecordBatch):
         values, offsets = _lists(batch.column("v"))
@@ -73,116 +77,149 @@ def _cells(sets: DataFrame, r2: float, block: int, grid: int) -> DataFrame:
             x = values[(offsets[rows][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             x = x @ rotation(dim)
+            scale = np.abs(x).max(axis=1) / 127
+            q = np.rint(x / scale[:, None]).astype(np.int8)
             for b in range(0, dim, block):
                 part = x[:, b : b + block]
                 width = part.shape[1]
-                half = part.astype(np.float16)
-                radius = math.sqrt(r2 * width / dim) + 2 * _HALF * math.sqrt(width)
-                row, cell, home = block_cells(half.astype(np.float64), radius, min(grid, width), dim * 4096 + b)
-                coords = np.zeros((len(row), block), dtype=np.float16)
-                coords[:, :width] = half[row]
-                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * block), len(row), [None, pa.py_buffer(coords)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(ids[rows][row]), pa.array(home), pa.array(np.full(len(row), radius)), packed], names=["cell", "id", "home", "radius", "x"])
+                row, cell, home = block_cells(part, math.sqrt(r2 * width / dim) + 1e-9, min(grid, width), dim * 4096 + b)
+                columns = [pa.array(cell.view(np.int64))]
+                if not only_cells:
+                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(row), [None, pa.py_buffer(np.ascontiguousarray(q[row]))]).cast(pa.binary())
+                    columns += [pa.array(ids[rows][row]), pa.array(home), pa.array(scale[row].astype(np.float32)), packed]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "id", "home", "scale", "q"][: len(columns)])
 
-    return map_arrow(sets.select("id", "v"), run, "cell long, id long, home boolean, radius double, x binary")
+    return map_arrow(sets.select("id", "v"), run, "cell long" if only_cells else "cell long, id long, home boolean, scale float, q binary")
 
 
-def _candidates(cells: DataFrame, block: int, parts: int) -> DataFrame:
-    """(a, b) of the vectors that are within the block's radius in some cell."""
+def _candidates(cells: DataFrame, r2: float, parts: int) -> DataFrame:
+    """(a, b): edges that connect, cell by cell, the vectors that may be within the radius of one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_arrow(batches, "cell"):
-            cell, ids, home, radius = (table.column(c).to_numpy() for c in ("cell", "id", "home", "radius"))
-            packed = table.column("x").combine_chunks()
+            cell, ids, home, scale = (table.column(c).to_numpy() for c in ("cell", "id", "home", "scale"))
+            packed = table.column("q").combine_chunks()
             packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
-            start = np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset] // 2
-            x = np.frombuffer(packed.buffers()[2], dtype=np.float16)[start : start + block * len(cell)].reshape(-1, block).astype(np.float32)
+            at = np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset : packed.offset + len(cell) + 1]
+            data = np.frombuffer(packed.buffers()[2], dtype=np.int8)
             first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             last = np.r_[first[1:], len(cell)]
-            several = np.flatnonzero(last - first > 1)
-            for k in several.tolist():
-                own = np.arange(first[k], last[k])
-                at_home = own[home[own]]
-                if not len(at_home):
+            ones = np.add.reduceat(home, first, dtype=np.int64)
+            for k in np.flatnonzero((last - first > 1) & (ones > 0)).tolist():
+                a, b = int(first[k]), int(last[k])
+                dim = int(at[a + 1] - at[a])
+                s = scale[a:b]
+                x = data[at[a] : at[b]].reshape(-1, dim).astype(np.float32) * s[:, None]
+                # Half a step of rounding in each coordinate, and that of the arithmetic itself.
+                error = s * np.float32(0.5 * math.sqrt(dim)) + np.float32(1e-4)
+                h = np.flatnonzero(home[a:b])
+                norm = (x**2).sum(axis=1)
+                step = max(1, (4 << 20) // len(h))
+                ii, jj = [], []
+                for c in range(0, b - a, step):
+                    far = norm[c : c + step, None] + norm[None, h] - 2 * (x[c : c + step] @ x[h].T)
+                    i, j = np.nonzero(far <= (np.float32(math.sqrt(r2)) + error[c : c + step, None] + error[None, h]) ** 2)
+                    ok = i + c != h[j]
+                    ii.append(i[ok] + c)
+                    jj.append(h[j[ok]])
+                i, j = np.concatenate(ii), np.concatenate(jj)
+                if len(i):
+                    i, j = spanning(i, j, b - a)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][i]), pa.array(ids[a:b][j])], names=["a", "b"])
+
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
+def _verified(sets: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, links, whole) of all vectors that have a partner in their component, as ``settled`` takes it."""
+    named = groups.select(F.col("node").alias("id"), "component")
+    sizes = named.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(_TILE_ROWS)).alias("blocks"))
+    member = tiles(named.join(sizes, "component"), "component", "id", "blocks").select("id", "tile", "side", "own", (F.col("blocks") <= 1).alias("whole"))
+    member = small_or_plain(written(member, "members"), 32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped_arrow(batches, "tile", 1024):
+            tile, ids, side, own, whole = (table.column(c).to_numpy() for c in ("tile", "id", "side", "own", "whole"))
+            values, offsets = _lists(table.column("v").combine_chunks() if not isinstance(table.column("v").combine_chunks(), pa.ChunkedArray) else table.column("v").combine_chunks().chunk(0))
+            first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+            for a, b in zip(first.tolist(), np.r_[first[1:], len(tile)].tolist(), strict=True):
+                dim = int(offsets[a + 1] - offsets[a])
+                if b - a < 2 or (np.diff(offsets[a : b + 1]) != dim).any():
+                    continue
+                x = values[offsets[a] : offsets[b]].reshape(-1, dim)
+                norm = np.sqrt((x * x).sum(axis=1))
+                i, j = np.nonzero(np.triu(x @ x.T / (norm[:, None] * norm[None, :]) >= threshold - 1e-12, 1))
+                ok = (side[a + i] != side[a + j]) | own[a + i]
+                i, j = i[ok], j[ok]
+                if not len(i):
                     continue
-                limit = float(radius[own[0]]) ** 2 * (1 + 1e-5) + 1e-6
-                h, hn = x[at_home], (x[at_home] ** 2).sum(axis=1)
-                step = max(1, (4 << 20) // len(at_home))
-                for s in range(0, len(own), step):
-                    these = own[s : s + step]
-                    y = x[these]
-                    far = (y**2).sum(axis=1)[:, None] + hn[None, :] - 2 * (y @ h.T)
-                    i, j = np.nonzero(far <= limit)
-                    a, b = these[i], at_home[j]
-                    ok = ~home[a] | (a < b)
-                    a, b = ids[a[ok]], ids[b[ok]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+                links = np.bincount(i, minlength=b - a) + np.bincount(j, minlength=b - a)
+                some = np.flatnonzero(links)
+                p, q = spanning(i, j, b - a)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + np.r_[some, p]]), pa.array(ids[a + np.r_[some, q]]), pa.array(np.r_[links[some], np.zeros(len(p), np.int64)]), pa.array(np.full(len(some) + len(p), bool(whole[a])))], names=["a", "b", "links", "whole"])
 
+    vectors = sets.select("id", "v").join(member, "id").select("tile", "id", "side", "own", "whole", "v")
+    return vectors.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(run, "a long, b long, links long, whole boolean")
 
-def similar_vectors(table: DataFrame, threshold: float = 0.97, block: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_ids, cosine): the vectors with a cosine of at least ``threshold``, factorised.
 
-    ``vec_ids`` with ``cosine`` 1 are all vectors with the same components; a list of two is a pair of different
-    vectors, each named by its smallest key, and stands for every pair of equals of one and of the other.
+def _rows(table: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, v, id) of the rows with a key and a proper vector."""
+    v = F.col(f"`{vector}`").cast("array<double>")
+    fine = F.col("key").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
+    # -0.0 and 0.0 are one number.
+    return table.select(F.col(f"`{key}`").cast("long").alias("key"), v.alias("v")).where(fine).withColumn("v", F.transform("v", lambda c: c + F.lit(0.0))).withColumn("id", F.xxhash64("v"))
 
-    Vectors are compared with those of the same length.  Null keys, null and empty vectors, and vectors with a
-    null, NaN or infinite component or of length zero match nothing; repeated rows count once; an empty table
-    gives an empty result; other columns are ignored.  ``key`` must be an integer.
 
-    ``threshold`` must be above 0.  The grid has more dimensions the more vectors there are.
-    """
+def _members(table: DataFrame, threshold: float, block: int, key: str, vector: str) -> DataFrame:
+    """(key, class_id, copy_id, n_links) of every proper row."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    return _similar(table, threshold, block, key, vector)[1]
-
-
-def _similar(table: DataFrame, threshold: float, block: int, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     spark = table.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = F.col(f"`{vector}`").cast("array<double>")
-    fine = F.col("key").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
-    rows = table.select(F.col(f"`{key}`").cast("long").alias("key"), v.alias("v")).where(fine)
-    sets = written(rows.groupBy("v").agg(F.min("key").alias("least"), F.sort_array(F.collect_set("key")).alias("ids")).select(F.xxhash64("v").alias("id"), "v", "least", "ids"), "vectors")
+    rows = _rows(table, key, vector)
+    # Equal vectors are compared once; nothing of their rows is gathered but the smallest key.
+    sets = written(rows.groupBy("v").agg(F.first("id").alias("id"), F.min("key").alias("copy_id")), "vectors")
     n = sets.count()
     grid = max(1, min(block, round(math.log(max(n, 1) / 2000 + 1) / math.log(3)) + 1))
     r2 = 2 * (1 - threshold) + 1e-9
-    pairs = written(_candidates(_cells(sets, r2, block, grid), block, parts), "candidates")
-    a = sets.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("least").alias("la"))
-    b = sets.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("least").alias("lb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "va", "vb")
-
-    def verify(batch: pa.RecordBatch):
-        if not batch.num_rows:
-            return
-        x, ox = _lists(batch.column("va"))
-        y, oy = _lists(batch.column("vb"))
-        cosine = np.full(batch.num_rows, -2.0)
-        size = np.diff(ox)
-        for dim in np.unique(size).tolist():
-            rows = np.flatnonzero((size == dim) & (np.diff(oy) == dim))
-            p = x[(ox[rows][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
-            q = y[(oy[rows][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
-            cosine[rows] = (p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
-        ok = np.flatnonzero(cosine >= threshold)
-        index = pa.array(ok)
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(index) for c in ("a", "b", "la", "lb")] + [pa.array(np.minimum(cosine[ok], 1.0))], names=["a", "b", "la", "lb", "cosine"])
+    cells = _cells(sets, r2, block, grid)
+    hot = written(_cells(sets, r2, block, grid, only_cells=True).groupBy("cell").count().where(F.col("count") > CELL_ROWS), "large-cells")
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot * 16 <= BROADCAST_BYTES else hot
+        large = cells.join(hot, "cell").withColumn("blocks", F.ceil(F.col("count") / F.lit(CELL_ROWS // 2)))
+        edges = _candidates(cells.join(hot, "cell", "left_anti"), r2, parts).unionAll(_candidates(tiles(large, "cell", "id", "blocks").select(F.col("tile").alias("cell"), "id", "home", "scale", "q"), r2, parts))
+    else:
+        edges = _candidates(cells, r2, parts)
+    groups = written(components(written(edges, "candidates")), "groups")
+    stars = settled(_verified(sets, groups, threshold))
+    of = written(sets.select("id", "copy_id").join(stars, F.col("id") == F.col("node"), "left").select("id", "copy_id", F.coalesce("component", "id").alias("c"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "linked")
+    classes = small_or_plain(written(of.join(of.groupBy("c").agg(F.min("copy_id").alias("class_id")), "c").select("id", "copy_id", "class_id", "n_links"), "classes"), 48)
+    return rows.select("key", "id").join(classes, "id").select("key", "class_id", "copy_id", "n_links").distinct()
+
+
+def similar_vectors(table: DataFrame, threshold: float = 0.97, block: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, class_id, copy_id, n_links): one row for each vector.
+
+    ``copy_id`` is the smallest key with the same components, ``n_links`` the number of other vectors (of different
+    components) with a cosine of at least ``threshold``, and ``class_id`` the smallest key that can be reached over
+    such links and equal vectors; a vector that is like no other is its own class.
 
-    near = written(map_arrow(both, verify, "a long, b long, la long, lb long, cosine double"), "similar")
-    named = near.where("la <> lb").select(F.array(F.least("la", "lb"), F.greatest("la", "lb")).alias("vec_ids"), F.round("cosine", 9).alias("cosine"))
-    same = sets.where(F.size("ids") > 1).select(F.col("ids").alias("vec_ids"), F.lit(1.0).alias("cosine"))
-    return near.join(sets.select(F.col("id").alias("a"), F.col("ids").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("ids").alias("ib")), "b").select("ia", "ib").unionAll(sets.where(F.size("ids") > 1).select("ids", "ids")), same.unionAll(named)
+    Vectors are compared with those of the same length.  Null keys, null and empty vectors, and vectors with a
+    null, NaN or infinite component or of length zero have no row; repeated rows have one; a key with several
+    different vectors has a row for each of their results; an empty table gives an empty result; other columns are
+    ignored.  ``key`` must be an integer, ``threshold`` above 0.
+
+    The grid has more dimensions the more vectors there are.  A cell of more than ``CELL_ROWS`` rows, known by a count
+    before the shuffle, is compared in tiles of two blocks, and so is a large component; no pairs are written.
+    """
+    return _members(table, threshold, block, key, vector).withColumnRenamed("key", key)
 
 
 def deduplicate_vectors(table: DataFrame, threshold: float = 0.97, block: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Rows of ``table``, columns unchanged, with one vector of each connected group of similar ones: that with the
-    smallest key.  Rows that :func:`similar_vectors` leaves out stay, and so do all rows of the key that stays."""
-    pairs, _ = _similar(table, threshold, block, key, vector)
-    # A star from the least key of a pair's vectors to all the others links the same components.
-    edges = pairs.select(F.array_min(F.concat("ia", "ib")).alias("a"), F.explode(F.concat("ia", "ib")).alias("b")).where("a <> b")
-    gone = components(edges).where("node <> component").select(F.col("node").alias("__gone"))
+    """Rows of ``table``, columns unchanged, with one vector of each class of :func:`similar_vectors`: that with the
+    smallest key.  Rows that it leaves out stay, and so do all rows of the key that stays."""
+    gone = _members(table, threshold, block, key, vector).where("key <> class_id").select(F.col("key").alias("__gone")).distinct()
     gone = small_or_plain(written(gone, "near-vectors"), 16)
     return table.join(gone, table[f"`{key}`"].cast("long") == gone["__gone"], "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pipewright.llm import jaccard
 from pipewright.llm._shared import grouped_arrow
+from pipewright.llm.components import tiles
 from tests.llm.helpers import DATA, SCHEMA, documents, odd, words
 
 
@@ -104,7 +105,7 @@ def test_large_components_are_compared_in_tiles(spark, monkeypatch):
 
 @pytest.mark.parametrize("blocks", [1, 2, 3, 5])
 def test_tiles_hold_every_pair_once(spark, blocks):
-    rows = jaccard._tiles(spark.range(40).withColumn("name", F.lit(7)).withColumn("blocks", F.lit(blocks).cast("long")), "name", "id", "blocks").collect()
+    rows = tiles(spark.range(40).withColumn("name", F.lit(7)).withColumn("blocks", F.lit(blocks).cast("long")), "name", "id", "blocks").collect()
     seen = Counter()
     for tile in {r["tile"] for r in rows}:
         for a, b in itertools.combinations(sorted((r for r in rows if r["tile"] == tile), key=lambda r: r["id"]), 2):

@@ -18,14 +18,33 @@ def brute(rows, threshold):
     return out
 
 
-def expanded(df):
-    lists = [(r["vec_ids"], r["cosine"]) for r in df.collect()]
-    same = {ids[0]: ids for ids, c in lists if c == 1.0 and len(ids) > 1}
-    out = set()
-    for ids, c in lists:
-        a, b = same.get(ids[0], [ids[0]]), same.get(ids[1], [ids[1]])
-        out |= set(itertools.combinations(sorted(ids), 2)) if ids[0] in same and same[ids[0]] == ids else {(min(p), max(p)) for p in itertools.product(a, b)}
-    return out
+def classes(rows, pairs):
+    """{(key, class, copy, links)} of all rows, from all similar pairs."""
+    vectors = {i: tuple(np.asarray(v, np.float32).tolist()) for i, v in rows}
+    parent = {i: i for i in vectors}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = {i: set() for i in vectors}
+    for a, b in sorted(pairs):
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+        if vectors[a] != vectors[b]:
+            near[a].add(vectors[b])
+            near[b].add(vectors[a])
+    first = {}
+    for i in sorted(vectors):
+        first.setdefault(vectors[i], i)
+    return {(i, root(i), first[v], len(near[i])) for i, v in vectors.items()}
+
+
+def found(df):
+    rows = [tuple(r) for r in df.select("vec_id", "class_id", "copy_id", "n_links").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
 
 
 def made(n=300, dim=64, seed=1):
@@ -44,24 +63,27 @@ def test_no_pair_is_missed(spark, threshold, dim):
     rows = made(120, dim, dim)
     table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
     want = brute(rows, threshold)
-    assert want and expanded(vectors.similar_vectors(table, threshold)) == want
+    assert want and found(vectors.similar_vectors(table, threshold)) == classes(rows, want)
 
 
-def test_one_stays(spark):
-    rows = made(40)
+def test_hot_cells_and_large_components_in_tiles(spark, monkeypatch):
+    """A third of all vectors are alike: their cells and their component are divided."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 16)
+    monkeypatch.setattr(vectors, "_TILE_ROWS", 9)
+    r = np.random.default_rng(3)
+    base = r.standard_normal(24)
+    near = [(1000 + k, (base + 0.08 * r.standard_normal(24)).astype(np.float32).tolist()) for k in range(60)]
+    rows = made(50, 24, 4) + near + [(2000 + k, near[0][1]) for k in range(30)]
     table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
-    parent = {i: i for i, _ in rows}
+    want = brute(rows, 0.97)
+    assert len(want) > 1000 and found(vectors.similar_vectors(table)) == classes(rows, want)
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in sorted(brute(rows, 0.97)):
-        a, b = sorted((root(a), root(b)))
-        parent[b] = a
+def test_one_stays(spark):
+    rows = made(40)
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
     kept = sorted(r["vec_id"] for r in vectors.deduplicate_vectors(table).collect())
-    assert kept == sorted(i for i in parent if root(i) == i)
+    assert kept == sorted(i for i, c, _, _ in classes(rows, brute(rows, 0.97)) if i == c)
 
 
 def test_odd_rows(spark):
@@ -72,7 +94,7 @@ def test_odd_rows(spark):
     table = spark.createDataFrame(rows, SCHEMA)
     for name in ("id", "v", "key", "least", "ids", "cosine", "__gone"):
         table = table.withColumn(name, F.lit(0))
-    assert expanded(vectors.similar_vectors(table)) == {(1, 2), (1, 8), (2, 8)}
+    assert found(vectors.similar_vectors(table)) == {(1, 1, 1, 1), (2, 1, 1, 1), (8, 1, 8, 1), (9, 9, 9, 0)}
     kept = vectors.deduplicate_vectors(table)
     assert kept.columns == table.columns
     assert sorted(r["vec_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 9]
