@@ -4,19 +4,28 @@ large groups in tiles need."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipewright.llm._shared import written
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, limit: int = 1 << 20) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: longs); a component is named by its smallest node.
 
-    Each round writes its edges to the shared folder; the number of rounds is logarithmic in the longest chain.
+    Each round writes its edges to the shared folder; the number of rounds is logarithmic in the longest chain.  No more
+    than ``limit`` different edges (16 bytes each) are labelled on the driver instead: the same result without rounds.
     Self-loops and repeated edges are allowed; an empty table gives an empty result.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if edges.count() <= limit:
+        table = edges.toArrow()
+        nodes, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+        i, j = spanning(ends[: table.num_rows], ends[table.num_rows :], len(nodes))
+        label = np.arange(len(nodes))
+        label[j] = i
+        return edges.sparkSession.createDataFrame(pa.table({"node": nodes.astype(np.int64), "component": nodes[label].astype(np.int64)}), "node long, component long")
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

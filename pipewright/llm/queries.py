@@ -130,5 +130,33 @@ FROM e JOIN s ON e.v = s.v JOIN c ON c.a = s.copy_id LEFT JOIN l ON l.a = s.copy
 """
 
 
+def _repeats_sql(length: int = 50) -> str:
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT doc_id, w, unnest(range(0, len(w) - {length - 1})) AS i FROM d WHERE len(w) >= {length}),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + {length}], ' ')) AS h FROM p),
+k AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT DISTINCT doc_id, i, doc_id = low AS first FROM g JOIN k USING (h)),
+n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, first ORDER BY i) <= {length} THEN 0 ELSE 1 END AS new FROM m),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, first ORDER BY i) AS island FROM n)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS start_word, CAST(max(i) + {length} AS INTEGER) AS end_word, CAST(max(i) + {length} - min(i) AS INTEGER) AS n_words, first FROM s GROUP BY doc_id, first, island
+"""
+
+
+def _jaccard_sql(n: int = 3, threshold: float = 0.5) -> str:
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '(?:[0-9a-z]|[^\\x00-\\x7F])+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' ')) ELSE [array_to_string(w, ' ')] END)) AS s FROM w WHERE len(w) > 0),
+t AS (SELECT s, min(doc_id) AS text_id, max(doc_id) AS last FROM g GROUP BY s),
+x AS (SELECT text_id, len(s) AS size, unnest(s) AS gram FROM t),
+near AS (SELECT a.text_id AS a, b.text_id AS b FROM x a JOIN x b ON a.gram = b.gram AND a.text_id <> b.text_id GROUP BY a.text_id, b.text_id, a.size, b.size HAVING count(*) >= {threshold} * (a.size + b.size - count(*))),
+reach AS (SELECT text_id AS a, text_id AS b FROM t UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+c AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+l AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT DISTINCT g.doc_id, c.class_id, t.text_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM g JOIN t ON g.s = t.s JOIN c ON c.a = t.text_id LEFT JOIN l ON l.a = t.text_id WHERE l.n IS NOT NULL OR t.text_id <> t.last
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing_sql(), "op1_mixing_all": _mixing_all_sql(), "op7_embedding_dedup": _vectors_sql(), "op8_warc_zip": "SELECT page_id, url, html FROM pages", "op10_sharding": _sharding_sql()}
+    return {"op1_mixing": _mixing_sql(), "op1_mixing_all": _mixing_all_sql(), "op2_ngram_jaccard": _jaccard_sql(), "op7_embedding_dedup": _vectors_sql(), "op8_warc_zip": "SELECT page_id, url, html FROM pages", "op9_suffix_dedup": _repeats_sql(), "op10_sharding": _sharding_sql()}

@@ -48,19 +48,70 @@ def test_all_windows(spark, length, gram):
     assert got(suffix.repeats(documents(spark, texts), length, gram, shards=5)) == brute(list(enumerate(texts)), length)
 
 
-def test_batches_meet_in_the_family(monkeypatch, spark):
-    key = np.random.default_rng(1).integers(0, 400, 5000).astype(np.uint64)
-    doc, pos = np.random.default_rng(2).integers(0, 300, 5000), np.arange(5000, dtype=np.int32)
-    family = suffix.Family()
-    for k in range(0, 5000, 130):
-        family.add(key[k : k + 130], doc[k : k + 130], pos[k : k + 130])
+def test_hot_anchors_are_counted(spark):
+    """Passages that many documents share are found by counting windows, with the same result."""
+    r = random.Random(4)
+    passage = words(40, 500)
+    texts = [" ".join([words(r.randint(0, 60), k), passage, words(r.randint(0, 30), 200 + k)]) for k in range(60)] + [words(80, 7)] * 2
+    assert got(suffix.repeats(documents(spark, texts), 10, 5, hot=50)) == brute(list(enumerate(texts)), 10)
+
+
+@pytest.mark.parametrize("length", [1, 2, 5, 8])
+def test_suffix_order_and_shared_prefixes(length):
+    r = np.random.default_rng(length)
+    codes = r.integers(1, 4, 600).astype(np.uint32)
+    at = r.permutation(600 - length)[:300]
+    order, shared = suffix.suffix_order(codes, at, length)
+    suffixes = [tuple(codes[a : a + length]) for a in at[order]]
+    assert suffixes == sorted(suffixes) and sorted(order) == list(range(300))
+    for k in range(1, 300):
+        n = next((i for i in range(length) if suffixes[k][i] != suffixes[k - 1][i]), length)
+        assert shared[k] == n
+
+
+def test_family_merges_geometrically():
+    r, length = np.random.default_rng(1), 4
+    family, places, where = suffix.Family(length), 0, defaultdict(set)
+    for k in range(60):
+        sizes = r.integers(length, 12, 9)
+        codes, docs, firsts = r.integers(1, 5, sizes.sum()).astype(np.uint32), r.integers(0, 40, 9), r.integers(0, 100, 9).astype(np.int32)
+        ends = np.cumsum(sizes)
+        family.add(codes, ends, docs, firsts)
+        for e, n, d, f in zip(ends, sizes, docs, firsts):
+            for i in range(n - length + 1):
+                where[tuple(codes[e - n + i : e - n + i + length])].add((int(d), int(f + i)))
+                places += 1
     sizes = [len(x) for x in family.levels]
-    assert sum(sizes) == 5000 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-    found = {int(p) for _, ps, _ in family.repeated() for p in ps}
-    docs_of = defaultdict(set)
-    for a, d in zip(key, doc):
-        docs_of[a].add(d)
-    assert found == {i for i in range(5000) if len(docs_of[key[i]]) > 1}
+    assert len(sizes) > 1 and sum(sizes) == places and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    for level in [*family.levels, family.whole()]:
+        entries = [tuple(level.codes[a : a + length]) for a in level.at]
+        assert entries == sorted(set(entries)) and (level.lcp < length).all()
+    level = family.whole()
+    for a, low, high, k in zip(level.at, level.low, level.high, range(len(level.at))):
+        there = where[tuple(level.codes[a : a + length])]
+        assert (low, high) == (min(d for d, _ in there), max(d for d, _ in there))
+        own = level.entry == k
+        assert set(zip(level.doc[own].tolist(), level.pos[own].tolist())) == there
+
+
+def test_index_takes_further_batches(spark, tmp_path):
+    r = random.Random(9)
+    shared = [words(r.randint(10, 30), 100 + k) for k in range(6)]
+    texts = [" ".join([words(r.randint(0, 60), k), r.choice(shared), words(r.randint(0, 60), 200 + k), r.choice(shared)]) for k in range(40)]
+    rows = list(enumerate(texts))
+    for a, b in ((0, 25), (25, 32), (32, 40)):
+        index = suffix.SuffixIndex(spark, f"file://{tmp_path}/index", 10, 5, 6)  # as another session would open it
+        new = got(index.add(documents(spark, rows[a:b])))
+        assert new == {x for x in brute(rows[:b], 10) if a <= x[0]}
+        assert got(index.repeats()) == brute(rows[:b], 10)
+    assert got(index.add(documents(spark, []))) == set() and got(index.repeats()) == brute(rows, 10)
+    assert suffix.SuffixIndex(spark, f"file://{tmp_path}/none").repeats().count() == 0
+
+
+def test_long_texts_come_in_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "_CODES", 64)
+    texts = [words(900, k // 2) for k in range(4)]
+    assert got(suffix.repeats(documents(spark, texts), 10, 5)) == brute(list(enumerate(texts)), 10)
 
 
 def test_real_documents(spark):
