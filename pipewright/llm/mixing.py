@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipewright.llm._shared import written
+
 
 @dataclass(frozen=True)
 class Curriculum:
@@ -47,17 +49,15 @@ def _weights(source: Column, c: Curriculum) -> Column:
     return out
 
 
-def mix(docs: DataFrame, curriculum: Curriculum = PRODUCTION, budget: int | None = None, source: str = "source", key: str = "doc_id", text: str = "text", salt: str = "mix", rows_per_bucket: int = 20_000, carry: list[str] | None = None, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, curriculum: Curriculum = PRODUCTION, budget: int | None = None, source: str = "source", key: str = "doc_id", text: str = "text", salt: str = "mix", rows_per_bucket: int = 20_000, carry: list[str] | None = None, whole: bool = True) -> DataFrame:
     """Documents with ``n_tokens`` and ``position`` in [0, 1], range-sorted by position.
 
-    ``budget`` is the number of training tokens; by default the largest one that no source falls short of, so
-    nothing is repeated: min over the sources with any weight of supply / share.  Within a source, documents come
-    in the order of a salted hash of their key.  A document is used while its source's earlier tokens are below
-    the demand; those beyond it (and all of a source without weight) are left out.
-
-    ``whole`` (without a budget) takes every document of the sources with any weight: the budget is the largest that
-    any of them can fill, max of supply / share, and a scarcer source runs out before the end.  A source without a
-    single token has no position in either case.
+    Within a source, documents come in the order of a salted hash of their key.  ``whole`` takes every document of the
+    sources with any weight: the budget is the largest that any of them can fill, max of supply / share, and a scarcer
+    source runs out before the end.  With ``whole=False`` the budget is the largest one that no source falls short of,
+    min of supply / share, and ``budget`` gives it as a number of training tokens; then a document is used while its
+    source's earlier tokens are below the demand, and those beyond it are left out.  A source without weight or without
+    a single token has no position in any case.
 
     ``carry`` names the columns of ``docs`` to return with ``n_tokens`` and ``position`` (default: key and
     source); columns of those two names are replaced.  Tokens are whitespace-separated; a null or empty text has
@@ -78,7 +78,8 @@ def mix(docs: DataFrame, curriculum: Curriculum = PRODUCTION, budget: int | None
     base = docs.select(F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("")).alias("__s"), digest.alias("__h"), F.col(f"`{key}`").alias("__k"), _token_count(F.col(f"`{text}`")).alias("__n"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"))
     base = base.withColumn("__b", F.expr(f"cast((__h * {buckets}D) / {float(1 << 60)!r}D as int)"))
 
-    sums = base.groupBy("__s", "__b").agg(F.sum("__n").alias("__t"))
+    # One row per source and bucket, written: the texts are counted once for it and once for the rows themselves.
+    sums = written(base.groupBy("__s", "__b").agg(F.sum("__n").alias("__t")), "mixing-sums")
     before = sums.withColumn("__before", F.sum("__t").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).select("__s", "__b", F.coalesce("__before", F.lit(0)).alias("__before"))
     supply = sums.groupBy("__s").agg(F.sum("__t").alias("__supply")).where("__supply > 0").withColumn("__w", _weights(F.col("__s"), curriculum))
     totals = supply.agg(*[F.sum(F.col("__w")[i]).alias(f"z{i}") for i in range(n)])

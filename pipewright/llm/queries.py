@@ -17,10 +17,6 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-def op1_mixing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"), whole=True)
-
-
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op1_mixing_all, op2_ngram_jaccard, op3_pii, op4_language_id, op5_decontamination, op6_html, op7_embedding_dedup, op8_warc_zip, op9_suffix_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard, op3_pii, op4_language_id, op5_decontamination, op6_html, op7_embedding_dedup, op8_warc_zip, op9_suffix_dedup, op10_sharding)}
 
 
 def _mixing_sql(c: mixing.Curriculum = mixing.PRODUCTION) -> str:
@@ -86,24 +82,14 @@ s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS supply, {', '.join(weights
 z AS (SELECT {', '.join(f'sum(r{i}) AS z{i}' for i in range(n))} FROM s),
 w AS (SELECT source, supply, {', '.join(f'CAST(r{i} AS DOUBLE) / CAST(z{i} AS DOUBLE) AS w{i}' for i in range(n))} FROM s, z),
 c AS (SELECT *, {', '.join(areas)} FROM w),
-t AS (SELECT min(supply / c{n - 1}) AS t FROM c WHERE c{n - 1} > 0),
+t AS (SELECT max(supply / c{n - 1}) AS t FROM c WHERE c{n - 1} > 0),
 p AS (
-  SELECT doc_id, d.source, n_tokens, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY d.source ORDER BY h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) / t AS x, c.*
+  SELECT doc_id, d.source, n_tokens, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY d.source ORDER BY h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) / t AS x0, least(x0, c{n - 1}) AS x, c.*
   FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source, t)
-SELECT doc_id, source, n_tokens, round(CASE {position} END, 9) AS position FROM p WHERE x < c{n - 1}
+SELECT doc_id, source, n_tokens, round(CASE {position} END, 9) AS position FROM p WHERE c{n - 1} > 0
 """
 
 
-def _mixing_all_sql() -> str:
-    """The same for the largest budget that any source can fill: nothing with a weight is left out."""
-    c = f"c{len(mixing.PRODUCTION.knots) - 1}"
-    sql = _mixing_sql()
-    for one, other in ((f"min(supply / {c})", f"max(supply / {c})"), ("/ t AS x, c.*", f"/ t AS x0, c.*, least(x0, {c}) AS x"), (f"FROM p WHERE x < {c}", f"FROM p WHERE {c} > 0")):
-        assert sql.count(one) == 1
-        sql = sql.replace(one, other)
-    return sql
-
-
 def _sharding_sql(n: int = 64) -> str:
     return f"""
 WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents),
@@ -159,4 +145,4 @@ FROM g JOIN t ON g.s = t.s JOIN c ON c.a = t.text_id LEFT JOIN l ON l.a = t.text
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing_sql(), "op1_mixing_all": _mixing_all_sql(), "op2_ngram_jaccard": _jaccard_sql(), "op7_embedding_dedup": _vectors_sql(), "op8_warc_zip": "SELECT page_id, url, html FROM pages", "op9_suffix_dedup": _repeats_sql(), "op10_sharding": _sharding_sql()}
+    return {"op1_mixing": _mixing_sql(), "op2_ngram_jaccard": _jaccard_sql(), "op7_embedding_dedup": _vectors_sql(), "op8_warc_zip": "SELECT page_id, url, html FROM pages", "op9_suffix_dedup": _repeats_sql(), "op10_sharding": _sharding_sql()}

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewright import ship
@@ -65,12 +64,13 @@ def assign(docs: DataFrame, n_shards: int = 64, key: str = "doc_id", text: str =
     # One row per range partition: their running totals are the offsets of the partitions.
     totals = sorted((r["part"], r["b"]) for r in table.groupBy("part").agg(F.sum("n_bytes").alias("b")).collect())
     grand = sum(b for _, b in totals)
-    starts = np.zeros(max([p for p, _ in totals], default=-1) + 1, dtype=np.int64)
-    running = 0
+    running, starts = 0, []
     for p, b in totals:
-        starts[p] = running
+        starts.append((p, running))
         running += b
-    offset = F.element_at(F.array(*[F.lit(int(x)) for x in starts]), F.col("part") + 1) if len(starts) else F.lit(0)
+    # As many rows as there are partitions: always small enough to broadcast.
+    table = table.join(F.broadcast(docs.sparkSession.createDataFrame(starts, "part int, offset long")), "part")
+    offset = F.col("offset")
     start = (F.col("within") + offset).cast("long")
     # Exact integer arithmetic: byte_start * n_shards stays below 2**63 up to 10**14 bytes and 90,000 shards.
     shard = F.least(F.expr(f"(byte_start * {n_shards}L) div {max(grand, 1)}L"), F.lit(n_shards - 1)).cast("int")
@@ -89,12 +89,28 @@ def shard_rows(docs: DataFrame, n_shards: int = 64, key: str = "doc_id", text: s
     first = np.array([r["first"] for r in cuts], dtype=np.int64)
     shard = np.array([r["shard"] for r in cuts], dtype=np.int32)
 
-    @F.pandas_udf("int")
-    def label(keys: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def label(keys: pa.Array) -> pa.Array:
         if not len(first):
-            return pd.Series(np.zeros(len(keys), dtype=np.int32))
-        missing = keys.isna().to_numpy()
-        at = np.searchsorted(first, keys.fillna(0).to_numpy(dtype=np.int64) if not missing.any() else keys.where(~keys.isna(), 0).to_numpy(dtype=np.int64), side="right") - 1
-        return pd.Series(np.where(missing, 0, shard[np.maximum(at, 0)]).astype(np.int32))
+            return pa.array(np.zeros(len(keys), dtype=np.int32))
+        # Nulls never become floats: large keys keep all their digits.
+        at = np.searchsorted(first, np.asarray(pc.fill_null(keys, 0), dtype=np.int64), side="right") - 1
+        return pa.array(np.where(np.asarray(keys.is_null()), 0, shard[np.maximum(at, 0)]).astype(np.int32))
 
     return docs.withColumn("shard", label(F.col(f"`{key}`").cast("long")))
+
+
+def file_order(docs: DataFrame) -> Column:
+    """A column that numbers the rows of a table of files, read as it is, in the order of the files' names and of the
+    rows in each: the order in which a range-sorted table was written."""
+    names = docs.select(F.col("_metadata.file_name").alias("name")).groupBy("name").agg(F.lit(0)).select("name").orderBy("name").collect()
+    ordinal = {r["name"]: k for k, r in enumerate(names)}
+
+    @F.arrow_udf("long")
+    def number(files: pa.Array, rows: pa.Array) -> pa.Array:
+        coded = files.dictionary_encode()
+        of = np.array([ordinal[x] for x in coded.dictionary.to_pylist()], dtype=np.int64)
+        at = np.asarray(coded.indices, dtype=np.int64)
+        return pa.array((of[at] << 40) + np.asarray(rows, dtype=np.int64))
+
+    return number(F.col("_metadata.file_name"), F.col("_metadata.row_index"))

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pipewright.llm import queries, sharding
 from tests.llm.helpers import DATA, SCHEMA, documents, odd
@@ -25,6 +26,22 @@ def test_shards_are_contiguous_and_balanced(spark):
     assert labelled == {k: s for k, s, _ in rows}
 
 
+def test_nulls_among_large_keys(spark):
+    keys = [None, None, *(2**53 + k for k in range(-20, 20)), 2**62, -(2**62)]
+    docs = documents(spark, [(k, "x" * 7) for k in keys])
+    want = {(r["doc_id"], r["shard"]) for r in sharding.assign(docs, 16).collect()}
+    assert {(r["doc_id"], r["shard"]) for r in sharding.shard_rows(docs.coalesce(1), 16).collect()} == want
+
+
+def test_order_of_files(spark, tmp_path):
+    spark.range(500).withColumn("v", F.rand(3)).orderBy("v").write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    rows = table.select("v", sharding.file_order(table).alias("n")).collect()
+    assert len({r["n"] for r in rows}) == 500
+    values = [r["v"] for r in sorted(rows, key=lambda r: r["n"])]
+    assert values == sorted(values)
+
+
 def test_odd_rows(spark):
     table = odd(spark).withColumnRenamed("component", "shard")
     out = sharding.assign(table, 4).collect()
