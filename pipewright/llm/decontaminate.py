@@ -188,8 +188,7 @@ class _Items:
     """The benchmark's templates, in memory.  ``by_size``: (size, form, exact) -> window hashes, their items, places
     and whether ``literals`` of ``n`` tokens, in proportion, are literal."""
 
-    def __init__(self, ids: list, texts: pa.Array, n: int, literals: int):
-        self.ids = ids
+    def __init__(self, texts: pa.Array, n: int, literals: int):
         t = Templates(texts)
         self.kind, self.template, self.values, self.firsts = t.kind, t.template, t.values, t.firsts
         self.by_size: dict[tuple[int, int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -291,42 +290,84 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, literals: i
     Null or empty documents and items match nothing; a repeated document row gives a repeated result, a repeated
     item counts once for each of its rows; empty tables give an empty result; further columns are ignored.
 
-    The benchmark is broadcast if its texts are at most ``limit`` bytes.  A larger one is dealt out in parts of
-    that size, one map over the documents each.
+    The benchmark's windows are broadcast if its texts are at most ``limit`` bytes, and looked up in one map over the
+    documents.  Those of a larger one are joined by hash with the documents' windows, each text being read twice: once
+    for its windows, and once, with the items that share one, to check the slots.
     """
     spark = docs.sparkSession
     bench = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_key}`").alias("i"), F.col(f"`{item_text}`").alias("t"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count(F.lit(1))).first()
-    parts = max(1, -(-int(size[0]) // limit))
     types = {f.name: f.dataType.simpleString() for f in docs.select(F.col(f"`{key}`").alias("d")).crossJoin(bench.select("i")).schema}
     schema = f"d {types['d']}, i {types['i']}, matched_tokens int, longest_run int, coverage double"
     picked = docs.select(F.col(f"`{key}`").alias("d"), F.col(f"`{text}`").alias("t"))
-    if parts > 1:
-        bench = written(bench, "benchmark")
-    out = None
-    for part in range(parts):
-        own = bench if parts == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
-        table = own.toArrow()
-        shared = spark.sparkContext.broadcast(_Items(table.column("i").to_pylist(), table.column("t").combine_chunks() if table.num_rows else pa.array([], pa.string()), n, literals))
-
-        item_type = table.schema.field("i").type
-
-        def run(batch: pa.RecordBatch, shared=shared, item_type=item_type):
-            items = shared.value
+
+    def result(piece: pa.RecordBatch, found: list, ids: pa.Array) -> pa.RecordBatch:
+        rows, of, matched, longest, share = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [piece.column("d").take(pa.array(rows)), ids.take(pa.array(of)), pa.array(matched, pa.int32()), pa.array(longest, pa.int32()), pa.array(np.round(share, 6))],
+            names=["d", "i", "matched_tokens", "longest_run", "coverage"],
+        )
+
+    if int(size[0]) <= limit:
+        table = bench.toArrow()
+        shared = spark.sparkContext.broadcast((_Items(table.column("t").combine_chunks() if table.num_rows else pa.array([], pa.string()), n, literals), table.column("i").combine_chunks()))
+
+        def run(batch: pa.RecordBatch):
+            items, ids = shared.value
+            for piece in slices(batch, "t", _SLICE):
+                if found := list(_match(items, Templates(piece.column("t")), coverage, min_run)):
+                    yield result(piece, found, ids)
+
+        out = map_arrow(picked, run, schema)
+    else:
+        # Rows of the benchmark are told apart by a number, as their keys may repeat or be null.
+        bench = written(bench.withColumn("b", F.monotonically_increasing_id()), "benchmark")
+        sizes = sorted(r["n"] for r in map_arrow(bench.select("t"), lambda x: _sizes(x, n), "n int").distinct().collect())
+
+        def item_windows(batch: pa.RecordBatch):
+            items = _Items(batch.column("t"), n, literals)
+            for (size, form, exact), (h, item, _, _) in items.by_size.items():
+                yield pa.RecordBatch.from_arrays([pa.array(_salted(h, size, form, exact).view(np.int64)), batch.column("b").take(pa.array(item))], names=["w", "b"])
+
+        def doc_windows(batch: pa.RecordBatch):
             for piece in slices(batch, "t", _SLICE):
-                found = list(_match(items, Templates(piece.column("t")), coverage, min_run))
-                if found:
-                    rows, of, matched, longest, share = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [piece.column("d").take(pa.array(rows)), pa.array([items.ids[x] for x in of], type=item_type), pa.array(matched, pa.int32()), pa.array(longest, pa.int32()), pa.array(np.round(share, 6))],
-                        names=["d", "i", "matched_tokens", "longest_run", "coverage"],
-                    )
-
-        found = map_arrow(picked, run, schema)
-        out = found if out is None else out.unionAll(found)
+                t = Templates(piece.column("t"))
+                for size in sizes:
+                    for form in (0, 1):
+                        for exact in (False, True):
+                            if exact or size >= min(4, n):
+                                at, h = t.window(size, form, exact)
+                                both = np.unique(np.rec.fromarrays([t.rows[form][at], _salted(h, size, form, exact)], names="row,w"))
+                                if len(both):
+                                    yield pa.RecordBatch.from_arrays([pa.array(both.w.view(np.int64)), piece.column("d").take(pa.array(both.row))], names=["w", "d"])
+
+        theirs = map_arrow(bench.select("b", "t"), item_windows, "w long, b long").distinct()
+        hits = map_arrow(picked.where(F.col("t").isNotNull()), doc_windows, f"w long, d {types['d']}").join(theirs, "w").select("d", "b").distinct()
+        hits = written(hits, "window-hits").join(bench.select("b", "i", F.col("t").alias("item")), "b").withColumnRenamed("d", "k")
+        pairs = picked.join(hits, picked["d"].eqNullSafe(hits["k"])).select("d", "t", "i", "item")
+
+        def check(batch: pa.RecordBatch):
+            for piece in slices(batch, "t", _SLICE):
+                for k in range(len(piece)):
+                    one = piece.slice(k, 1)
+                    if found := list(_match(_Items(one.column("item"), n, literals), Templates(one.column("t")), coverage, min_run)):
+                        yield result(one, found, one.column("i"))
+
+        out = map_arrow(pairs, check, schema)
     return out.select(F.col("d").alias(key), F.col("i").alias(item_key), "matched_tokens", "longest_run", "coverage")
 
 
+def _sizes(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
+    """The window sizes of the items in a batch."""
+    t = Templates(batch.column("t"))
+    yield pa.RecordBatch.from_arrays([pa.array(sorted({min(n, int(x)) for f in t.firsts for x in np.diff(f) if x}), pa.int32())], names=["n"])
+
+
+def _salted(h: np.ndarray, size: int, form: int, exact: bool) -> np.ndarray:
+    """Window hashes that agree only where size and form do."""
+    return mix(h ^ mix(np.array([size * 4 + form * 2 + exact], dtype=np.uint64)))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows of ``docs``, columns unchanged, in which no benchmark item is found.
 

@@ -1,3 +1,8 @@
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+
 from pipewright.llm import decontaminate
 from tests.llm.helpers import DATA, SCHEMA, documents, odd, words
 
@@ -37,13 +42,69 @@ def test_parts_agree_with_one_broadcast(spark):
     assert one and one == many
 
 
+def contaminated(text, items, n=8, literals=4, coverage=0.5, min_run=25):
+    """Whether a text has one of the items: windows compared as tuples, all alignments that any of them gives tried."""
+    doc = decontaminate.Templates(pa.array([text]))
+    for item in items:
+        own = decontaminate.Templates(pa.array([item]))
+        hits = {True: set(), False: set()}  # sure or not: (form, diagonal)
+        for form in (0, 1):
+            m, kind = len(own.values[form]), own.kind[form]
+            size = min(n, m)
+            for exact, (x, y) in ((False, (own.template[form], doc.template[form])), (True, (own.values[form], doc.values[form]))):
+                if not m or (not exact and size < 4):
+                    continue
+                places = defaultdict(list)
+                for p in range(len(y) - size + 1):
+                    places[tuple(y[p : p + size])].append(p)
+                for p in range(m - size + 1):
+                    rich = (kind[p : p + size] == 0).sum() * n >= literals * size
+                    if not (exact and rich and size >= 4):
+                        for at in places[tuple(x[p : p + size])]:
+                            hits[exact or rich].add((form, at - p))
+        sure = bool(hits[True])
+        share = longest = 0
+        for form in (0, 1):
+            kind, values, template = own.kind[form], own.values[form], own.template[form]
+            words = kind == 0
+            weak = {d for f, d in hits[False] if f == form} - {d for f, d in hits[True] if f == form}
+            if not sure and (not words.any() or np.isin(values[words], doc.values[form]).sum() < coverage * words.sum()):
+                weak = set()
+            total, run, pieces, seen = 0, 0, [], np.zeros(len(kind), dtype=bool)
+            for d in weak | {d for f, d in hits[True] if f == form}:
+                lo, hi = max(0, d), min(len(doc.values[form]), d + len(kind))
+                stretch = decontaminate.runs(kind[lo - d : hi - d], template[lo - d : hi - d], values[lo - d : hi - d], doc.template[form][lo:hi], doc.values[form][lo:hi])
+                stretch = [(x, k) for x, k in stretch if d not in weak or words[lo - d + x : lo - d + x + k].any()]
+                for x, k in stretch:
+                    if k >= 4:
+                        pieces.append((lo - d + x, lo + x, k))
+                        seen[lo - d + x : lo - d + x + k] = True
+                    run = max(run, k)
+                total = max(total, sum(k for _, k in stretch))
+            if not len(kind) or (not sure and (not words.any() or seen[words].sum() < coverage * words.sum())):
+                continue
+            total = max(total, decontaminate.chain(pieces)) if pieces else total
+            share, longest = max(share, total / len(kind)), max(longest, run)
+        if share >= coverage or longest >= min_run:
+            return True
+    return False
+
+
 def test_against_search_of_all_alignments(spark):
-    """Every item that stands whole in a document, found by plain search, is reported; documents without any window
-    of an item's template are not."""
-    docs, items = spark.read.parquet(f"{DATA}/documents.parquet").collect(), spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
-    whole = {(d["doc_id"], i["item_id"]) for d in docs for i in items if d["text"] and i["text"] in d["text"]}
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
-    assert whole <= got
+    """The documents found are exactly those in which a search without hashes finds an item."""
+    docs, items = spark.read.parquet(f"{DATA}/documents.parquet").collect(), [i["text"] for i in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    want = {d["doc_id"] for d in docs if d["text"] and contaminated(d["text"], items)}
+    got = {r["doc_id"] for r in decontaminate.contamination(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
+    assert want and got == want
+
+
+def test_join_of_windows_with_odd_keys(spark):
+    """A benchmark above the limit, with null and repeated keys on both sides and items of all lengths."""
+    items = bench(spark, [(1, ITEM), (1, ITEM), (None, OTHER), (3, "too short"), (4, None), (5, "Compute 12 + 7 * 5 - 3")])
+    docs = documents(spark, [(1, ITEM), (1, ITEM), (None, "before " + OTHER), (3, "x too short y"), (4, None), (5, ""), (6, "Compute 9 + 8 * 7 - 6"), (7, words(90, 3))])
+    rows = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    one = rows(decontaminate.contamination(docs, items))
+    assert len(one) == 7 and rows(decontaminate.contamination(docs, items, limit=10)) == one
 
 
 def test_odd_rows(spark):
