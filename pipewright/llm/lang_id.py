@@ -87,20 +87,22 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_row
     """Fits on whole texts of a bounded sample: per language the rows with the smallest salted text hashes, at most
     ``sample_rows`` of them and at most ``sample_bytes`` bytes (one row at least).
 
-    Rows whose text or label is null or empty are not used.  Without a labelled row the model has no languages and
-    every document is ``und``.  Two passes over the table: one counts the rows of each label, one takes the sample.
+    Rows whose text or label is null or empty are not used; equal texts of a label count once.  Without a labelled row
+    the model has no languages and every document is ``und``.  Two passes over the table: one estimates the number of
+    different texts of each label, by which the other leaves a small multiple of the sample to be sorted.
     """
     rows = labelled.where((F.octet_length(F.col(f"`{text}`")) > 0) & F.col(f"`{label}`").isNotNull()).select(F.col(f"`{label}`").cast("string").alias("l"), F.col(f"`{text}`").alias("t"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # One row for each language.
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t", F.lit(seed))).alias("n")).collect()}
     if not counts:
         return LanguageModel((), np.zeros((1 << bits, 0), np.float32), np.zeros(0), np.zeros(0), np.zeros(0), bits, tuple(orders))
     # A hash threshold for each label first, then the exact smallest: the sort sees a small multiple of the sample.
     whole = 1 << 60
     most = F.lit(whole)
     for lang, n in counts.items():
-        if n > 4 * sample_rows:
-            most = F.when(F.col("l") == lang, F.lit(whole * 2 * sample_rows // n)).otherwise(most)
-    few = rows.withColumn("k", F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(whole))).where(F.col("k") < most)
+        # Twice the sample is expected below the limit; the estimate of n is within a tenth or so.
+        most = F.when(F.col("l") == lang, F.lit(min(whole, whole * 2 * sample_rows // max(n, 1)))).otherwise(most)
+    few = rows.withColumn("k", F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(whole))).where(F.col("k") < most).dropDuplicates(["l", "k"])
     order = Window.partitionBy("l").orderBy("k", "t")
     size = F.sum(F.octet_length("t")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rank = F.row_number().over(order)
@@ -177,9 +179,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     """``keep`` columns plus ``language``, ``language_score`` (posterior), ``language_fit`` (robust z-score of the
     log-probability per n-gram) and ``n_grams``, for every row, from its whole text.
 
-    A null, empty or letterless text gets ``und``, score 0.  Repeated rows get equal results.  Names of kept
-    columns must not be among the four result columns.
+    A null, empty or letterless text gets ``und``, score 0.  Repeated rows get equal results.  Kept columns with the
+    name of a result column are replaced by it.
     """
+    keep = tuple(c for c in keep if c not in ("language", "language_score", "language_fit", "n_grams"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     types = {f.name: f.dataType.simpleString() for f in picked.schema}
@@ -195,13 +198,14 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     return map_arrow(picked, run, schema)
 
 
-def filter_languages(docs: DataFrame, model: LanguageModel, text: str = "text", languages: tuple[str, ...] | None = None, min_score: float = 0.5, min_fit: float = -25.0, min_grams: int = 300) -> DataFrame:
+def filter_languages(docs: DataFrame, model: LanguageModel, text: str = "text", languages: tuple[str, ...] | None = None, min_score: float = 0.5, min_fit: float = -25.0, short: int = 300) -> DataFrame:
     """Rows of ``docs``, columns unchanged, that have an identified language.
 
     Rejected are texts without letters (null and empty ones among them), texts whose best posterior is below
-    ``min_score``, texts of another language than ``languages`` (None: any the model knows), and texts of at
-    least ``min_grams`` n-grams whose fit is below ``min_fit`` robust deviations, i.e. that are no text of any
-    fitted language.  One map over the rows: no shuffle.
+    ``min_score``, texts of another language than ``languages`` (None: any the model knows), and texts whose fit is
+    below ``min_fit`` robust deviations, i.e. that are no text of any fitted language.  The mean of few n-grams spreads
+    more: of n of them, the limit is that of a long text times sqrt(1 + ``short`` / n).  One map over the rows: no
+    shuffle.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -225,7 +229,7 @@ def filter_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
     made = docs.withColumn(mark, scored(F.col(f"`{text}`")))
     row = made.select("*", *[F.col(f"{mark}.{c}").alias(f"{mark}_{c}") for c in ("language", "language_score", "language_fit", "n_grams")])
     m = {c: F.col(f"{mark}_{c}") for c in ("language", "language_score", "language_fit", "n_grams")}
-    condition = (m["language"] != "und") & (m["language_score"] >= min_score) & ((m["language_fit"] >= min_fit) | (m["n_grams"] < min_grams))
+    condition = (m["language"] != "und") & (m["language_score"] >= min_score) & (m["language_fit"] >= F.lit(min_fit) * F.sqrt(1 + F.lit(float(short)) / m["n_grams"]))
     if languages:
         condition &= m["language"].isin(*languages)
     return row.where(condition).select(*[F.col(f"`{c}`") for c in docs.columns])

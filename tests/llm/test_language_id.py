@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from pipewright.llm import lang_id
 from tests.llm.helpers import SCHEMA, documents, odd
@@ -39,6 +40,24 @@ def test_odd_rows(spark):
     assert nothing.languages == () and lang_id.identify(documents(spark, ["abc"]), nothing).first()["language"] == "und"
 
 
+def test_repeated_rows_and_clashing_names(spark):
+    """A label of equal rows is in the model, however many there are; kept names give way to results."""
+    docs = documents(spark, ["same words again"] * 6000, lang="xx").union(documents(spark, [f"other text number {k}" for k in range(50)], lang="yy"))
+    for text in ("same words again", "quite another one", "third text"):
+        own = docs.withColumn("text", F.when(F.col("lang") == "xx", F.lit(text)).otherwise(F.col("text")))
+        assert lang_id.fit(own, sample_rows=100).languages == ("xx", "yy")
+    model = lang_id.fit(docs, sample_rows=100)
+    out = lang_id.identify(docs.withColumn("language", F.lit("mine")), model, keep=("doc_id", "language"))
+    assert out.columns == ["doc_id", "language", "language_score", "language_fit", "n_grams"]
+    assert {r["language"] for r in out.collect()} == {"xx", "yy"}
+
+
+def test_short_gibberish_goes(spark):
+    model = lang_id.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    docs = documents(spark, ["жщыюф " * 8, "天地玄黄 " * 6, "the"])
+    assert {r["doc_id"] for r in lang_id.filter_languages(docs, model).collect()} <= {2}
+
+
 def test_sample_bounds(spark):
     docs = documents(spark, [f"text number {k} of many" for k in range(300)])
     assert lang_id.fit(docs, sample_rows=5).languages == ("en",)
