@@ -7,6 +7,7 @@ The trees are fitted here, on generated text.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import random
@@ -26,14 +27,16 @@ _SLICE = 1 << 20
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "secret")
 #: What proposes spans of each kind: wide nets, precision is the trees' part.  Group 1, if there is one, is the span.
 GENERATORS = {
-    "email": re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*"),
     "phone": re.compile(r"(?<![\w+])(?:\+|\(|\d)[\d() ./-]{5,22}\d(?!\w)"),
     "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{1,4}(?![\w:])"),
     "card": re.compile(r"(?<![\w-])\d(?:[ -]?\d){11,18}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])\d{3}[- ]?\d{2}[- ]?\d{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"),
-    "secret": re.compile(r"(?<![\w/+=-])(?=[\w/+=.-]{0,80}?\d)[A-Za-z0-9_/+=.-]{16,}(?![\w/+=-])|(?i:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|credentials?)\s*[:=]\s*[\"']?([^\s\"',;]{6,})"),
+    "secret": re.compile(r"(?i:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|credentials?)\s*[:=]\s*[\"']?([^\s\"',;]{6,})"),
 }
+#: What stands before and after the @ of an address, and unbroken runs that may be secrets: each is walked once.
+_LOCAL, _HOST = re.compile(r"[\w.+%-]"), re.compile(r"[\w-]+(?:\.[\w-]+)*")
+_RUN, _SECRET = re.compile(r"[\w/+=.-]{16,}"), re.compile(r"[A-Za-z0-9_/+=.-]{16,}")
 #: Kinds that may run on into what follows: the longest stretch at every start, of which each admissible end is proposed.
 _STRETCHES = {
     "phone": re.compile(r"(?<![\w+])(?=((?:\+|\(|\d)[\d() ./-]{5,22}\d))"),
@@ -83,16 +86,33 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     if not _WORTH.search(text):
         return []
     out = []
+
+    def propose(kind: str, a: int, b: int) -> None:
+        while b > a and text[b - 1] in ".-":
+            b -= 1
+        if b - a >= 5:
+            out.append((kind, a, b))
+
+    at = text.find("@")
+    while at >= 0:
+        # Outward from the sign, so that no run is walked more than once.
+        a, host = at, _HOST.match(text, at + 1)
+        while a and _LOCAL.match(text[a - 1]):
+            a -= 1
+        if host and a < at:
+            propose("email", a, host.end())
+        at = text.find("@", at + 1)
+    for m in _RUN.finditer(text):
+        run = m.group()
+        # A run with letters of other scripts is no key, but a part of it between dots may be.
+        parts = [m.span()] if run.isascii() else [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^.]+", run)]
+        for a, b in parts:
+            if _SECRET.fullmatch(text, a, b) and any(c in "0123456789" for c in text[a:b]):
+                propose("secret", a, b)
     for kind, pattern in GENERATORS.items():
-        if kind == "email" and "@" not in text:
-            continue
         grouped = pattern.groups > 0
         for m in pattern.finditer(text):
-            a, b = m.span(1) if grouped and m.group(1) is not None else m.span()
-            while b > a and text[b - 1] in ".-":
-                b -= 1
-            if b - a >= 5:
-                out.append((kind, a, b))
+            propose(kind, *(m.span(1) if grouped and m.group(1) is not None else m.span()))
     known = set(out)
     for kind, stretch in _STRETCHES.items():
         for m in stretch.finditer(text):
@@ -320,9 +340,11 @@ def select(text_candidates: list[tuple[str, int, int]], p: np.ndarray, model: Mo
     taken: list[tuple[int, int, str, float]] = []
     for q, n, minus_a, kind in ranked:
         a, b = -minus_a, n - minus_a
-        if all(b <= s or e <= a for s, e, _, _ in taken):
-            taken.append((a, b, kind, q))
-    return sorted(taken)
+        # Those taken are in order and apart, so only the neighbours can overlap.
+        k = bisect.bisect_left(taken, (a,))
+        if (k == len(taken) or b <= taken[k][0]) and (not k or taken[k - 1][1] <= a):
+            taken.insert(k, (a, b, kind, q))
+    return taken
 
 
 def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:
@@ -353,7 +375,7 @@ def redactions(docs: DataFrame, model: Model | None = None, key: str = "doc_id",
     """(key, redactions, redacted) of every row with something to redact: the spans (code points, end exclusive),
     their kinds and probabilities, and the text with ``[KIND]`` in their place.
 
-    Whole texts are searched; one map, no shuffle.  Null and empty texts, and those with nothing to redact, give no
+    Whole texts are searched, in time that grows as their length, unbroken runs of signs among them; one map, no shuffle.  Null and empty texts, and those with nothing to redact, give no
     row; a null key is kept; repeated rows give repeated results; other columns are ignored.
     """
     model = model or fit()

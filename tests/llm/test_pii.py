@@ -1,8 +1,11 @@
+import re
+import time
+
 import numpy as np
 import pytest
 
-from pipewright.llm import pii, trees
-from tests.llm.helpers import SCHEMA, documents, odd
+from pipewright.llm import pii, queries, trees
+from tests.llm.helpers import DATA, SCHEMA, documents, odd
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +88,45 @@ def test_data_before_numbers_and_ipv6(model, text, kind, span):
 
 def test_times_are_no_addresses(model):
     assert pii.find_all(["it rang at 12:34:56 and at 7:08:09"], model) == [[]]
+
+
+def test_long_runs_take_time_in_proportion(model):
+    for sign in ("a", "7", "a.", "a1", ":", "- ", "@", "a@", "4 ", "A1 ", "éa.", "key="):
+        text = sign * (60_000 // len(sign))
+        began = time.time()
+        pii.candidates(text)
+        assert time.time() - began < 20, sign
+    key = "x" * 300 + "9" + "y" * 40
+    assert ("secret", 4, 4 + len(key)) in pii.candidates("see " + key + " there")
+
+
+def every_span(text):
+    """The candidates of kinds with patterns, from all spans of a text of up to 60 signs."""
+    out = set()
+    for kind in ("phone", "card", "iban", "ssn"):
+        for a in range(len(text)):
+            for b in range(a + 5, min(len(text), a + 60) + 1):
+                if text[b - 1] not in ".-" and pii.GENERATORS[kind].fullmatch(text, a, b) and not re.match(r"\w", text[b : b + 1]) and pii.GENERATORS[kind].match(text, a):
+                    out.add((kind, a, b))
+    return out
+
+
+def test_query_against_brute_force(spark, model):
+    """Text by text: every admissible span is proposed, each is scored alone, and the likeliest are taken one by one."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["redactions"]] for r in queries.op3_pii(spark, DATA).collect()}
+    want = {}
+    for r in docs.collect():
+        text = r["text"] or ""
+        spans = pii.candidates(text)
+        if len(text) < 1500:
+            assert {s for s in every_span(text) if s[0] in ("phone", "card", "iban")} <= set(spans)
+        scored = [(float(model.probability(np.array([pii.features(text, *s)]))[0]), s) for s in spans]
+        scored = sorted(((p, b - a, -a, k, b) for p, (k, a, b) in scored if p >= model.threshold[k]), reverse=True)
+        taken = []
+        for _, n, minus, k, b in scored:
+            if all(b <= s or e <= -minus for s, e, _ in taken):
+                taken.append((-minus, b, k))
+        if taken:
+            want[r["doc_id"]] = sorted(taken)
+    assert want and got == want
