@@ -83,7 +83,15 @@ class Engine:
             self.spark.conf.set("spark.sql.caseSensitive", now)
 
     def names(self) -> list[str]:
-        return sorted({*self._tables, *(t.name for t in self.spark.catalog.listTables())})
+        return sorted({*self._tables, *self._files(), *(t.name for t in self.spark.catalog.listTables())})
+
+    def _files(self) -> list[str]:
+        """The tables in the folder."""
+        if self._folder is None:
+            return []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        listed = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        return [n.removesuffix(".parquet") for n in (s.getPath().getName() for s in listed) if n.endswith(".parquet")]
 
     def _lowering(self) -> Lowering:
         return Lowering(self.spark, self.table, self.names, self.functions)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipewright import types as K
-from pipewright.functions.base import QueryError, Val
+from pipewright.functions.base import QueryError, Val, bound
 
 #: name -> builder(scope, *values).  ``scope.hoist`` turns an expression into a column of the input.
 AGGREGATES: dict[str, Callable[..., Any]] = {}
@@ -230,11 +230,15 @@ def weighted(scope: Any, x: Val, w: Val, p: Val) -> Column:
     c, t = _orderable(x)
     pairs = F.array_sort(F.collect_list(F.struct(c.cast("double").alias("x"), F.greatest(w.num.cast("long"), F.lit(0)).alias("w"))))
     pairs = F.filter(pairs, lambda e: e["x"].isNotNull() & (e["w"] > 0))
-    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, e: acc + e["w"])
-    goal = total.cast("double") * F.lit(_percent(p))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v"))
-    step = lambda acc, e: F.struct((acc["n"] + e["w"]).alias("n"), F.when(acc["v"].isNull() & ((acc["n"] + e["w"]).cast("double") >= goal), e["x"]).otherwise(acc["v"]).alias("v"))
-    return _restored(F.aggregate(pairs, start, step)["v"], t)
+
+    def found(z: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v"))
+        step = lambda acc, e: F.struct((acc["n"] + e["w"]).alias("n"), F.when(acc["v"].isNull() & ((acc["n"] + e["w"]).cast("double") >= z["goal"]), e["x"]).otherwise(acc["v"]).alias("v"))
+        return F.aggregate(z["pairs"], start, step)["v"]
+
+    # Pairs and goal are bound one after the other: else each step of the sum would make them anew.
+    with_goal = bound(pairs, lambda q: F.struct(q.alias("pairs"), (F.aggregate(q, F.lit(0).cast("long"), lambda acc, e: acc + e["w"]).cast("double") * F.lit(_percent(p))).alias("goal")))
+    return _restored(bound(with_goal, found), t)
 
 
 @aggregate("percentilew")

@@ -107,6 +107,11 @@ class Val:
         return self.value
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once for each row, however often ``use`` has it inside lambdas."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 Builder = Callable[..., Any]
 #: name -> (least arguments, most arguments or None, builder)
 FUNCTIONS: dict[str, tuple[int, int | None, Builder]] = {}

@@ -70,6 +70,12 @@ def _sign(_, x):
     return F.signum(x.real).cast("long")
 
 
+@function("dcount_hll", 1)
+def _dcount_hll(_, h):
+    """The number of different values that a sketch of ``hll`` or ``hll_merge`` has seen."""
+    return F.hll_sketch_estimate(h.col)
+
+
 @function("rand", 0, 1)
 def _rand(_, n=None):
     return F.rand() if n is None or n.value in (0, 1) else F.floor(F.rand() * n.real).cast("long")

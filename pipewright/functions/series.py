@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipewright.functions.base import Val, function
+from pipewright.functions.base import Val, bound, function
 
 
 def _missing(x: Column, marker: Val | None) -> Column:
@@ -135,38 +135,46 @@ def _stats(frame, s, *_rest):
 
 @function("series_fit_line series_fit_line_dynamic", 1)
 def _fit_line(frame, s):
-    y = s.reals
-    n = F.size(y).cast("double")
-    sx, sxx = n * (n - 1) / 2, n * (n - 1) * (2 * n - 1) / 6
-    sy, syy = _total(y), _total(F.transform(y, lambda e: e * e))
-    sxy = _total(F.transform(y, lambda e, i: e * i))
-    slope = F.when(n > 1, (n * sxy - sx * sy) / F.nullif(n * sxx - sx * sx, F.lit(0.0))).otherwise(0.0)
-    start = (sy - slope * sx) / F.nullif(n, F.lit(0.0))
-    spread = syy - sy * sy / F.nullif(n, F.lit(0.0))
-    left = _total(F.transform(y, lambda e, i: (e - start - slope * i) * (e - start - slope * i)))
-    r2 = F.when(spread == 0, 1.0).otherwise(1 - left / F.nullif(spread, F.lit(0.0)))
-    line = F.transform(y, lambda _e, i: start + slope * i)
-    return Val(F.to_json(F.struct(slope.alias("slope"), start.alias("interception"), r2.alias("rsquare"), line.alias("line_fit"))), frame, json=True)
+    n = F.size(s.reals).cast("double")
+
+    def slope(z: Column) -> Column:
+        y, n = z["y"], z["n"]
+        sx, sxx = n * (n - 1) / 2, n * (n - 1) * (2 * n - 1) / 6
+        sy, sxy = _total(y), _total(F.transform(y, lambda e, i: e * i))
+        k = F.when(n > 1, (n * sxy - sx * sy) / F.nullif(n * sxx - sx * sx, F.lit(0.0))).otherwise(0.0)
+        return F.struct(y.alias("y"), n.alias("n"), k.alias("slope"), ((sy - k * sx) / F.nullif(n, F.lit(0.0))).alias("start"), (_total(F.transform(y, lambda e: e * e)) - sy * sy / F.nullif(n, F.lit(0.0))).alias("spread"))
+
+    def line(z: Column) -> Column:
+        at = lambda i: z["start"] + z["slope"] * i
+        left = _total(F.transform(z["y"], lambda e, i: (e - at(i)) * (e - at(i))))
+        r2 = F.when(z["spread"] == 0, 1.0).otherwise(1 - left / F.nullif(z["spread"], F.lit(0.0)))
+        return F.struct(z["slope"].alias("slope"), z["start"].alias("interception"), r2.alias("rsquare"), F.transform(z["y"], lambda _e, i: at(i)).alias("line_fit"))
+
+    return Val(F.to_json(bound(bound(F.struct(s.reals.alias("y"), n.alias("n")), slope), line)), frame, json=True)
 
 
 @function("series_pearson_correlation", 2)
 def _pearson(_, a, b):
-    x, y = a.reals, b.reals
-    n = F.size(x).cast("double")
-    mx, my = _total(x) / n, _total(y) / n
-    cov = _total(F.zip_with(x, y, lambda p, q: (p - mx) * (q - my)))
-    vx, vy = _total(F.transform(x, lambda p: (p - mx) * (p - mx))), _total(F.transform(y, lambda q: (q - my) * (q - my)))
-    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    n = F.size(a.reals).cast("double")
+    means = F.struct(a.reals.alias("x"), b.reals.alias("y"), (_total(a.reals) / n).alias("mx"), (_total(b.reals) / n).alias("my"))
+
+    def correlation(z: Column) -> Column:
+        x, y, mx, my = z["x"], z["y"], z["mx"], z["my"]
+        cov = _total(F.zip_with(x, y, lambda p, q: (p - mx) * (q - my)))
+        vx, vy = _total(F.transform(x, lambda p: (p - mx) * (p - mx))), _total(F.transform(y, lambda q: (q - my) * (q - my)))
+        return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+
+    return bound(means, correlation)
 
 
 @function("series_outliers", 1, 5)
 def _outliers(_, s, *_rest):
     """z-scores: deviations from the mean in sample standard deviations."""
-    x = s.reals
-    n = F.size(F.filter(x, lambda e: e.isNotNull()))
-    mean = _total(x) / F.nullif(n, F.lit(0))
-    spread = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, e: acc + F.coalesce((e - mean) * (e - mean), F.lit(0.0))) / F.nullif(n - 1, F.lit(0)))
-    return F.transform(x, lambda e: F.when(spread > 0, (e - mean) / F.nullif(spread, F.lit(0.0))).otherwise(0.0))
+    n = F.size(F.filter(s.reals, lambda e: e.isNotNull()))
+    first = F.struct(s.reals.alias("x"), n.alias("n"), (_total(s.reals) / F.nullif(n, F.lit(0))).alias("mean"))
+    square = lambda z: F.aggregate(z["x"], F.lit(0.0), lambda acc, e: acc + F.coalesce((e - z["mean"]) * (e - z["mean"]), F.lit(0.0)))
+    second = bound(first, lambda z: F.struct(z["x"].alias("x"), z["mean"].alias("mean"), F.sqrt(square(z) / F.nullif(z["n"] - 1, F.lit(0))).alias("spread")))
+    return bound(second, lambda z: F.transform(z["x"], lambda e: F.when(z["spread"] > 0, (e - z["mean"]) / F.nullif(z["spread"], F.lit(0.0))).otherwise(0.0)))
 
 
 def _score(x: np.ndarray, period: int) -> float:

@@ -11,7 +11,6 @@ import math
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -149,12 +148,18 @@ def _divide(a, b):
 _BINARY = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": _divide, "%": lambda a, b: a % abs(b) if b else None, "==": lambda a, b: a == b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "=~": lambda a, b: a.upper() == b.upper(), "contains": lambda a, b: b.lower() in a.lower(), "startswith": lambda a, b: a.lower().startswith(b.lower()), "endswith": lambda a, b: a.lower().endswith(b.lower())}
 _CALLS = {
     "abs": _null(abs), "round": _null(lambda x, n=0: math.floor(x * 10**n + 0.5) / 10**n), "floor": _null(math.floor), "ceiling": _null(math.ceil), "sqrt": _null(lambda x: math.sqrt(x) if x >= 0 else math.nan), "exp": _null(math.exp), "log": _null(lambda x: math.log(x) if x > 0 else -math.inf),
-    "pow": _null(lambda a, b: a**b), "not": _null(lambda x: not x), "isnull": lambda x: x is None, "isnotnull": lambda x: x is not None, "isempty": lambda x: x is None or x == "", "isnotempty": lambda x: x is not None and x != "", "strlen": _null(len),
+    "pow": _null(lambda a, b: a**b), "not": _null(lambda x: not x), "isnan": lambda x: isinstance(x, float) and x != x, "isfinite": _null(math.isfinite), "isinf": _null(math.isinf), "sign": _null(lambda x: (x > 0) - (x < 0)), "isnull": lambda x: x is None, "isnotnull": lambda x: x is not None, "isempty": lambda x: x is None or x == "", "isnotempty": lambda x: x is not None and x != "", "strlen": _null(len),
     "tostring": lambda x: "" if x is None else str(x), "strcat": lambda *a: "".join("" if x is None else str(x) for x in a), "tolower": _null(str.lower), "toupper": _null(str.upper), "toreal": _null(float), "todouble": _null(float), "tolong": _null(int), "toint": _null(int),
     "max_of": lambda *a: max((x for x in a if x is not None), default=None), "min_of": lambda *a: min((x for x in a if x is not None), default=None),
 }
 
 
+def _call(name: str) -> Any:
+    if name not in _CALLS:
+        raise QueryError(f"scan: {name} is not supported with state")
+    return _CALLS[name]
+
+
 class _Sequence:
     """The state machine of a scan over one partition's rows.  A step's state is the row that it matched last."""
 
@@ -188,7 +193,7 @@ class _Sequence:
             if e.name == "between":
                 x, a, b = (self.value(v, row, states) for v in e.args)
                 return None not in (x, a, b) and a <= x <= b
-            return _CALLS[e.name](*[self.value(a, row, states) for a in e.args])
+            return _call(e.name)(*[self.value(a, row, states) for a in e.args])
         raise QueryError(f"scan: {type(e).__name__} is not supported with state")
 
     def binary(self, e: Bin, row: dict, states: list) -> Any:
@@ -317,7 +322,7 @@ class _Single:
                 return lambda: next((x for a in args if (x := a()) is not None), None)
             if e.name == "between":
                 return lambda: None not in (v := [a() for a in args]) and v[1] <= v[0] <= v[2]
-            f = _CALLS[e.name]
+            f = _call(e.name)
             return lambda: f(*[a() for a in args])
         raise QueryError(f"scan: {type(e).__name__} is not supported with state")
 
@@ -345,16 +350,6 @@ class _Single:
         return hit
 
 
-def _plain(v: Any) -> Any:
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
-        return None
-    if isinstance(v, pd.Timestamp):
-        return v.to_pydatetime()
-    if isinstance(v, pd.Timedelta):
-        return v.to_pytimedelta()
-    return v.item() if hasattr(v, "item") else v
-
-
 def _sequential(lowering, frame: Frame, env, op, declared) -> Frame:
     scope = Scope(lowering, frame, env)
     start = {n: (scope.constant(d) if d is not None else None) for n, (_, d) in declared.items()}
@@ -370,26 +365,21 @@ def _sequential(lowering, frame: Frame, env, op, declared) -> Frame:
         fields.append(T.StructField(match_id, T.LongType()))
     schema = T.StructType(fields)
     position = fresh("row")
-    # The order is numbered in Spark, so that its rules for nulls and ties hold in Python too.
-    w = frame.window() if order else Window.partitionBy(*[quoted(k) for k in keys]).orderBy(F.monotonically_increasing_id())
-    numbered = df.withColumn(position, F.row_number().over(w))
     names = [f.name for f in fields]
     ship(lowering.spark)
 
-    def series(values: list, t: T.DataType):
-        if isinstance(t, (T.LongType, T.IntegerType)):
-            return pd.array([None if v is None else int(v) for v in values], dtype="Int64")
-        if isinstance(t, T.DoubleType):
-            return pd.Series([None if v is None else float(v) for v in values], dtype="float64")
-        return pd.Series(values, dtype="object")
-
     simple = len(op.steps) == 1 and op.steps[0][2] != "none" and all(c in declared for c, _ in op.steps[0][4]) and not match_id
     if simple:
         _Single(op.steps[0], start)  # errors before the job runs
 
     def made_array(values: list, t: T.DataType) -> pa.Array:
-        convert = int if isinstance(t, (T.LongType, T.IntegerType)) else float if isinstance(t, T.DoubleType) else None
-        return pa.array([v if v is None or convert is None else convert(v) for v in values], to_arrow_type(t))
+        if isinstance(t, (T.LongType, T.IntegerType)):
+            # As elsewhere in the language, a number that does not fit is null.
+            most = 1 << (63 if isinstance(t, T.LongType) else 31)
+            values = [None if v is None or v != v or not -most <= v < most else int(v) for v in values]
+        elif isinstance(t, T.DoubleType):
+            values = [None if v is None else float(v) for v in values]
+        return pa.array(values, to_arrow_type(t))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows as they come, batch by batch: a new key starts anew, however long its rows are."""
@@ -398,7 +388,7 @@ def _sequential(lowering, frame: Frame, env, op, declared) -> Frame:
         key: Any = None
         for batch in batches:
             n = batch.num_rows
-            column = lambda c, batch=batch: [_plain(v) for v in batch.column(c).to_pylist()]
+            column = lambda c, batch=batch: batch.column(c).to_pylist()
             given = {c: column(c) for c in one.needs() if c in batch.schema.names}
             own = list(zip(*[column(c) for c in keys], strict=True)) if keys else [()] * n
             made: dict[str, list] = {c: [] for c in declared}
@@ -416,28 +406,44 @@ def _sequential(lowering, frame: Frame, env, op, declared) -> Frame:
             index = pa.array(hit, pa.int64())
             yield pa.RecordBatch.from_arrays([made_array(made[f.name], f.dataType) if f.name in declared else batch.column(f.name).take(index) for f in fields], names=names)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(position, kind="stable")
-        rows = [{k: _plain(v) for k, v in zip(part.columns, r, strict=True)} for r in part.itertuples(index=False, name=None)]
-        got = machine.run(rows)
-        out = {}
-        for f in fields:
-            values = [r.get(f.name) for r in got]
-            out[f.name] = series(values, f.dataType)
-        return pd.DataFrame(out, columns=names)
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scans of several steps: one key's rows at a time.  Columns stay in Arrow; Python sees their values only."""
+        held: list[pa.RecordBatch] = []
+        key: Any = None
 
-    if simple:
-        sequence = frame.ordering()
-        placed = df.repartition(*[quoted(k) for k in keys]) if keys else df.repartition(1)
-        if not order:
-            placed = df.withColumn(position, F.monotonically_increasing_id())
-            placed = placed.repartition(*[quoted(k) for k in keys]) if keys else placed.repartition(1)
-            sequence = [quoted(position)]
-        out = placed.sortWithinPartitions(*[quoted(k) for k in keys], *sequence).mapInArrow(stream, schema)
-    else:
-        if not keys:
-            numbered = numbered.withColumn("__pw_all", F.lit(0))
-        out = numbered.groupBy(*[quoted(k) for k in keys or ["__pw_all"]]).applyInPandas(run, schema)
+        def matched() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            values = [table.column(c).to_pylist() for c in table.column_names]
+            got = machine.run([dict(zip(table.column_names, r, strict=True)) | {position: k} for k, r in enumerate(zip(*values, strict=True))])
+            index = pa.array([r[position] for r in got], pa.int64())
+            made = {*declared, match_id, *(c for step in op.steps for c, _ in step[4])}
+            columns = [made_array([r.get(f.name) for r in got], f.dataType) if f.name in made else table.column(f.name).take(index).combine_chunks() for f in fields]
+            return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names=names)
+
+        for batch in batches:
+            n = batch.num_rows
+            own = list(zip(*[batch.column(c).to_pylist() for c in keys], strict=True)) if keys else [()] * n
+            at = 0
+            while at < n:
+                if held and own[at] != key:
+                    yield matched()
+                    held = []
+                key = own[at]
+                stop = at + 1
+                while stop < n and own[stop] == key:
+                    stop += 1
+                held.append(batch.slice(at, stop - at))
+                at = stop
+        if held:
+            yield matched()
+
+    sequence = frame.ordering()
+    placed = df.repartition(*[quoted(k) for k in keys]) if keys else df.repartition(1)
+    if not order:
+        placed = df.withColumn(position, F.monotonically_increasing_id())
+        placed = placed.repartition(*[quoted(k) for k in keys]) if keys else placed.repartition(1)
+        sequence = [quoted(position)]
+    out = placed.sortWithinPartitions(*[quoted(k) for k in keys], *sequence).mapInArrow(stream if simple else several, schema)
     kept = [o for o in order if o[0] in names]
     result = frame.with_df(out, order=tuple(kept) if len(kept) == len(order) else ())
     visible = [c for c in columns if c not in declared] + list(declared) + ([match_id] if match_id else [])

@@ -164,8 +164,9 @@ class Lowering:
         if e.name == "view":
             return self.query(e.args[0], env)
         if e.name == "materialize":
-            # A marker: the plan is shared, and equal exchanges are computed once per query.
-            return self.query(e.args[0], env)
+            # Computed once, when it is first needed, and kept by the executors (on disk where memory is short).
+            frame = self.query(e.args[0], env)
+            return frame.with_df(frame.df.persist())
         if e.name == "table":
             a = e.args[0]
             return self.table(a.value if isinstance(a, Lit) else a.id, env)

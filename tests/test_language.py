@@ -218,3 +218,21 @@ def test_one_step_scans_agree_with_the_state_machine():
     hit = one.run({"v": values}, 0, 5, out) + one.run({"v": values}, 5, len(values), out)
     assert [values[k] for k in hit] == [r["v"] for r in slow]
     assert out == {c: [r[c] for r in slow] for c in start}
+
+
+def test_scans_keep_digits_and_nan(spark):
+    engine = Engine(spark, {"T": spark.createDataFrame([(1, 2**53 + 1, float("nan")), (2, 2**53 + 3, None), (3, None, 1.5)], "i long, n long, x double")})
+    rows = engine.query("T | scan with_match_id=m order by i asc declare (s:long=0) with (step a: i == 1 => s = 1; step b: i > 1 => s = b.s + 1;)").collect()
+    assert [(r["i"], r["n"]) for r in rows] == [(1, 2**53 + 1), (2, 2**53 + 3), (3, None)]
+    assert rows[0]["x"] != rows[0]["x"] and rows[1]["x"] is None and rows[2]["x"] == 1.5
+    rows = engine.query("T | scan order by i asc declare (a:bool=false, b:long=1) with (step s: true => a = isnan(x), b = s.b * 5000000000;)").collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(True, 5000000000), (False, None), (False, None)]
+    with pytest.raises(QueryError):
+        engine.query("T | scan order by i asc declare (a:real=0.0) with (step s: true => a = s.a * series_stats(x);)").collect()
+
+
+def test_materialize_is_computed_once(spark):
+    engine = Engine(spark, {"T": spark.range(50).toDF("i")})
+    rows = engine.query("let m = materialize(T | extend r=rand()); m | join kind=inner (m | where i >= 0) on i | project i, r, r1").collect()
+    assert len(rows) == 50 and all(r["r"] == r["r1"] for r in rows)
+    spark.catalog.clearCache()
