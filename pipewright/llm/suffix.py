@@ -32,8 +32,8 @@ from pipewright.llm._text import SPACES, hashes, mix, text_bytes, tokens, window
 _SLICE = 1 << 20
 _U = np.uint64
 SPACES_NOT = ~SPACES
-#: Suffixes in one batch of a family, and about so many in one shard.
-BATCH, SHARD = 1 << 20, 1 << 21
+#: Suffixes in one batch of a family, about so many in one shard, and in one task, which takes its shards one by one.
+BATCH, SHARD, TASK = 1 << 18, 1 << 19, 1 << 24
 #: Word codes in one Arrow batch.
 _CODES = 1 << 22
 #: Suffixes of one anchor above which they are not sorted in one shard but counted window by window.
@@ -80,10 +80,10 @@ def suffix_order(codes: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nda
 
 class Level:
     """One suffix array over ``codes``.  Entries, in the order of their words: ``at`` (where the first ``length`` words
-    stand), ``key`` (their hash), ``lcp``, ``low`` and ``high`` (least and largest document known to have them).
-    Places: ``entry``, ``doc``, ``pos``."""
+    stand), ``key`` (their hash), ``lcp``, ``low`` and ``high`` (least and largest document known to have them); ``by``:
+    the entries in the order of ``key``.  Places: ``entry``, ``doc``, ``pos``."""
 
-    __slots__ = ("at", "codes", "doc", "entry", "high", "key", "lcp", "low", "pos")
+    __slots__ = ("at", "by", "codes", "doc", "entry", "high", "key", "lcp", "low", "pos")
 
     def __len__(self) -> int:
         return len(self.entry)
@@ -106,16 +106,17 @@ def suffix_array(codes: np.ndarray, ends: np.ndarray, docs: np.ndarray, firsts:
     level.low = np.minimum.reduceat(level.doc[by], head) if len(by) else level.doc
     level.high = np.maximum.reduceat(level.doc[by], head) if len(by) else level.doc
     level.at = at[one]
-    return _sorted(level, which, length)
+    return _sorted(level, which, length, np.arange(len(one)))
 
 
-def _sorted(level: Level, which: np.ndarray, length: int) -> Level:
+def _sorted(level: Level, which: np.ndarray, length: int, by: np.ndarray | None = None) -> Level:
     order, level.lcp = suffix_order(level.codes, level.at, length)
     rank = np.empty(len(order), dtype=np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     level.entry = rank[which]
     for name in ("at", "key", "low", "high"):
         setattr(level, name, getattr(level, name)[order])
+    level.by = np.argsort(level.key).astype(np.int32) if by is None else rank[by]
     return level
 
 
@@ -123,10 +124,11 @@ def _common(a: Level, b: Level) -> tuple[np.ndarray, np.ndarray]:
     """Entries of two arrays with the same first words."""
     if not len(a.key) or not len(b.key):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    by = np.argsort(b.key)
-    there = np.minimum(np.searchsorted(b.key, a.key, sorter=by), len(by) - 1)
-    hit = np.flatnonzero(b.key[by[there]] == a.key)
-    return hit, by[there[hit]]
+    # Both in the order of their hashes: neighbouring searches then meet the same part of the array.
+    x, y = a.key[a.by], b.key[b.by]
+    there = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    hit = np.flatnonzero(y[there] == x)
+    return a.by[hit], b.by[there[hit]]
 
 
 def merge_scan(a: Level, b: Level) -> None:
@@ -324,7 +326,8 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 10, key: str = "doc_i
     are one document, which does not repeat itself; an empty table gives an empty result; other columns are
     ignored.  ``key`` must be an integer.
 
-    A first pass counts suffixes by anchor: it sets the number of shards (``SHARD`` suffixes each), and anchors with more
+    A first pass counts suffixes by anchor: it sets the numbers of tasks and of shards (``SHARD`` suffixes each; a task
+    sorts its segments by shard and holds one shard at a time), and anchors with more
     than ``hot`` of them, which a passage in very many documents has, are counted window by window instead of sorted
     in one shard.
     """
@@ -334,14 +337,21 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 10, key: str = "doc_i
     ship(spark)
     sizes = segments(docs, length, gram, key, text, only_sizes=True).groupBy("anchor").agg(F.sum("n").alias("n"))
     total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
+    shards = max(1, -(-(shards or -(-total // SHARD)) // tasks))  # of each task
     parts = segments(docs, length, gram, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = _Batches(Family(length))
+        shard, gathered = None, _Batches(Family(length))
         for batch in batches:
-            if batch.num_rows:
-                gathered.take(*_unpacked(batch))
+            names = np.asarray(batch.column("shard"))
+            first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else []
+            for a, b in zip(first, [*first[1:], len(names)], strict=True):
+                if names[a] != shard:
+                    gathered.flush()
+                    yield from _found(gathered.family.whole(), length)
+                    shard, gathered = names[a], _Batches(Family(length))
+                gathered.take(*_unpacked(batch.slice(a, b - a)))
         gathered.flush()
         yield from _found(gathered.family.whole(), length)
 
@@ -350,7 +360,8 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 10, key: str = "doc_i
         names = small_or_plain(written(sizes.where(F.col("n") > hot).select("anchor"), "hot-anchors"), 16)
         found = _counted(parts.join(names, "anchor", "left_semi").select("d", "start", "codes"), length)
         parts = parts.join(names, "anchor", "left_anti")
-    sorted_ = parts.repartition(shards, "anchor").select("d", "start", "codes").mapInArrow(run, _FOUND)
+    dealt = parts.repartition(tasks, "anchor").select(F.pmod(F.xxhash64(F.lit("shard"), "anchor"), F.lit(shards)).alias("shard"), "d", "start", "codes")
+    sorted_ = (dealt.sortWithinPartitions("shard") if shards > 1 else dealt).mapInArrow(run, _FOUND)
     return _passages(sorted_ if found is None else sorted_.unionAll(found), key)
 
 
