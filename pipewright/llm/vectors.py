@@ -22,10 +22,12 @@ from pipewright.llm._text import mix
 from pipewright.llm.components import components, settled, spanning, tiles
 
 _U = np.uint64
-#: Side of a grid cell, in radii of the range join: the wider, the fewer cells a ball meets.
-_SIDE = 4.0
+#: Side of a grid cell, in radii of the range join.
+_SIDE = 2.0
+#: Coordinates that are compared first: a distance in them is one at most in all.
+_FEW = 32
 #: Vectors in one cell, and in one block of a component, above which they are compared in tiles.
-CELL_ROWS, _TILE_ROWS = 4096, 2000
+CELL_ROWS, _TILE_ROWS = 16384, 2000
 
 
 def rotation(dim: int, seed: int = 20) -> np.ndarray:
@@ -95,6 +97,8 @@ def _cells(sets: DataFrame, r2: float, block: int, grid: int, only_cells: bool =
 def _candidates(cells: DataFrame, r2: float, parts: int) -> DataFrame:
     """(a, b): edges that connect, cell by cell, the vectors that may be within the radius of one another."""
 
+    r = math.sqrt(r2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_arrow(batches, "cell"):
             cell, ids, home, scale = (table.column(c).to_numpy() for c in ("cell", "id", "home", "scale"))
@@ -113,15 +117,27 @@ def _candidates(cells: DataFrame, r2: float, parts: int) -> DataFrame:
                 # Half a step of rounding in each coordinate, and that of the arithmetic itself.
                 error = s * np.float32(0.5 * math.sqrt(dim)) + np.float32(1e-4)
                 h = np.flatnonzero(home[a:b])
-                norm = (x**2).sum(axis=1)
+                few = min(dim, _FEW)
+                y = x[:, :few]
+                # |x - h| <= r + ex + eh, with (ex + eh)^2 at most twice the sum of the squares, as one product.
+                term = ((y**2).sum(axis=1) - 2 * r * error - 2 * error**2) / 2
+                left = np.c_[y, -term, np.ones(b - a, np.float32)]
+                right = np.c_[y[h], np.ones(len(h), np.float32), -term[h]].T.copy()
                 step = max(1, (4 << 20) // len(h))
                 ii, jj = [], []
                 for c in range(0, b - a, step):
-                    far = norm[c : c + step, None] + norm[None, h] - 2 * (x[c : c + step] @ x[h].T)
-                    i, j = np.nonzero(far <= (np.float32(math.sqrt(r2)) + error[c : c + step, None] + error[None, h]) ** 2)
-                    ok = i + c != h[j]
-                    ii.append(i[ok] + c)
-                    jj.append(h[j[ok]])
+                    i, j = np.nonzero(left[c : c + step] @ right >= np.float32(-r * r / 2 - 1e-5))
+                    i += c
+                    j = h[j]
+                    ok = i != j
+                    i, j = i[ok], j[ok]
+                    for p in range(0, len(i), 1 << 18):
+                        u, v = i[p : p + (1 << 18)], j[p : p + (1 << 18)]
+                        near = np.sqrt(((x[u] - x[v]) ** 2).sum(axis=1)) <= r + error[u] + error[v]
+                        ii.append(u[near])
+                        jj.append(v[near])
+                if not ii:
+                    continue
                 i, j = np.concatenate(ii), np.concatenate(jj)
                 if len(i):
                     i, j = spanning(i, j, b - a)
