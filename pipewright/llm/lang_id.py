@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pipewright import ship
 from pipewright.llm._shared import map_arrow, slices
 
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 SCORED = "language string, language_score double, language_fit double, n_grams long"
 
 
@@ -210,18 +210,13 @@ def filter_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<language:string,language_score:double,language_fit:double,n_grams:long>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        sizes = np.array([len(x) if isinstance(x, str) else 0 for x in texts], dtype=np.int64)
-        total = np.cumsum(sizes)
-        parts, start = [], 0
-        while start < len(texts):
-            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _SLICE, side="right")))
-            parts.append(decide(shared.value, *score_texts(shared.value, [x if isinstance(x, str) else None for x in texts.iloc[start:end]])))
-            start = end
-        if not parts:
-            return decide(shared.value, *score_texts(shared.value, []))
-        return pd.concat(parts, ignore_index=True)
+    @F.arrow_udf("struct<language:string,language_score:double,language_fit:double,n_grams:long>")
+    def scored(texts: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([texts], names=["t"])
+        parts = [decide(shared.value, *score_texts(shared.value, part.column("t").to_pylist())) for part in slices(whole, "t", _SLICE)]
+        found = pd.concat(parts, ignore_index=True) if parts else decide(shared.value, *score_texts(shared.value, []))
+        kinds = {"language": pa.string(), "language_score": pa.float64(), "language_fit": pa.float64(), "n_grams": pa.int64()}
+        return pa.StructArray.from_arrays([pa.array(found[c], kind) for c, kind in kinds.items()], names=list(kinds))
 
     mark = "__language"
     while any(c.startswith(mark) for c in docs.columns):
