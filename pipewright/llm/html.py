@@ -1,7 +1,7 @@
 """Main content of web pages by wrapper induction.
 
-Pages of one host are aligned, as trees, with one page of that host by simple tree matching.  Nodes of that page whose
-text is the same on most of the host's different pages are its template; what varies, and what no node of the
+Pages of one host and layout are aligned, as trees, with one page of that kind by simple tree matching.  Nodes of that
+page whose text is the same on most of the different pages of its kind are template; what varies, and what no node of the
 template meets, is content.
 """
 
@@ -11,6 +11,7 @@ import html as _entities
 import re
 import sys
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pipewright.llm._shared import BROADCAST_BYTES, map_arrow, slices, written
 
 _SLICE = 2 << 20
+#: Levels of a tree that tell layouts apart: html, body, its children and theirs.
+_LAYOUT_DEPTH = 4
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 #: Elements that are part of the text of the block around them.
@@ -227,6 +230,15 @@ def slots(page: Node, pivot: Node | None) -> list[tuple[int, bool, str, bool]]:
     return out
 
 
+def layout_of(page: Node) -> int:
+    """A hash of the set of label paths from the root down to ``_LAYOUT_DEPTH`` (below ``head``: none)."""
+    paths, level = set(), [("", page)]
+    for _ in range(_LAYOUT_DEPTH):
+        level = [(f"{path}/{c.label}", c) for path, n in level if n.tag != "head" for c in n.children]
+        paths.update(path for path, _ in level)
+    return int.from_bytes(blake2b("\n".join(sorted(paths)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 _SLOTS = "nodes array<int>, same array<boolean>, texts array<string>, framed array<boolean>"
 
 
@@ -239,62 +251,78 @@ def host_of(url):
 def extract(pages: DataFrame, share: float = 0.6, min_pages: int = 3, key: str = "page_id", url: str = "url", html: str = "html", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(key, host, title, content, n_slots, n_template) of every row of ``pages``.
 
-    A node of the host's pivot is template if at least ``min_pages`` different pages of the host meet it and
-    ``share`` of them have its text.  Content is the text of all other nodes, one line each, but for those inside
+    Every layout (see ``layout_of``) with at least ``min_pages`` different pages of a host has a wrapper of its own; the
+    host's other pages have one together.  A node of such a group's pivot is template if at least ``min_pages``
+    different pages of the group meet it and ``share`` of them have its text.  Content is the text of all other nodes, one line each, but for those inside
     landmarks (nav, footer, aside, head, forms), in blocks named like advertisements or menus, and those that are
     mostly links.  ``n_slots`` counts the nodes with text, ``n_template`` those of them
     that the template takes.
 
     The pivot is the page with the smallest hash, so the result does not depend on the order of rows.  Pages with the
     same source count once.  Pages without a host (null or malformed addresses) are read without a template, and
-    so are pages of hosts with fewer than ``min_pages`` different pages.  A null source gives null content, an
+    so are pages of groups with fewer than ``min_pages`` different pages.  A null source gives null content, an
     empty one or one without text an empty content.  Repeated rows give repeated results; other columns are
     ignored.  All pages are aligned, however many a host has: alignment is with one page, and only counts are
-    gathered per host.
+    gathered per group.
     """
     base = pages.select(F.col(f"`{key}`").alias("k"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("t"))
-    there = base.where(F.col("host").isNotNull() & F.col("t").isNotNull())
-    # One page per host: of each host's partial winners only the best is shuffled on.
     h = F.xxhash64("t")
-    pivots = written(there.groupBy("host").agg(F.min_by("t", F.struct(h, F.octet_length("t"))).alias("pivot")), "pivots")
-    size = pivots.agg(F.coalesce(F.sum(F.octet_length("pivot") + F.octet_length("host")), F.lit(0))).first()[0]
-    joined = base.withColumn("h", h).join(F.broadcast(pivots) if size <= limit else pivots, "host", "left")
+    base = base.withColumn("h", h)
+    kind = base.schema["k"].dataType.simpleString()
+
+    def lay(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+        for part in slices(batch, "t", _SLICE):
+            layouts = [None if host is None or text is None else layout_of(parse(text)) for host, text in zip(part.column("host").to_pylist(), part.column("t").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("k", "host", "h", "t")] + [pa.array(layouts, pa.int64())], names=["k", "host", "h", "t", "layout"])
+
+    laid = written(map_arrow(base.select("k", "host", "h", "t"), lay, f"k {kind}, host string, h long, t string, layout long"), "laid")
+    there = laid.where(F.col("layout").isNotNull())
+    # Rare layouts share group 0 of their host.
+    common = there.select("host", "layout", "h").dropDuplicates().groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    common = written(common.select("host", "layout", F.col("layout").alias("own")), "layouts")
+    size = common.agg(F.coalesce(F.sum(F.octet_length("host") + 16), F.lit(0))).first()[0]
+    grouped = laid.join(F.broadcast(common) if size <= limit else common, ["host", "layout"], "left")
+    grouped = grouped.select("k", "host", "h", "t", F.when(F.col("layout").isNotNull(), F.coalesce("own", F.lit(0))).alias("layout"))
+    # One page per group: of each group's partial winners only the best is shuffled on.
+    pivots = written(grouped.where(F.col("layout").isNotNull()).groupBy("host", "layout").agg(F.min_by("t", F.struct("h", F.octet_length("t"))).alias("pivot")), "pivots")
+    size = pivots.agg(F.coalesce(F.sum(F.octet_length("pivot") + F.octet_length("host") + 8), F.lit(0))).first()[0]
+    joined = grouped.join(F.broadcast(pivots) if size <= limit else pivots, ["host", "layout"], "left")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # trees may be nested that deep
-        trees: dict[str, Node] = {}
+        trees: dict[tuple[str, int], Node] = {}
         for part in slices(batch, "t", _SLICE):
-            hosts, texts, column = part.column("host").to_pylist(), part.column("t").to_pylist(), part.column("pivot")
+            hosts, layouts, texts, column = part.column("host").to_pylist(), part.column("layout").to_pylist(), part.column("t").to_pylist(), part.column("pivot")
             rows: list[list | None] = []
             titles: list[str | None] = []
-            for k, (host, text) in enumerate(zip(hosts, texts, strict=True)):
+            for k, (host, layout, text) in enumerate(zip(hosts, layouts, texts, strict=True)):
                 if text is None:
                     rows.append(None)
                     titles.append(None)
                     continue
                 pivot = None
                 if host is not None:
-                    pivot = trees.get(host)
+                    pivot = trees.get((host, layout))
                     if pivot is None:
-                        pivot = trees[host] = parse(column[k].as_py())
+                        pivot = trees[host, layout] = parse(column[k].as_py())
                 tree = parse(text)
                 titles.append(next((n.text for n in preorder(tree) if n.tag == "title"), None))
                 rows.append(slots(tree, pivot))
             columns = [[None if r is None else [s[i] for s in r] for r in rows] for i in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("k"), part.column("host"), part.column("h"), pa.array(titles, pa.string()), pa.array(columns[0], pa.list_(pa.int32())), pa.array(columns[1], pa.list_(pa.bool_())), pa.array(columns[2], pa.list_(pa.string())), pa.array(columns[3], pa.list_(pa.bool_()))],
-                names=["k", "host", "h", "title", "nodes", "same", "texts", "framed"],
+                [part.column("k"), part.column("host"), part.column("layout"), part.column("h"), pa.array(titles, pa.string()), pa.array(columns[0], pa.list_(pa.int32())), pa.array(columns[1], pa.list_(pa.bool_())), pa.array(columns[2], pa.list_(pa.string())), pa.array(columns[3], pa.list_(pa.bool_()))],
+                names=["k", "host", "layout", "h", "title", "nodes", "same", "texts", "framed"],
             )
 
-    kind = joined.schema["k"].dataType.simpleString()
-    aligned = written(map_arrow(joined.select("k", "host", "h", "t", "pivot"), run, f"k {kind}, host string, h long, title string, {_SLOTS}"), "aligned")
-    different = aligned.where(F.col("host").isNotNull() & F.col("nodes").isNotNull()).select("host", "h", "nodes", "same").dropDuplicates(["host", "h"])
-    met = different.select("host", F.explode(F.arrays_zip("nodes", "same")).alias("s")).where("s.nodes >= 0")
-    counts = met.groupBy("host", F.col("s.nodes").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s.same")).alias("same"))
+    aligned = written(map_arrow(joined.select("k", "host", "layout", "h", "t", "pivot"), run, f"k {kind}, host string, layout long, h long, title string, {_SLOTS}"), "aligned")
+    different = aligned.where(F.col("host").isNotNull() & F.col("nodes").isNotNull()).select("host", "layout", "h", "nodes", "same").dropDuplicates(["host", "layout", "h"])
+    met = different.select("host", "layout", F.explode(F.arrays_zip("nodes", "same")).alias("s")).where("s.nodes >= 0")
+    counts = met.groupBy("host", "layout", F.col("s.nodes").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s.same")).alias("same"))
     fixed = counts.where((F.col("n") >= min_pages) & (F.col("same") >= F.lit(share) * F.col("n")))
-    templates = written(fixed.groupBy("host").agg(F.collect_list("node").alias("fixed")), "templates")
+    templates = written(fixed.groupBy("host", "layout").agg(F.collect_list("node").alias("fixed")), "templates")
     bytes_ = templates.agg(F.coalesce(F.sum(F.size("fixed") * 4 + F.octet_length("host")), F.lit(0))).first()[0]
-    with_template = aligned.join(F.broadcast(templates) if bytes_ <= limit else templates, "host", "left")
+    with_template = aligned.join(F.broadcast(templates) if bytes_ <= limit else templates, ["host", "layout"], "left")
     # A slot belongs to the template if it has the template's text at the template's place.
     all_slots = F.arrays_zip("nodes", "same", "texts", "framed")
     constant = lambda s: s["same"] & F.coalesce(F.array_contains(F.col("fixed"), s["nodes"]), F.lit(False))

@@ -75,3 +75,15 @@ def test_odd_rows(spark):
     assert len(got) == 7 and by[2]["content"] is None and by[3]["content"] == "" and by[4]["content"] == "plain words" and by[4]["host"] is None
     assert len(by[None]["content"]) > 900_000 and sum(r["page_id"] == 6 for r in got) == 2 and by[6]["n_template"] == 0
     assert html.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_each_layout_has_its_wrapper(spark):
+    """Boilerplate of both layouts of a host is template, whichever page has the smallest hash."""
+    story = lambda k: f"<html><body><div class='lead'><p>Daily news of the town</p></div><div class='story'><p>Story {k} alone</p></div></body></html>"
+    listing = lambda k: f"<html><body><section class='top'><p>All entries by year</p></section><section class='rows'><ul><li>Entry {k} first</li><li>Entry {k} second</li></ul></section></body></html>"
+    odd = "<html><body><table><tr><td>Please log in</td></tr></table></body></html>"
+    rows = [(k, f"http://two.org/{k}", story(k) if k % 2 else listing(k)) for k in range(12)] + [(12, "http://two.org/login", odd)]
+    got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k in range(12):
+        assert got[k]["content"] == (f"Story {k} alone" if k % 2 else f"Entry {k} first\nEntry {k} second") and got[k]["n_template"] == 1
+    assert got[12]["content"] == "Please log in" and got[12]["n_template"] == 0
