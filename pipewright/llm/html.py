@@ -276,18 +276,25 @@ def extract(pages: DataFrame, share: float = 0.6, min_pages: int = 3, key: str =
             layouts = [None if host is None or text is None else layout_of(parse(text)) for host, text in zip(part.column("host").to_pylist(), part.column("t").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in ("k", "host", "h", "t")] + [pa.array(layouts, pa.int64())], names=["k", "host", "h", "t", "layout"])
 
-    laid = written(map_arrow(base.select("k", "host", "h", "t"), lay, f"k {kind}, host string, h long, t string, layout long"), "laid")
-    there = laid.where(F.col("layout").isNotNull())
-    # Rare layouts share group 0 of their host.
-    common = there.select("host", "layout", "h").dropDuplicates().groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    common = written(common.select("host", "layout", F.col("layout").alias("own")), "layouts")
+    laid = map_arrow(base.select("k", "host", "h", "t"), lay, f"k {kind}, host string, h long, t string, layout long")
+    # Only hashes are written; texts are parsed again on the way to their alignment.
+    there = written(laid.where(F.col("layout").isNotNull()).select("host", "layout", "h").dropDuplicates(), "layouts")
+    common = there.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    common = written(common.select("host", "layout", F.col("layout").alias("own")), "common")
     size = common.agg(F.coalesce(F.sum(F.octet_length("host") + 16), F.lit(0))).first()[0]
-    grouped = laid.join(F.broadcast(common) if size <= limit else common, ["host", "layout"], "left")
-    grouped = grouped.select("k", "host", "h", "t", F.when(F.col("layout").isNotNull(), F.coalesce("own", F.lit(0))).alias("layout"))
-    # One page per group: of each group's partial winners only the best is shuffled on.
-    pivots = written(grouped.where(F.col("layout").isNotNull()).groupBy("host", "layout").agg(F.min_by("t", F.struct("h", F.octet_length("t"))).alias("pivot")), "pivots")
-    size = pivots.agg(F.coalesce(F.sum(F.octet_length("pivot") + F.octet_length("host") + 8), F.lit(0))).first()[0]
-    joined = grouped.join(F.broadcast(pivots) if size <= limit else pivots, ["host", "layout"], "left")
+
+    def grouped(df: DataFrame) -> DataFrame:
+        """Rare layouts share group 0 of their host."""
+        own = df.join(F.broadcast(common) if size <= limit else common, ["host", "layout"], "left")
+        return own.withColumn("layout", F.when(F.col("layout").isNotNull(), F.coalesce("own", F.lit(0)))).drop("own")
+
+    # One page per group, by its hash; only the texts of these are gathered.
+    least = written(grouped(there).groupBy("host", "layout").agg(F.min("h").alias("h")), "least")
+    least_bytes = least.agg(F.coalesce(F.sum(F.octet_length("host") + 16), F.lit(0))).first()[0]
+    texts_of = base.where(F.col("host").isNotNull() & F.col("t").isNotNull()).select("host", "h", "t").join(F.broadcast(least) if least_bytes <= limit else least, ["host", "h"])
+    pivots = written(texts_of.groupBy("host", "layout").agg(F.min("t").alias("pivot")), "pivots")
+    pivot_bytes = pivots.agg(F.coalesce(F.sum(F.octet_length("pivot") + F.octet_length("host") + 8), F.lit(0))).first()[0]
+    joined = grouped(laid).join(F.broadcast(pivots) if pivot_bytes <= limit else pivots, ["host", "layout"], "left")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # trees may be nested that deep
