@@ -5,7 +5,8 @@ slots; a set goes on to the child named by the sampled slot and its value there,
 with the probability of their similarity.  Small nodes are searched by brute force (on 256-bit sketches); larger
 ones split further; whole runs are repeated until a pair at the threshold is found with the target recall at the
 depth that the recursion really reached.  Candidates are grouped into components, whose sets are compared exactly,
-a large component in tiles that are tasks of their own.
+a large component in tiles that are tasks of their own.  Before that a large component, which mostly hangs together by
+pairs below the threshold, is parted where bitmaps of the sets prove that nothing can reach the threshold.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewright import ship
@@ -32,6 +33,8 @@ PICKS = 2
 DEPTH = 4
 #: Sets and n-grams in one block of a component that is compared exactly.
 _TILE_SETS, _TILE_GRAMS = 1000, 1 << 21
+#: Bits of the bitmap of a set, and sets in one block of a component whose bitmaps are compared.
+_BITS, _BITMAP_SETS = 1024, 1 << 15
 
 
 def survival(similarity: float, depth: int) -> float:
@@ -237,6 +240,48 @@ def _verify(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.nd
     return np.nonzero(np.triu(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9, 1))
 
 
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of grams that fall on each of ``_BITS`` places: uint64 ``[_BITS / 64]``.  The bitmaps
+    of two sets differ in no more places than there are grams in only one of the sets."""
+    return np.packbits((np.bincount((grams % _U(_BITS)).astype(np.int64), minlength=_BITS) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def _merge_near(label: np.ndarray, bits: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, block: int = 1 << 17) -> np.ndarray:
+    """``label`` after merging the labels of all pairs of rows ``x`` with rows ``y`` that may be similar by their sizes and
+    bitmaps; both are in order of size.  Equal ``x`` and ``y``: the pairs among them.  No similar pair is left out."""
+    # Similar sets differ in at most this share of the sum of their sizes.
+    share = (1 - threshold) / (1 + threshold)
+    most = (share * size + 0.01).astype(np.float32)
+    folded = np.bitwise_xor.reduce(bits.reshape(len(bits), 4, -1), axis=1)
+    inner, sizes = x is y, size[y]
+    step = max(1, block // max(len(y), 1))
+    for a in range(0, len(x), step):
+        own = x[a : a + step]
+        lo = int(np.searchsorted(sizes, threshold * size[own[0]] - 1e-6))
+        hi = int(np.searchsorted(sizes, size[own[-1]] / threshold + 1e-6, side="right"))
+        other = y[max(lo, a) if inner else lo : hi]
+        differ = np.zeros((len(own), len(other)), dtype=np.uint16)
+        for w in range(folded.shape[1]):
+            differ += np.bitwise_count(folded[own, w][:, None] ^ folded[other, w][None, :])
+        i, j = np.nonzero(differ <= most[own][:, None] + most[other][None, :])
+        i, j = own[i], other[j]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= most[i] + most[j]
+        if near.any():
+            root, merged = spanning(label[i[near]], label[j[near]], len(label))
+            to = np.arange(len(label))
+            to[merged] = root
+            label = to[label]
+    return label
+
+
+def _blocks() -> Column:
+    """Blocks of a component in the exact comparison: 1 if it is compared at once."""
+    n = F.count(F.lit(1))
+    return F.greatest(F.ceil(n / F.lit(_TILE_SETS)), F.least(n, F.ceil(F.sum("grams") / F.lit(_TILE_GRAMS))))
+
+
 class _Join:
     """The steps that the join and the deduplication share."""
 
@@ -258,7 +303,7 @@ class _Join:
             more = runs_for(threshold, target, depth) - runs
             if more > 0:
                 edges = edges.unionAll(self._runs(self.sets.join(large, self.sets["h1"] == large["set"], "left_semi"), runs, more)[0])
-        self.groups = written(components(edges), "groups")
+        self.groups = self._parted(written(components(edges), "groups"))
 
     def _runs(self, sets: DataFrame, first: int, runs: int) -> tuple[DataFrame, int, DataFrame | None]:
         """Candidate edges of so many runs, the depth reached, and the sets that were in large nodes, if any."""
@@ -289,17 +334,72 @@ class _Join:
                 large = written(more.select("set").distinct(), "large-sets")
             frame = more.join(self.sets.select(F.col("h1").alias("set"), "slots"), "set")
 
+    def _named(self, groups: DataFrame) -> DataFrame:
+        return self.sets.join(groups, self.sets["h1"] == groups["node"]).select("rep", "h1", "grams", "component")
+
+    def _texts(self) -> DataFrame:
+        return self.docs.select(F.col(f"`{self.key}`").cast("long").alias("rep"), F.col(f"`{self.text}`").alias("t")).where(F.col("t").isNotNull())
+
+    def _parted(self, groups: DataFrame) -> DataFrame:
+        """``groups`` with each component of several blocks replaced by those of its pairs that may be similar by their
+        bitmaps: all of its pairs at the threshold are in these, and sets without any are in none."""
+        n, threshold = self.n, self.threshold
+        named = self._named(groups)
+        large = named.groupBy("component").agg(_blocks().alias("blocks"), F.count(F.lit(1)).alias("n")).where("blocks > 1")
+        large = written(large.select("component", F.ceil(F.col("n") / F.lit(_BITMAP_SETS)).alias("blocks")), "large-components")
+        if large.isEmpty():
+            return groups
+        large = small_or_plain(large, 16)
+        member = small_or_plain(written(named.join(large, "component").select("rep", "h1", "component", "blocks"), "large-members"), 40)
+        texts = self._texts().join(member, "rep").select("h1", "component", "blocks", F.lower("t").alias("t"))
+
+        def draw(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for piece in slices(batch, "t", _SLICE):
+                h1, keep, size, bits = piece.column("h1").to_numpy(), [], [], []
+                for k, grams in enumerate(gram_sets(piece.column("t"), n)):
+                    # The text must be the one that was sketched: keys can repeat.
+                    if len(grams) and np.bitwise_xor.reduce(mix(grams)).view(np.int64) == h1[k]:
+                        keep.append(k)
+                        size.append(len(grams))
+                        bits.append(bitmap(grams).tobytes())
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[piece.column(c).take(at) for c in ("component", "blocks", "h1")], pa.array(size, pa.int64()), pa.array(bits, pa.binary())], names=["component", "blocks", "set", "size", "bits"])
+
+        drawn = written(map_arrow(texts, draw, "component long, blocks long, set long, size long, bits binary").dropDuplicates(["set"]), "bitmaps")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in grouped_arrow(batches, "tile"):
+                tile, sets, side, own = (table.column(c).to_numpy() for c in ("tile", "set", "side", "own"))
+                size = table.column("size").to_numpy().astype(np.float64)
+                bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(sets), -1)
+                first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+                for lo, hi in zip(first.tolist(), np.r_[first[1:], len(tile)].tolist(), strict=True):
+                    order = lo + np.argsort(size[lo:hi], kind="stable")
+                    s, b, z, label = sets[order], bits[order], size[order], np.arange(hi - lo)
+                    sides = [np.flatnonzero(side[order] == x) for x in (True, False)]
+                    for x in sides:
+                        if len(x) and own[order[x[0]]]:
+                            label = _merge_near(label, b, z, x, x, threshold)
+                    if len(sides[0]) and len(sides[1]):
+                        label = _merge_near(label, b, z, sides[0], sides[1], threshold)
+                    merged = np.flatnonzero(label != np.arange(len(label)))
+                    yield pa.RecordBatch.from_arrays([pa.array(s[label[merged]]), pa.array(s[merged])], names=["a", "b"])
+
+        paired = tiles(drawn, "component", "set", "blocks").select("tile", "set", "side", "own", "size", "bits")
+        edges = paired.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+        rest = groups.join(large, "component", "left_anti").select("node", "component")
+        return written(rest.unionAll(components(edges)), "parts")
+
     def verified(self) -> DataFrame:
         """(a, b, links, whole): of each set that is similar to another one a row (set, itself, number of such sets),
         to be summed up, and edges (set, set, 0) that connect what is similar; ``whole``: the edge leads to the name
         of its group."""
         n, threshold = self.n, self.threshold
-        named = self.sets.join(self.groups, self.sets["h1"] == self.groups["node"]).select("rep", "h1", "grams", "component")
-        sizes = named.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(_TILE_SETS)), F.least(F.count(F.lit(1)), F.ceil(F.sum("grams") / F.lit(_TILE_GRAMS)))).alias("blocks"))
+        named = self._named(self.groups)
+        sizes = named.groupBy("component").agg(_blocks().alias("blocks"))
         member = tiles(named.join(sizes, "component"), "component", "h1", "blocks").select("rep", "h1", "tile", "side", "own", (F.col("blocks") <= 1).alias("whole"))
         member = small_or_plain(written(member, "members"), 40)
-        docs = self.docs.select(F.col(f"`{self.key}`").cast("long").alias("rep"), F.col(f"`{self.text}`").alias("t")).where(F.col("t").isNotNull())
-        texts = docs.join(member, "rep").select("tile", "h1", "side", "own", "whole", F.lower("t").alias("t"))
+        texts = self._texts().join(member, "rep").select("tile", "h1", "side", "own", "whole", F.lower("t").alias("t"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in grouped_arrow(batches, "tile", 256):

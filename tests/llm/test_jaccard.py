@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,38 @@ def test_large_components_are_compared_in_tiles(spark, monkeypatch):
     assert {r for r in got if r[0] < 50} == {r for r in want if r[0] < 50}
 
 
+@pytest.mark.parametrize("block", [5, 1 << 15])
+def test_large_components_are_parted_below_the_threshold(spark, monkeypatch, block):
+    """Texts that share a line are like one another below the threshold: they must not be compared all with all."""
+    monkeypatch.setattr(jaccard, "_TILE_SETS", 7)
+    monkeypatch.setattr(jaccard, "_BITMAP_SETS", block, raising=False)
+    line = words(22, 97)
+    texts = [f"{line} {words(22, 300 + k)}" for k in range(60)] + [f"{line} {words(22, 300 + k)} end{k}" for k in range(5)] + family(3)
+    rows = list(enumerate(texts))
+    want = links(brute(rows), rows)
+    join = jaccard._Join(documents(spark, texts), 3, 0.5, 0.98, 1024, "doc_id", "text")
+    assert max(r["count"] for r in join.groups.groupBy("component").count().collect()) < 30
+    got = {tuple(r) for r in join.members().select("d", "class_id", "text_id", "n_links").collect()}
+    assert {r for r in got if r[0] < 65} == {r for r in want if r[0] < 65} and recall(got, want) >= 0.97
+
+
+def test_bitmaps_lose_no_similar_pair():
+    r = np.random.default_rng(5)
+    sets = []
+    for _ in range(40):
+        base = r.integers(0, 1 << 63, int(r.integers(1, 400)), dtype=np.uint64)
+        sets += [np.unique(np.r_[base[r.random(len(base)) < keep], r.integers(0, 1 << 63, 3, dtype=np.uint64)]) for keep in (1, 0.8, 0.6, 0.5)]
+    sets.sort(key=len)
+    size, bits = np.array([len(s) for s in sets], dtype=np.float64), np.array([jaccard.bitmap(s) for s in sets])
+    i, j = jaccard._verify(sets, 0.5)
+    for block in (1, 50, 1 << 17):
+        every = np.arange(len(sets))
+        inner = jaccard._merge_near(every, bits, size, every, every, 0.5, block)
+        cross = jaccard._merge_near(every, bits, size, every[::2], every[1::2], 0.5, block)
+        other = i % 2 != j % 2
+        assert len(i) > 40 and (inner[i] == inner[j]).all() and (cross[i[other]] == cross[j[other]]).all() and len(np.unique(inner)) > 20
+
+
 @pytest.mark.parametrize("blocks", [1, 2, 3, 5])
 def test_tiles_hold_every_pair_once(spark, blocks):
     rows = tiles(spark.range(40).withColumn("name", F.lit(7)).withColumn("blocks", F.lit(blocks).cast("long")), "name", "id", "blocks").collect()
