@@ -266,28 +266,40 @@ def extract(pages: DataFrame, share: float = 0.6, min_pages: int = 3, key: str =
     gathered per group.
     """
     base = pages.select(F.col(f"`{key}`").alias("k"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("t"))
-    h = F.xxhash64("t")
-    base = base.withColumn("h", h)
+    base = base.withColumn("h", F.xxhash64("t")).withColumn("bytes", F.octet_length("t"))
     kind = base.schema["k"].dataType.simpleString()
 
-    def lay(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
-        for part in slices(batch, "t", _SLICE):
-            layouts = [None if host is None or text is None else layout_of(parse(text)) for host, text in zip(part.column("host").to_pylist(), part.column("t").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("k", "host", "h", "t")] + [pa.array(layouts, pa.int64())], names=["k", "host", "h", "t", "layout"])
+    def laid(rows: DataFrame, keep: dict[str, str]) -> DataFrame:
+        """The columns ``keep`` of ``rows`` and their layout.  Pages are parsed again wherever this is read: sources are
+        never written."""
+
+        def lay(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+            for part in slices(batch, "t", _SLICE):
+                layouts = [None if host is None or text is None else layout_of(parse(text)) for host, text in zip(part.column("host").to_pylist(), part.column("t").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(layouts, pa.int64())], names=[*keep, "layout"])
+
+        return map_arrow(rows.select(*dict.fromkeys([*keep, "host", "t"])), lay, ", ".join(f"{c} {x}" for c, x in keep.items()) + ", layout long")
 
-    laid = written(map_arrow(base.select("k", "host", "h", "t"), lay, f"k {kind}, host string, h long, t string, layout long"), "laid")
-    there = laid.where(F.col("layout").isNotNull())
+    there = base.where(F.col("host").isNotNull() & F.col("t").isNotNull())
+    known = written(laid(there, {"host": "string", "h": "long", "bytes": "int"}), "laid")
     # Rare layouts share group 0 of their host.
-    common = there.select("host", "layout", "h").dropDuplicates().groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    common = known.select("host", "layout", "h").dropDuplicates().groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     common = written(common.select("host", "layout", F.col("layout").alias("own")), "layouts")
     size = common.agg(F.coalesce(F.sum(F.octet_length("host") + 16), F.lit(0))).first()[0]
-    grouped = laid.join(F.broadcast(common) if size <= limit else common, ["host", "layout"], "left")
-    grouped = grouped.select("k", "host", "h", "t", F.when(F.col("layout").isNotNull(), F.coalesce("own", F.lit(0))).alias("layout"))
-    # One page per group: of each group's partial winners only the best is shuffled on.
-    pivots = written(grouped.where(F.col("layout").isNotNull()).groupBy("host", "layout").agg(F.min_by("t", F.struct("h", F.octet_length("t"))).alias("pivot")), "pivots")
+    common = F.broadcast(common) if size <= limit else common
+
+    def grouped(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.join(common, ["host", "layout"], "left").select("host", F.when(F.col("layout").isNotNull(), F.coalesce("own", F.lit(0))).alias("layout"), *columns)
+
+    # One page per group, found by its hash: only the pages that are pivots are read on.
+    first = grouped(known, "h", "bytes").groupBy("host", "layout").agg(F.min(F.struct("h", "bytes")).alias("first"))
+    first = written(first.select("host", "layout", "first.h", "first.bytes"), "first")
+    size = first.agg(F.coalesce(F.sum(F.octet_length("host") + 20), F.lit(0))).first()[0]
+    pivots = there.join(F.broadcast(first) if size <= limit else first, ["host", "h", "bytes"]).groupBy("host", "layout").agg(F.min("t").alias("pivot"))
+    pivots = written(pivots, "pivots")
     size = pivots.agg(F.coalesce(F.sum(F.octet_length("pivot") + F.octet_length("host") + 8), F.lit(0))).first()[0]
-    joined = grouped.join(F.broadcast(pivots) if size <= limit else pivots, ["host", "layout"], "left")
+    joined = grouped(laid(base, {"k": kind, "host": "string", "h": "long", "t": "string"}), "k", "h", "t").join(F.broadcast(pivots) if size <= limit else pivots, ["host", "layout"], "left")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # trees may be nested that deep

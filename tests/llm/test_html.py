@@ -1,6 +1,6 @@
 import random
 
-from pipewright.llm import html
+from pipewright.llm import _shared, html
 from pipewright.llm.html import Node
 
 SCHEMA = "page_id long, url string, html string"
@@ -87,3 +87,14 @@ def test_each_layout_has_its_wrapper(spark):
     for k in range(12):
         assert got[k]["content"] == (f"Story {k} alone" if k % 2 else f"Entry {k} first\nEntry {k} second") and got[k]["n_template"] == 1
     assert got[12]["content"] == "Please log in" and got[12]["n_template"] == 0
+
+
+def test_sources_are_not_written(spark, tmp_path, monkeypatch):
+    """The intermediate tables hold the pages' texts, not their markup and scripts."""
+    r = random.Random(4)
+    script = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000))
+    rows = [(k, f"http://big.org/{k}", f"<html><body><script>{script()}</script><div class='top'>Example Site</div><p>Text {k}</p></body></html>") for k in range(60)]
+    monkeypatch.setattr(_shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = {x["page_id"]: x for x in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k]["content"] == f"Text {k}" and got[k]["n_template"] == 1 for k in range(60))
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.3 * sum(len(x[2]) for x in rows)
