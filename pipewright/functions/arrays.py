@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipewright import types as K
-from pipewright.functions.base import Val, function
+from pipewright.functions.base import Val, bound, function
 
 
 @function("pack_array", 1, None)
@@ -161,7 +161,8 @@ def _jaccard_index(_, a, b):
 def _zip(_, *xs):
     cols = _alike(xs)
     n = F.greatest(*[F.size(c) for c in cols])
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(*[F.get(c, i) for c in cols])))
+    rows = bound(F.struct(*[c.alias(f"x{k}") for k, c in enumerate(cols)], n.alias("n")), lambda z: F.transform(F.sequence(F.lit(0), z["n"] - 1), lambda i: F.array(*[F.get(z[f"x{k}"], i) for k in range(len(cols))])))
+    return F.when(n > 0, rows)
 
 
 @function("array_iff array_when", 3)
@@ -192,12 +193,9 @@ def _rotate_right(_, a, n):
 
 def _shift(a: Val, n: Column, fill: Val | None) -> Column:
     """Positive: to the left."""
-    x = a.arr
-    size = F.size(x)
     kind = a.type.elementType if a.is_array else T.StringType()
     empty = F.lit(None).cast(kind) if fill is None else fill.col.cast(kind)
-    source = lambda i: i + n
-    return F.transform(x, lambda e, i: F.when((source(i) >= 0) & (source(i) < size), F.get(x, source(i))).otherwise(empty))
+    return bound(F.struct(a.arr.alias("x"), n.alias("n")), lambda z: F.transform(z["x"], lambda e, i: F.when((i + z["n"] >= 0) & (i + z["n"] < F.size(z["x"])), F.get(z["x"], i + z["n"])).otherwise(empty)))
 
 
 @function("array_shift_left", 2, 3)

@@ -96,10 +96,14 @@ def _total(x: Column) -> Column:
 
 @function("series_fir", 2, 4)
 def _fir(_, s, kernel, normalize=None, center=None):
-    x, w = s.reals, kernel.reals
-    weight = _total(w) if normalize is None or normalize.value is not False else F.lit(1.0)
-    at = lambda i: F.aggregate(F.transform(w, lambda c, k: c * F.coalesce(F.when(i - k >= 0, F.get(x, i - k)), F.lit(0.0))), F.lit(0.0), lambda acc, e: acc + e)
-    return F.transform(x, lambda _e, i: at(i) / F.when(weight == 0, 1.0).otherwise(weight))
+    weight = _total(kernel.reals) if normalize is None or normalize.value is not False else F.lit(1.0)
+    parts = F.struct(s.reals.alias("x"), kernel.reals.alias("w"), F.when(weight == 0, 1.0).otherwise(weight).alias("weight"))
+
+    def filtered(z: Column) -> Column:
+        at = lambda i: F.aggregate(F.transform(z["w"], lambda c, k: c * F.coalesce(F.when(i - k >= 0, F.get(z["x"], i - k)), F.lit(0.0))), F.lit(0.0), lambda acc, e: acc + e)
+        return F.transform(z["x"], lambda _e, i: at(i) / z["weight"])
+
+    return bound(parts, filtered)
 
 
 def _iir_one(x, b, a) -> list:
@@ -117,20 +121,28 @@ def _iir(_, s, b, a):
     return _per_series(_iir_one)(s.reals, b.reals, a.reals)
 
 
+def _squares(x: Column) -> Column:
+    """The sum of squared deviations from the mean in one pass, with the running mean that DuckDB has."""
+
+    def step(acc: Column, e: Column) -> Column:
+        n = acc["n"] + F.lit(1.0)
+        mean = acc["mean"] + (e - acc["mean"]) / F.nullif(n, F.lit(0.0))
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["squares"] + (e - mean) * (e - acc["mean"])).alias("squares"))
+
+    return F.aggregate(x, F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "squares")]), step, lambda acc: acc["squares"])
+
+
 @function("series_stats series_stats_dynamic", 1, 2)
 def _stats(frame, s, *_rest):
-    x = s.reals
-    real = F.filter(x, lambda e: e.isNotNull())
-    n = F.size(real)
-    mean = _total(real) / F.nullif(n, F.lit(0))
-    squares = F.aggregate(real, F.lit(0.0), lambda acc, e: acc + (e - mean) * (e - mean))
-    variance = F.when(n > 1, squares / (n - 1)).when(n == 1, 0.0)
-    low, high = F.array_min(real), F.array_max(real)
-    return Val(
-        F.to_json(F.struct(low.alias("min"), (F.array_position(x, low) - 1).alias("min_idx"), high.alias("max"), (F.array_position(x, high) - 1).alias("max_idx"), mean.alias("avg"), _total(real).alias("sum"), F.sqrt(variance).alias("stdev"), variance.alias("variance"), F.size(x).alias("len"))),
-        frame,
-        json=True,
-    )
+    # What is used more than once is bound first: inside a lambda it would be made anew for each element.
+    first = bound(s.reals, lambda x: F.struct(x.alias("x"), F.filter(x, lambda e: e.isNotNull()).alias("real")))
+    second = bound(first, lambda z: F.struct(z["x"].alias("x"), F.size(z["real"]).alias("n"), _total(z["real"]).alias("sum"), F.array_min(z["real"]).alias("low"), F.array_max(z["real"]).alias("high"), _squares(z["real"]).alias("squares")))
+
+    def stats(z: Column) -> Column:
+        variance = F.when(z["n"] > 1, z["squares"] / (z["n"] - 1)).when(z["n"] == 1, 0.0)
+        return F.struct(z["low"].alias("min"), (F.array_position(z["x"], z["low"]) - 1).alias("min_idx"), z["high"].alias("max"), (F.array_position(z["x"], z["high"]) - 1).alias("max_idx"), (z["sum"] / F.nullif(z["n"], F.lit(0))).alias("avg"), z["sum"].alias("sum"), F.sqrt(variance).alias("stdev"), variance.alias("variance"), F.size(z["x"]).alias("len"))
+
+    return Val(F.to_json(bound(second, stats)), frame, json=True)
 
 
 @function("series_fit_line series_fit_line_dynamic", 1)

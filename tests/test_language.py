@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import math
 
 import pytest
@@ -79,6 +80,26 @@ def test_series(engine):
     assert tuple(fit) == (2.0, 1.0, 1.0)
 
 
+def test_series_take_time_in_proportion(spark):
+    """Statistics, filters and shifts of one long series: quadratic ones would take minutes."""
+    import time
+
+    n = 60_000
+    df = spark.range(n).selectExpr("id", "if(id % 3 = 1, cast(null as double), cast(id as double)) AS v").selectExpr("sort_array(collect_list(struct(id, v))).v AS s", "sort_array(collect_list(id)) AS i")
+    engine = Engine(spark, {"T": df.localCheckpoint()})
+    start = time.monotonic()
+    t, total, shifted = values(engine, "T | project t=tostring(series_stats_dynamic(s)), f=array_sum(series_fir(i, dynamic([1, 1]), false)), h=array_sum(array_shift_left(array_sort_asc(i), 1, 0))")[0]
+    assert time.monotonic() - start < 60
+    real = [x for x in range(n) if x % 3 != 1]
+    mean = sum(real) / len(real)
+    t = json.loads(t)
+    assert (t["min"], t["min_idx"], t["max"], t["max_idx"], t["len"], t["sum"]) == (0, 0, n - 1, n - 1, n, sum(real))
+    assert t["avg"] == pytest.approx(mean) and t["variance"] == pytest.approx(sum((x - mean) ** 2 for x in real) / (len(real) - 1))
+    assert total == sum(range(n)) + sum(range(n - 1)) and shifted == sum(range(n))
+    assert values(engine, "print s=dynamic([2.0]), e=dynamic([]) | project a=todouble(series_stats_dynamic(s).variance), b=todouble(series_stats_dynamic(e).avg)") == [(0.0, None)]
+    assert printed(engine, "zip(dynamic([1, 2]), dynamic([3]))") == ([[1, 3], [2, None]],)
+
+
 def test_networks(engine):
     assert printed(engine, "parse_ipv4('1.2.3.4'), parse_ipv4('1.2.3.400'), ipv4_is_private('192.168.3.4'), ipv4_is_in_range('10.1.2.3', '10.1.0.0/16'), ipv4_compare('1.2.3.4', '1.2.3.5'), ipv4_is_match('1.2.3.4', '1.2.3.9', 24), format_ipv4(16909060), format_ipv4_mask('1.2.3.4', 24), ipv4_netmask_suffix('1.2.3.0/24')") == (16909060, None, True, True, -1, True, "1.2.3.4", "1.2.3.0/24", 24)
 
