@@ -21,9 +21,16 @@ def _typed(s: Val) -> Column:
 
 
 def _forward(x: Column, marker: Val | None) -> Column:
-    # One pass: each step appends the last value that is there.
-    kind = F.transform(x, lambda e: e)
-    return F.aggregate(x, F.slice(kind, 1, 0), lambda acc, e: F.concat(acc, F.array(F.when(_missing(e, marker), F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(e)).otherwise(e))))
+    # Each value that is there is repeated up to the next one; before the first stands the head.
+    there = lambda x: F.filter(F.transform(x, lambda e, i: F.when(~F.coalesce(_missing(e, marker), F.lit(False)), i)), lambda i: i.isNotNull())
+    both = bound(x, lambda x: F.struct(x.alias("x"), there(x).alias("at")))
+
+    def filled(z: Column) -> Column:
+        end = F.size(z["x"])
+        runs = F.transform(z["at"], lambda i, k: F.array_repeat(F.get(z["x"], i), F.coalesce(F.get(z["at"], k + 1), end) - i))
+        return F.concat(F.array_repeat(F.get(z["x"], 0), F.coalesce(F.get(z["at"], 0), end)), F.flatten(runs))
+
+    return F.when(x.isNotNull(), bound(both, filled))
 
 
 @function("series_fill_forward", 1, 2)

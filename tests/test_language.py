@@ -100,6 +100,23 @@ def test_series_take_time_in_proportion(spark):
     assert printed(engine, "zip(dynamic([1, 2]), dynamic([3]))") == ([[1, 3], [2, None]],)
 
 
+def test_series_fill_takes_time_in_proportion(spark):
+    """Both directions of a long series with gaps, types and edges: one that grows by copies would take minutes."""
+    import time
+
+    n = 200_000
+    df = spark.range(n).selectExpr("id", "if(id % 3 = 1, cast(null as bigint), id) AS v").selectExpr("sort_array(collect_list(struct(id, v))).v AS s")
+    engine = Engine(spark, {"T": df.localCheckpoint()})
+    start = time.monotonic()
+    f, b, m = values(engine, "T | project f=array_sum(series_fill_forward(s)), b=array_sum(series_fill_backward(s)), n=array_length(series_fill_forward(s))")[0]
+    assert time.monotonic() - start < 60
+    assert f == sum(x - (x % 3 == 1) for x in range(n)) and m == n
+    assert b == sum(x + (x % 3 == 1) for x in range(n) if (x + 1 < n or x % 3 != 1))
+    assert printed(engine, "series_fill_forward(dynamic([null, null, 3, -1, null, 5]), -1), series_fill_backward(dynamic([null, 3, -1, null]), -1), series_fill_forward(dynamic([null, 7, -1]), -1)") == ([None, None, 3, 3, 3, 5], [3, 3, None, None], [None, 7, 7])
+    schema = engine.query("T | project s=series_fill_forward(s)").schema["s"].dataType.simpleString()
+    assert schema == "array<bigint>"
+
+
 def test_networks(engine):
     assert printed(engine, "parse_ipv4('1.2.3.4'), parse_ipv4('1.2.3.400'), ipv4_is_private('192.168.3.4'), ipv4_is_in_range('10.1.2.3', '10.1.0.0/16'), ipv4_compare('1.2.3.4', '1.2.3.5'), ipv4_is_match('1.2.3.4', '1.2.3.9', 24), format_ipv4(16909060), format_ipv4_mask('1.2.3.4', 24), ipv4_netmask_suffix('1.2.3.0/24')") == (16909060, None, True, True, -1, True, "1.2.3.4", "1.2.3.0/24", 24)
 
