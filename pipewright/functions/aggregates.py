@@ -37,9 +37,21 @@ def _values(x: Val) -> Column:
     return x.col if K.is_span(x.type) or K.is_number(x.type) else x.num
 
 
-def _sum(x: Column, v: Val) -> Column:
-    zero = F.lit(0) if not K.is_span(v.type) else K.span_lit(0)
-    return F.coalesce(F.sum(x), zero)
+def _micros(x: Column) -> Column:
+    """A timespan's microseconds as a decimal, of which sums do not overflow."""
+    return K.span_micros(x).cast("decimal(20,0)")
+
+
+def _sum(x: Column, v: Val) -> Column | Val:
+    if not K.is_span(v.type):
+        return F.coalesce(F.sum(x), F.lit(0))
+    # A sum that does not fit the timespan is null; its microseconds are kept for what divides it.
+    us = F.coalesce(F.sum(_micros(x)), F.lit(0).cast("decimal(30,0)"))
+    return Val(K.micros_span(us.try_cast("long")), v.frame, K.SPAN, micros=us)
+
+
+def _mean_span(x: Column) -> Column:
+    return K.micros_span(F.round(F.sum(_micros(x)) / F.nullif(F.count(x), F.lit(0)), 0).cast("long"))
 
 
 @aggregate("count")
@@ -64,12 +76,12 @@ def _sumif(_, x, p):
 
 @aggregate("avg")
 def _avg(_, x):
-    return F.avg(x.col) if K.is_span(x.type) else _nan_if_empty(F.avg(_values(x)))
+    return _mean_span(x.col) if K.is_span(x.type) else _nan_if_empty(F.avg(_values(x)))
 
 
 @aggregate("avgif")
 def _avgif(_, x, p):
-    return F.avg(F.when(p.bool, x.col)) if K.is_span(x.type) else _nan_if_empty(F.avg(F.when(p.bool, _values(x))))
+    return _mean_span(F.when(p.bool, x.col)) if K.is_span(x.type) else _nan_if_empty(F.avg(F.when(p.bool, _values(x))))
 
 
 @aggregate("min")

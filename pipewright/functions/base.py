@@ -20,12 +20,13 @@ class QueryError(ValueError):
 
 class Val:
     """A column expression over ``frame`` with its type (found by the analyzer when asked for), whether it is JSON
-    text, and its value if it is a constant."""
+    text, and its value if it is a constant.  ``micros``: a timespan's microseconds as a decimal, where they may not fit
+    the timespan.  ``whole``: a real's whole part, where it is known to more digits than the real has."""
 
-    __slots__ = ("col", "frame", "_type", "json", "value")
+    __slots__ = ("col", "frame", "_type", "json", "value", "micros", "whole")
 
-    def __init__(self, col: Column, frame: Any, type: T.DataType | None = None, json: bool = False, value: Any = MISSING):
-        self.col, self.frame, self._type, self.json, self.value = col, frame, type, json, value
+    def __init__(self, col: Column, frame: Any, type: T.DataType | None = None, json: bool = False, value: Any = MISSING, micros: Column | None = None, whole: Column | None = None):
+        self.col, self.frame, self._type, self.json, self.value, self.micros, self.whole = col, frame, type, json, value, micros, whole
 
     @property
     def type(self) -> T.DataType:
@@ -65,11 +66,11 @@ class Val:
 
     @property
     def long(self) -> Column:
-        return self.num.try_cast("long")
+        return self.num.try_cast("long") if self.whole is None else self.whole
 
     @property
     def int(self) -> Column:
-        return self.num.try_cast("int")
+        return self.num.try_cast("int") if self.whole is None else self.whole.try_cast("int")
 
     @property
     def bool(self) -> Column:

@@ -277,6 +277,8 @@ def _conversion(names: str, kind: str) -> None:
     def convert(frame, x, *_rest):
         if kind in ("real", "int", "long") and x.is_const and x.value is None:
             return Val(F.lit(None).cast(K.SPARK[kind]), frame, K.SPARK[kind], value=None)
+        if kind in ("int", "long") and x.whole is not None:
+            return Val(x.long if kind == "long" else x.int, frame, K.SPARK[kind])
         return Val(K.cast(x.col, x.type, kind), frame, K.SPARK[kind], value=x.value if x.is_const and kind == "string" and isinstance(x.value, str) else MISSING)
 
 

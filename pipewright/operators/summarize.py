@@ -12,7 +12,7 @@ from pipewright.operators.base import operator
 from pipewright.operators.tabular import _named
 from pipewright.plans import naming
 from pipewright.plans.expressions import Scope
-from pipewright.plans.frame import Frame, fresh, json_alias, quoted
+from pipewright.plans.frame import MICROS, Frame, fresh, json_alias, quoted
 
 
 def _extreme(scope, e, names, namer):
@@ -88,7 +88,9 @@ def summarize(lowering, frame, op, env):
     carried = [c for c in frame.hidden if c.startswith("__pw_src")]
     group = [quoted(h) for h, _, _ in key_columns] + [quoted(k) for k in within]
     df = scope.frame.df
-    cols = [v.col.alias(fresh("a")) for _, v in named] + [F.first(quoted(c)).alias(c) for c in carried]
+    aliases = [fresh("a") for _ in named]
+    micros = {a: fresh("us") for a, (_, v) in zip(aliases, named, strict=True) if v.micros is not None}
+    cols = [v.col.alias(a) for a, (_, v) in zip(aliases, named, strict=True)] + [v.micros.alias(micros[a]) for a, (_, v) in zip(aliases, named, strict=True) if a in micros] + [F.first(quoted(c)).alias(c) for c in carried]
     if not cols:
         out = df.select(*group).distinct()
         made = []
@@ -102,6 +104,10 @@ def summarize(lowering, frame, op, env):
         # The partition key is a column of the result; hidden ones stay hidden.
         (shown if not k.startswith("__pw") and k not in shown_names else extra).append(quoted(k))
     for h, (n, v) in zip(made, named, strict=True):
+        if h in micros:
+            shown.append(quoted(h).alias(n, metadata={MICROS: micros[h]}))
+            extra.append(quoted(micros[h]))
+            continue
         shown.append(json_alias(quoted(h), n) if v.json else (quoted(h).cast("string") if isinstance(out.schema[h].dataType, T.NullType) else quoted(h)).alias(n))
     return Frame(out.select(*shown, *extra, *[quoted(c) for c in carried]), (), frame.keys)
 

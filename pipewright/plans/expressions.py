@@ -14,7 +14,7 @@ from pipewright.functions import FUNCTIONS, QueryError, Val, build
 from pipewright.functions.aggregates import AGGREGATES
 from pipewright.functions.strings import quote_regex
 from pipewright.lang.tree import Bin, Call, DataTable, Function, Index, Items, Lit, Name, Named, Op, Path, Query, Star, Un
-from pipewright.plans.frame import Frame, fresh, quoted
+from pipewright.plans.frame import MICROS, Frame, fresh, quoted
 
 _WINDOWS = {"row_number", "prev", "next", "row_cumsum", "row_rank_dense", "row_rank_min", "row_window_session"}
 #: Operators on text that may also be written as functions.
@@ -72,7 +72,10 @@ class Scope:
     def _name(self, e: Name) -> Val:
         fields = self.frame.fields
         if e.id in fields:
-            return self.val(quoted(e.id), type=fields[e.id].dataType, json=self.frame.is_json(e.id))
+            v = self.val(quoted(e.id), type=fields[e.id].dataType, json=self.frame.is_json(e.id))
+            micros = fields[e.id].metadata.get(MICROS)
+            v.micros = quoted(micros) if micros in fields else None
+            return v
         if e.id in self.env:
             return self._bound(e.id)
         raise QueryError(f"no column or binding {e.id!r}; columns: {', '.join(self.frame.columns)}")
@@ -195,8 +198,12 @@ class Scope:
             if K.is_span(tb):
                 if op in "+-":
                     return self.val((a.col + b.col if op == "+" else a.col - b.col).cast(K.SPAN), type=K.SPAN)
-                x, y = K.span_micros(a.col), K.span_micros(b.col)
-                return self.val(real_divide(x.cast("double"), y.cast("double"))) if op == "/" else self.val(K.micros_span(F.pmod(x, F.nullif(F.abs(y), F.lit(0).cast("long")))))
+                x, y = (K.span_micros(v.col) if v.micros is None else v.micros for v in (a, b))
+                if op == "/":
+                    real = real_divide(x.cast("double"), y.cast("double"))
+                    whole = F.when(F.abs(real) < float(1 << 63), F.call_function("div", x, F.nullif(y, F.lit(0).cast("long"))))
+                    return Val(real, self.frame, T.DoubleType(), whole=whole)
+                return self.val(K.micros_span(F.pmod(x, F.nullif(F.abs(y), F.lit(0).cast("long")))))
             if op in "*/":
                 n = b.num.cast("double")
                 us = K.span_micros(a.col).cast("double")

@@ -16,6 +16,8 @@ from pipewright import types as K
 _counter = itertools.count()
 #: Columns that carry order keys and the like beside the visible ones.
 HIDDEN = "__pw"
+#: In a timespan's metadata: the hidden column of its microseconds, which may not fit the timespan.
+MICROS = "pipewright_micros"
 
 
 def fresh(what: str = "x") -> str:

@@ -131,6 +131,19 @@ def test_summarize_rules(engine):
     assert values(engine, "datatable(d:dynamic)[dynamic({'a':1,'b':2}), dynamic({'a':5,'c':3})] | summarize make_bag(d)")[0][0] in ('{"a":1,"b":2,"c":3}', '{"a":5,"b":2,"c":3}', '{"a":5,"c":3,"b":2}')
 
 
+def test_sums_of_timespans_keep_their_digits(spark):
+    """Quotients beyond the digits of a double, and sums that do not fit a timespan."""
+    us = [4_000_000_000_000_000_001, 3_999_999_999_999_999_998, 4_000_000_000_000_000_000]
+    df = spark.createDataFrame([(1, us[0]), (1, us[1]), (2, -us[0]), (2, -us[1]), (2, -us[2]), (3, None)], "k int, n long").selectExpr("k", "timestamp_micros(n) - timestamp_micros(0L) AS s")
+    engine = Engine(spark, {"T": df})
+    one = values(engine, "T | summarize t=sum(s) by k | where k > 0 | extend u=t | project-rename v=u | sort by k asc | project k, ms=tolong(v / 1ms), us=tolong(t / 1microsecond), fits=isnotnull(t), r=t / 1d")
+    assert [r[:4] for r in one] == [(1, 7_999_999_999_999_999, 7_999_999_999_999_999_999, True), (2, -11_999_999_999_999_999, None, False), (3, 0, 0, True)]
+    assert one[1][4] == pytest.approx(-11_999_999_999_999_999_999 / 86.4e9)
+    assert values(engine, "T | summarize a=tolong(sum(s) / 1ms), b=tolong(sumif(s, k == 2) / 1ms), c=avg(s), d=avgif(s, k == 3) | project a, b, c=tolong(c / 1microsecond), d=isnull(d)") == [(-4_000_000_000_000_000, -11_999_999_999_999_999, -800_000_000_000_000_000, True)]
+    assert values(engine, "T | where k == 1 | summarize t=sum(s) by k | extend t=t - t | project toint(t / 1ms), t / 0ms") == [(0, pytest.approx(math.nan, nan_ok=True))]
+    assert values(engine, "T | where k == 1 | summarize t=sum(s) by k | join kind=inner (T | where k == 1 | summarize t=sum(s) by k) on k | union (T | summarize t=sum(s) by k) | where k == 1 | distinct k, t | count") == [(1,)]
+
+
 def test_joins(engine):
     right = "let R = datatable(k:long, w:string)[1, 'a', 1, 'b', 4, 'd']; "
     rows = lambda kind: sorted(values(engine, DUPS + right + f"D | join kind={kind} R on k"), key=str)
