@@ -16,12 +16,15 @@ from pipewright.plans.frame import Frame, fresh, json_alias, quoted
 
 #: Largest estimated size, in bytes, that ``hint.strategy=broadcast`` may ship to every executor.
 BROADCAST_BYTES = 256 << 20
+#: Largest estimated size, in bytes, of a side that is dealt out anew before a join, and tasks per core that it goes to.
+DEALT_BYTES = 1 << 30
+DEALT_TASKS = 4
 _KINDS = {"inner": "inner", "innerunique": "inner", "leftouter": "left", "rightouter": "right", "fullouter": "full", "leftsemi": "left_semi", "rightsemi": "left_semi", "leftanti": "left_anti", "anti": "left_anti", "leftantisemi": "left_anti", "rightanti": "left_anti", "rightantisemi": "left_anti"}
 
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's output."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hinted(df: DataFrame, options: dict[str, str]) -> DataFrame:
@@ -31,6 +34,17 @@ def hinted(df: DataFrame, options: dict[str, str]) -> DataFrame:
     return df.hint("shuffle_hash") if strategy == "shuffle" else df
 
 
+def dealt_out(left: DataFrame, right: DataFrame, how: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides, with the one that a broadcast join streams over dealt out over all cores where it is small: one
+    file split can be a whole table, and one task would then write all pairs of keys that repeat on both sides."""
+    sizes = estimated_bytes(left), estimated_bytes(right)
+    streamed = {"left": 0, "right": 1}.get(how, 0 if sizes[0] >= sizes[1] else 1)
+    if how not in ("inner", "left", "right") or sizes[streamed] > DEALT_BYTES:
+        return left, right
+    tasks = DEALT_TASKS * left.sparkSession.sparkContext.defaultParallelism
+    return (left.repartition(tasks), right) if streamed == 0 else (left, right.repartition(tasks))
+
+
 def keys_of(on: list) -> tuple[list[tuple[str, str]], list]:
     """(left column, right column) of the equalities, and the other conditions."""
     equal, rest = [], []
@@ -118,6 +132,8 @@ def joined(lowering, left: Frame, right: Frame, op, env, kind: str, drop_right_k
             condition = one if condition is None else condition & one
     if condition is None:
         condition = F.lit(True)
+    if equal:
+        l_df, r = dealt_out(l_df, r, how)
     df = l_df.join(r, condition, how)
     keys = tuple(k for k in left.keys)
     if how in ("left_semi", "left_anti"):

@@ -158,6 +158,18 @@ def test_joins(engine):
     assert engine.query(DUPS + right + "D | lookup R on k").columns == ["k", "v", "w"]
 
 
+def test_a_join_of_one_split_is_written_by_many_tasks(spark, tmp_path):
+    """Keys that repeat on both sides: the rows of one file must not all be paired by one task."""
+    spark.range(300).selectExpr("id % 3 AS k", "id AS a").coalesce(1).write.parquet(str(tmp_path / "L.parquet"))
+    spark.range(60).selectExpr("id % 3 AS k", "id AS b").coalesce(1).write.parquet(str(tmp_path / "R.parquet"))
+    engine = Engine(spark, str(tmp_path))
+    for text in ("L | join kind=inner R on k", "R | join kind=inner L on k", "L | join kind=leftouter R on k", "R | join kind=rightouter L on k", "L | lookup R on k"):
+        rows = engine.query(text).selectExpr("a", "b", "spark_partition_id() AS task").collect()
+        assert sorted((r["a"], r["b"]) for r in rows) == sorted((a, b) for a in range(300) for b in range(60) if a % 3 == b % 3), text
+        assert len({r["task"] for r in rows}) > 3, text
+    assert engine.query("L | join hint.strategy=broadcast kind=inner R on k").count() == 6000
+
+
 def test_union_pads_strings(engine):
     got = values(engine, "let A = datatable(x:long, s:string)[1, 'a']; let B = datatable(y:long)[2]; union A, B")
     assert got == [(1, "a", None), (None, "", 2)]
