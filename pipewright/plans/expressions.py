@@ -14,6 +14,7 @@ from pipewright.functions import FUNCTIONS, QueryError, Val, build
 from pipewright.functions.aggregates import AGGREGATES
 from pipewright.functions.strings import quote_regex
 from pipewright.lang.tree import Bin, Call, DataTable, Function, Index, Items, Lit, Name, Named, Op, Path, Query, Star, Un
+from pipewright.plans import serial
 from pipewright.plans.frame import MICROS, Frame, fresh, quoted
 
 _WINDOWS = {"row_number", "prev", "next", "row_cumsum", "row_rank_dense", "row_rank_min", "row_window_session"}
@@ -30,6 +31,8 @@ class Scope:
     def __init__(self, lowering: Any, frame: Frame, env: dict[str, Any], aggregating: bool = False):
         self.lowering, self.frame, self.env, self.aggregating = lowering, frame, env, aggregating
         self.windowed = False
+        #: Columns of window functions that are made already.
+        self.made: dict[Any, str] = {}
         #: Rewrites of names, for join conditions.
         self.sides: dict[str, dict[str, str]] = {}
 
@@ -42,6 +45,10 @@ class Scope:
         self.frame = self.frame.with_df(self.frame.df.withColumn(name, c))
         return name
 
+    def reframe(self, frame: Frame) -> None:
+        """Puts another frame, which has all columns of the old one, in its place."""
+        self.frame = frame
+
     def rows(self) -> Scope:
         """The scope of an aggregate's arguments: the input's rows."""
         return self if not self.aggregating else _RowScope(self)
@@ -374,6 +381,11 @@ class Scope:
 
     def _window(self, name: str, args: list) -> Val:
         restart_at = {"row_number": 1, "row_cumsum": 1, "row_rank_dense": 1, "row_rank_min": 1}.get(name)
+        if not self.frame.keys and not self.frame.df.isStreaming:
+            out = self._spread(name, args, restart_at)
+            if out is not None:
+                self.windowed = True
+                return out
         values = [self._argument(a) for a in (args[:restart_at] if restart_at is not None else args)]
         extra: list[Column] = []
         if restart_at is not None and len(args) > restart_at:
@@ -384,6 +396,56 @@ class Scope:
         self.windowed = True
         return out if isinstance(out, Val) else self.val(out)
 
+    def _spread(self, name: str, args: list, restart_at: int | None) -> Val | None:
+        """A window function over one global order, computed in parts; None for a shift that is too long."""
+        if name in ("prev", "next"):
+            n = int(self._argument(args[1]).const("the offset")) if len(args) > 1 else 1
+            if abs(n) > serial.REACH:
+                return None
+        if not self.frame.order:
+            self.frame.window()  # warns
+        self.reframe(serial.spread(self.frame))
+
+        def once(f: Any, key: Any, *inputs: Any) -> Column:
+            # A function of random numbers is another one each time it is written.
+            if key not in self.made or any(w in repr(key) for w in ("rand", "guid", "uuid")):
+                frame, self.made[key] = f(self.frame, *inputs)
+                self.reframe(frame)
+            return quoted(self.made[key])
+
+        shift = lambda v, e, n: once(serial.shifted, ("shift", repr(e), n), v.col, n)
+        values = [self._argument(a) for a in (args[:restart_at] if restart_at is not None else args)]
+        first = args[0] if args else None
+        if name in ("prev", "next"):
+            v = values[0]
+            row = shift(v, first, n if name == "prev" else -n)
+            return self.val(F.when(row.isNotNull(), row["v"]).otherwise(values[2].col) if len(values) > 2 else row["v"], json=v.json)
+        restart, where = None, ""
+        if restart_at is not None and len(args) > restart_at:
+            restart, where = F.coalesce(self._argument(args[restart_at]).bool, F.lit(False)), repr(args[restart_at])
+        number = lambda: once(serial.running, ("number", where), F.lit(1).cast("long"), restart)
+        if name == "row_number":
+            return self.val(number() + (values[0].long if values else F.lit(1)) - 1)
+        v = values[0]
+        if name == "row_cumsum":
+            span = K.is_span(v.type)
+            total = once(serial.running, ("sum", repr(first), where), v.col if span else v.num, restart)
+            return self.val(F.coalesce(total, K.span_lit(0) if span else F.lit(0)))
+        before = shift(v, first, 1)
+        if name == "row_window_session":
+            late = v.col > before["v"] + (values[-1] if len(values) == 2 else values[2]).col
+            if len(values) > 2:
+                late = late | (v.col - before["v"] > values[1].col)
+            new = F.when(F.coalesce(late, F.lit(False)), 1).otherwise(0)
+            return self.val(once(serial.running, ("session", repr(args)), new).cast("long"))
+        changed = before.isNull() | ~v.col.eqNullSafe(before["v"])
+        if restart is not None:
+            changed = changed | restart
+        if name == "row_rank_dense":
+            return self.val(once(serial.running, ("dense", repr(first), where), changed.cast("int"), restart).cast("long"))
+        row = number()
+        return self.val(once(lambda f, x: serial.running(f, x, last=True), ("min", repr(first), where), F.when(changed, row)))
+
     def _running(self, *extra: Column) -> Any:
         from pyspark.sql import Window
 
@@ -439,6 +501,10 @@ class _RowScope(Scope):
         self.frame = self.outer.frame
         return name
 
+    def reframe(self, frame: Frame) -> None:
+        self.outer.reframe(frame)
+        self.frame = frame
+
     def lower(self, e: Any) -> Val:
         self.frame = self.outer.frame
         before, self.windowed = self.windowed, False

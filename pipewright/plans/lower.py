@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pipewright.functions import QueryError, Val
 from pipewright.lang.tree import Call, DataTable, ExternalData, Function, Let, Lit, Name, Named, Op, Query
 from pipewright.operators import OPERATORS
+from pipewright.plans import serial
 from pipewright.plans.expressions import Scope
 from pipewright.plans.frame import Frame
 from pipewright.sources import readers
@@ -122,7 +123,9 @@ class Lowering:
     def apply(self, frame: Frame | None, op: Op, env: dict[str, Any]) -> Frame:
         if op.kind not in OPERATORS:
             raise QueryError(f"the operator {op.kind!r} is not supported")
-        return OPERATORS[op.kind](self, frame, op, env)
+        out = OPERATORS[op.kind](self, frame, op, env)
+        # Window functions leave their rows in parts: they are sorted again for what follows.
+        return serial.in_order(out) if serial.is_spread(out) and (frame is None or out.order != frame.order) else out
 
     def source(self, e: Any, env: dict[str, Any]) -> Frame:
         if isinstance(e, Query):

@@ -184,6 +184,44 @@ def test_windows_and_restarts(engine):
     assert values(engine, DUPS + "D | sort by k asc, v asc | project v | extend n=row_number() | where n == 5") == [(5, 5)]
 
 
+@pytest.fixture
+def parted(spark):
+    """Rows in several parts: small ones would be put into one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _no_single_task(engine, text):
+    return "SinglePartition" not in engine.explain(text, "simple")
+
+
+def test_windows_without_key_are_spread(parted):
+    """Running sums, ranks and restarts over parts of one order agree with a plain loop."""
+    import random
+
+    r = random.Random(5)
+    for n, groups in ((0, 1), (1, 1), (300, 4), (300, 60), (300, 1)):
+        rows = sorted((r.randrange(groups), i, r.choice([None, 1, 2, 30])) for i in range(n))
+        df = parted.createDataFrame(r.sample(rows, len(rows)), "k long, i long, v long").repartition(3)
+        engine = Engine(parted, {"T": df})
+        text = "T | sort by k asc, i asc | extend n=row_number(1, k != prev(k)), c=row_cumsum(v, k != prev(k)), d=row_rank_dense(k), m=row_rank_min(k), e=row_rank_dense(v, k != prev(k)), f=row_rank_min(v, k != prev(k)), s=row_window_session(i, 40, 3)"
+        expected, last, total, number, dense, lowest, e, f, session = [], None, 0, 0, 0, 0, 0, 0, 0
+        for j, (k, i, v) in enumerate(rows):
+            new = j == 0 or k != last[0]
+            number, total = (1, v or 0) if j and new else (number + 1, total + (v or 0))
+            dense, lowest = (dense + 1, j + 1) if new else (dense, lowest)
+            other = j == 0 or new or v != last[2]
+            e, f = (1 if new else e + 1, number) if other else (e, f)
+            session += bool(j and (i > last[1] + 3 or i - last[1] > 40))
+            last = (k, i, v)
+            expected.append((k, i, v, number, total, dense, lowest, e, f, session))
+        got = values(engine, text)
+        # A sum of nothing but nulls is 0, and rows come in order.
+        assert got == expected, (n, groups)
+        assert _no_single_task(engine, text)
+
+
 def test_scan(engine):
     assert values(engine, DUPS + "D | sort by k asc, v asc | scan declare (c:long=100) with (step s: true => c = s.c + v;) | project c") == [(110,), (130,), (160,), (190,), (195,)]
     assert values(engine, DUPS + "D | sort by k asc, v asc | scan declare (c:long=0) with (step s: true => c = iff(s.c >= 30, v, s.c + v);) | project c | sort by c asc") == [(5,), (10,), (30,), (30,), (30,)]
