@@ -222,6 +222,21 @@ def test_windows_without_key_are_spread(parted):
         assert _no_single_task(engine, text)
 
 
+def test_serialized_rows_are_numbered_in_parts(parted):
+    """Row numbers and neighbours, near and far, in both directions, with defaults, ties and without an order."""
+    rows = [(i, i * i % 97) for i in range(250)]
+    engine = Engine(parted, {"T": parted.createDataFrame(rows[::-1], "i long, v long").repartition(3)})
+    text = "T | sort by i asc | serialize n=row_number(), m=row_number(10), gap=v - prev(v, 1, 0), p=prev(v, 70, -1), q=next(v, 90), w=next(v, 1, -5), z=prev(v, 200) | consume"
+    at = lambda j, other: rows[j][1] if 0 <= j < 250 else other
+    assert values(engine, text) == [(i, v, i + 1, i + 10, v - at(i - 1, 0), at(i - 70, -1), at(i + 90, None), at(i + 1, -5), at(i - 200, None)) for i, v in rows]
+    assert _no_single_task(engine, text.replace(", z=prev(v, 200)", ""))
+    assert values(engine, "T | sort by i desc | extend n=row_number() | where n > 1 and prev(n) % 2 == 1 | take 2 | project i, n") == [(248, 2), (246, 4)]
+    assert sorted(r[0] for r in values(engine, "T | extend t=v % 3 | sort by t asc | extend n=row_number() | project n")) == list(range(1, 251))
+    assert values(engine, "T | sort by i asc | extend a=row_number() | extend b=row_cumsum(a) | summarize x=max(b), y=make_list(a) | project x, z=tolong(y[0]), u=tolong(y[249])") == [(250 * 251 // 2, 1, 250)]
+    with pytest.warns(UserWarning):
+        assert sorted(r[0] for r in values(engine, "T | extend n=row_number() | project n")) == list(range(1, 251))
+
+
 def test_scan(engine):
     assert values(engine, DUPS + "D | sort by k asc, v asc | scan declare (c:long=100) with (step s: true => c = s.c + v;) | project c") == [(110,), (130,), (160,), (190,), (195,)]
     assert values(engine, DUPS + "D | sort by k asc, v asc | scan declare (c:long=0) with (step s: true => c = iff(s.c >= 30, v, s.c + v);) | project c | sort by c asc") == [(5,), (10,), (30,), (30,), (30,)]
