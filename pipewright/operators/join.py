@@ -12,7 +12,7 @@ from pipewright.lang.tree import Bin, Name, Path
 from pipewright.operators.base import operator
 from pipewright.operators.tabular import conjuncts
 from pipewright.plans.expressions import Scope
-from pipewright.plans.frame import Frame, fresh, json_alias, quoted
+from pipewright.plans.frame import Frame, estimated_bytes, fresh, json_alias, quoted
 
 #: Largest estimated size, in bytes, that ``hint.strategy=broadcast`` may ship to every executor.
 BROADCAST_BYTES = 256 << 20
@@ -22,11 +22,6 @@ DEALT_TASKS = 4
 _KINDS = {"inner": "inner", "innerunique": "inner", "leftouter": "left", "rightouter": "right", "fullouter": "full", "leftsemi": "left_semi", "rightsemi": "left_semi", "leftanti": "left_anti", "anti": "left_anti", "leftantisemi": "left_anti", "rightanti": "left_anti", "rightantisemi": "left_anti"}
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's output."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def hinted(df: DataFrame, options: dict[str, str]) -> DataFrame:
     strategy = options.get("hint.strategy", "").lower()
     if strategy == "broadcast" and estimated_bytes(df) <= BROADCAST_BYTES:

@@ -28,15 +28,22 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a plan's output."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 @dataclass(frozen=True)
 class Frame:
     """``order``: (column name, ascending, nulls first) of the serialized order.  ``keys``: names of the columns that
-    partition it (inside ``partition`` and ``mv-apply``)."""
+    partition it (inside ``partition`` and ``mv-apply``).  ``parts``: how many parts of the order there are, where window
+    functions have dealt the rows into them."""
 
     df: DataFrame
     order: tuple[tuple[str, bool, bool], ...] = ()
     keys: tuple[str, ...] = ()
     name: str = ""
+    parts: int = 0
     _cache: dict[str, Any] = field(default_factory=dict, compare=False, repr=False)
 
     @property

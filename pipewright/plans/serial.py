@@ -11,43 +11,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipewright.plans.frame import HIDDEN, Frame, fresh, quoted
+from pipewright.plans.frame import HIDDEN, Frame, estimated_bytes, fresh, quoted
 
 _PART = f"{HIDDEN}_part"
 #: Longest distance of ``prev`` and ``next``: so many rows of each part are copied.
 REACH = 100
+#: Estimated bytes of the input for each part; there are no more parts than the session's shuffle partitions.
+PART_BYTES = 2 << 20
 
 
 def is_spread(frame: Frame | None) -> bool:
-    return frame is not None and bool(frame.order) and frame.order[0][0].startswith(_PART)
+    return frame is not None and frame.parts > 0 and bool(frame.order) and frame.order[0][0].startswith(_PART)
 
 
 def spread(frame: Frame) -> Frame:
     """The frame with its rows dealt into parts; ties keep the order in which they are read."""
     if is_spread(frame):
         return frame
+    spark = frame.df.sparkSession
+    n = min(max(estimated_bytes(frame.df) // PART_BYTES, spark.sparkContext.defaultParallelism), int(spark.conf.get("spark.sql.shuffle.partitions")))
     read, part, row = fresh("read"), fresh("part"), fresh("row")
     order = [*frame.ordering(), F.col(read)]
-    df = frame.df.withColumn(read, F.monotonically_increasing_id()).repartitionByRange(*order).withColumn(part, F.spark_partition_id())
-    df = df.withColumn(row, F.row_number().over(Window.partitionBy(part).orderBy(*order))).drop(read)
-    return frame.with_df(df, order=((part, True, True), (row, True, True)))
+    df = frame.df.withColumn(read, F.monotonically_increasing_id()).repartitionByRange(n, *order).withColumn(part, F.spark_partition_id())
+    df = _dealt(df, n, part).withColumn(row, F.row_number().over(Window.partitionBy(part).orderBy(*order))).drop(read)
+    return frame.with_df(df, order=((part, True, True), (row, True, True)), parts=n)
 
 
-def _parts(frame: Frame) -> int:
-    """No part has this number or a higher one."""
-    conf = frame.df.sparkSession.conf
-    return max(int(conf.get("spark.sql.shuffle.partitions")), int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or 0))
+def _dealt(df: DataFrame, n: int, part: str) -> DataFrame:
+    """Each part in one task; twice as many tasks, so that few get several parts.  Spark does not join such tasks."""
+    return df.repartition(2 * n, part)
 
 
 def _copied(frame: Frame, df: DataFrame, edge: Column, back: bool = False) -> tuple[DataFrame, str, str]:
     """The rows, and copies of the rows at the edge in all later (earlier) parts; the names of the columns of the part
     where a row is and of that which it comes from.  Copies stand before (after) a part's own rows when sorted by the
     latter and the row.  The part has a new name, as the rows are not in order any more."""
-    part, source, last = fresh("part"), fresh("source"), _parts(frame) - 1
+    part, source, last = fresh("part"), fresh("source"), frame.parts - 1
     others = F.sequence(F.lit(0), F.col(source) - 1) if back else F.sequence(F.col(source) + 1, F.lit(last))
     some = F.col(source) > 0 if back else F.col(source) < last
     to = F.when(edge & some, F.concat(F.array(source), others)).otherwise(F.array(source))
-    return df.withColumnRenamed(frame.order[0][0], source).withColumn(part, F.explode(to)), part, source
+    df = df.withColumnRenamed(frame.order[0][0], source).withColumn(part, F.explode(to))
+    return _dealt(df, frame.parts, part), part, source
 
 
 def _with_part(frame: Frame, df: DataFrame, part: str) -> Frame:
@@ -90,4 +94,5 @@ def running(frame: Frame, value: Column, restart: Column | None = None, last: bo
 
 def in_order(frame: Frame) -> Frame:
     """Spread rows, sorted again."""
-    return frame.with_df(frame.df.orderBy(*[quoted(n) for n, _, _ in frame.order]))
+    order = [quoted(n) for n, _, _ in frame.order]
+    return frame.with_df(frame.df.repartitionByRange(frame.parts, *order).sortWithinPartitions(*order))
